@@ -11,6 +11,7 @@ from sitemetrics.functions import timeutil as tu
 from sitemetrics.functions.timeutil import DEFAULT_TZ
 from sitemetrics.operators import live
 from sitemetrics.schemas import EVENT_TYPES
+from sitemetrics.session import cut
 from sitemetrics.sources.tables import Tables
 
 
@@ -31,8 +32,9 @@ def rule_capacity(t: Tables) -> DataFrame:
             .withColumn("f", rules.capacity_flags(F.col("current_occupancy"), F.col("capacity")))
             .select("site_id", F.col("name").alias("site_name"), "current_occupancy", "capacity",
                     F.col("f.trigger"), F.col("f.resolve"), F.col("f.pct"),
-                    F.format_string(rules.CAPACITY_MESSAGE, F.col("name"), rules.one_decimal(F.col("f.pct")),
-                                    F.col("current_occupancy"), F.col("capacity")).alias("message")))
+                    F.when(F.col("f.pct").isNotNull(), F.format_string(
+                        rules.CAPACITY_MESSAGE, F.col("name"), rules.one_decimal(F.col("f.pct")),
+                        F.col("current_occupancy"), F.col("capacity"))).alias("message")))
 
 
 def rule_revenue_drop(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
@@ -43,8 +45,8 @@ def rule_revenue_drop(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataF
             .select("site_id", F.col("name").alias("site_name"), F.col("today_total").cast("double").alias("today_total"),
                     F.col("last_week_total").cast("double").alias("last_week_total"),
                     F.col("f.trigger"), F.col("f.resolve"), F.col("f.drop_pct"),
-                    F.format_string(rules.REVENUE_MESSAGE, F.col("name"), rules.one_decimal(F.col("f.drop_pct"))
-                                    ).alias("message")))
+                    F.when(F.col("f.drop_pct").isNotNull(), F.format_string(
+                        rules.REVENUE_MESSAGE, F.col("name"), rules.one_decimal(F.col("f.drop_pct")))).alias("message")))
 
 
 def rule_flags(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
@@ -72,18 +74,18 @@ def actions(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
             .withColumn("action", action))
 
 
-def opened(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
+def opened(acts: DataFrame, as_of: datetime) -> DataFrame:
     """New anomaly rows of this cycle, in the layout of the anomalies table."""
     now = tu.ts(as_of)
-    return (actions(t, as_of, tz).filter(F.col("action") == "open")
+    return (acts.filter(F.col("action") == "open")
             .select(anomaly_id(F.col("site_id"), F.col("type"), now).alias("anomaly_id"), "site_id", "type", "severity",
                     "message", F.lit(False).alias("resolved"), F.lit(False).alias("dismissed"),
                     now.alias("detected_at"), F.lit(None).cast("timestamp_ntz").alias("resolved_at")))
 
 
-def resolved(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
+def resolved(t: Tables, acts: DataFrame, as_of: datetime) -> DataFrame:
     """Every open anomaly whose rule has recovered, closed at `as_of`."""
-    keys = actions(t, as_of, tz).filter(F.col("action") == "resolve").select("site_id", "type")
+    keys = acts.filter(F.col("action") == "resolve").select("site_id", "type")
     return (t.anomalies.filter(~F.col("resolved"))
             .join(t.site_bounded(keys, 3), ["site_id", "type"], "left_semi")
             .select(*t.anomalies.columns)
@@ -91,12 +93,17 @@ def resolved(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
 
 
 def detect_step(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> tuple[DataFrame, DataFrame]:
-    """(anomalies after the cycle, change events)."""
-    new, done = opened(t, as_of, tz), resolved(t, as_of, tz)
-    keep = t.anomalies.join(done.select("anomaly_id"), "anomaly_id", "left_anti")
-    after = keep.unionByName(done).unionByName(new)
+    """(anomalies after the cycle, change events). The rules are evaluated once; three rows a site are kept."""
+    acts = cut(actions(t, as_of, tz))
+    new, keys = opened(acts, as_of), acts.filter(F.col("action") == "resolve").select("site_id", "type", F.lit(True).alias("hit"))
+    closing = F.col("hit").isNotNull() & ~F.col("resolved")
+    after = (t.anomalies.join(t.site_bounded(keys, 3), ["site_id", "type"], "left")
+             .withColumn("resolved_at", F.when(closing, tu.ts(as_of)).otherwise(F.col("resolved_at")))
+             .withColumn("resolved", F.col("resolved") | closing)
+             .select(*t.anomalies.columns).unionByName(new))
     events = (new.select(F.lit(EVENT_TYPES[3]).alias("type"), "site_id", "anomaly_id", F.col("type").alias("anomaly_type"),
                          "severity", "message", F.col("detected_at").alias("event_time"))
-              .unionByName(done.select(F.lit(EVENT_TYPES[4]).alias("type"), "site_id", "anomaly_id",
-                                       F.col("resolved_at").alias("event_time")), allowMissingColumns=True))
+              .unionByName(resolved(t, acts, as_of).select(
+                  F.lit(EVENT_TYPES[4]).alias("type"), "site_id", "anomaly_id", F.col("resolved_at").alias("event_time")),
+                  allowMissingColumns=True))
     return after, events

@@ -10,6 +10,16 @@ from sitemetrics.sources.fixtures import Fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_fixtures: dict[tuple[str, str], Fixture] = {}
+
+
+def fixture(spark: SparkSession, folder: str) -> Fixture:
+    """Adapted tables of a folder; the plans (not the data) are kept for the life of the session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _fixtures:
+        _fixtures[key] = Fixture(configure(spark), folder)
+    return _fixtures[key]
+
 
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
@@ -17,7 +27,7 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
     def register(build: Callable[[Fixture], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = lambda spark, folder: build(Fixture(configure(spark), folder))
+        QUERIES[name] = lambda spark, folder: build(fixture(spark, folder))
         if sql is not None:
             ORACLES[name] = with_ctes(sql, extra)
         return build

@@ -11,18 +11,20 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitemetrics.functions import metrics
 from sitemetrics.functions import timeutil as tu
 from sitemetrics.sources.tables import Tables
 from sitemetrics.streaming import runner
 
-EVENTS = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
-])
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 AS_OF = datetime(2024, 1, 30, 12, 0)          # 17:30 local: every site is within its hours
 LEDGER_AS_OF = datetime(2001, 6, 1)
@@ -35,7 +37,7 @@ class Fixture:
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(RAW[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def sites(self) -> DataFrame:
@@ -136,13 +138,19 @@ class Fixture:
         """The live period as it stood at AS_OF."""
         return self.all.rewind(AS_OF)
 
+    @cached_property
+    def timed(self) -> Tables:
+        """As `live`, with only the visits whose end is known, so that sites can be empty."""
+        known = self.visits.filter(F.col("checked_out").isNotNull())
+        return Tables(self.sites, self.live_members, known, self.live_payments, self.anomalies).rewind(AS_OF)
+
     @cached_property
     def ledger(self) -> Tables:
         return Tables(self.sites, self.members, self.visits, self.ledger_payments, self.anomalies)
 
     def event_stream(self, folder: str | None = None, max_files: int | None = None) -> DataFrame:
         """The event table (or a folder of its slices) as a stream of typed events."""
-        return self.to_events(runner.event_source(self.spark, folder or f"{self.folder}/events.parquet", EVENTS,
+        return self.to_events(runner.event_source(self.spark, folder or f"{self.folder}/events.parquet", RAW["events"],
                                                   max_files=max_files))
 
     def to_events(self, raw: DataFrame) -> DataFrame:
@@ -177,7 +185,7 @@ class Fixture:
 
     def delta_stream(self, folder: str | None = None, max_files: int | None = None) -> DataFrame:
         """The replay deltas as a stream."""
-        raw = runner.event_source(self.spark, folder or f"{self.folder}/events.parquet", EVENTS, max_files=max_files)
+        raw = runner.event_source(self.spark, folder or f"{self.folder}/events.parquet", RAW["events"], max_files=max_files)
         return (raw.filter(F.col("event_type").isin("view", "click"))
                 .select("event_id", (F.col("user_id") % 25).cast("int").alias("site_id"),
                         F.col("ts").cast("timestamp").alias("event_time"),

@@ -18,7 +18,7 @@ from sitemetrics.session import shared_dir
 MAX_BYTES_PER_TRIGGER = "1g"
 
 
-def event_source(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet",
+def event_source(spark: SparkSession, folder: str, schema: StructType | str, glob: str = "*.parquet",
                  max_files: int | None = None) -> DataFrame:
     """Stream of Parquet files in order of their modification time."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
