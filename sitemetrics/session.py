@@ -14,7 +14,7 @@ def build_session(app: str = "sitemetrics", cores: int | None = None) -> SparkSe
     cores = cores or os.cpu_count() or 8
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")

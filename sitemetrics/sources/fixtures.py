@@ -150,7 +150,7 @@ class Fixture:
 
     def event_stream(self, folder: str | None = None, max_files: int | None = None) -> DataFrame:
         """The event table (or a folder of its slices) as a stream of typed events."""
-        return self.to_events(runner.event_source(self.spark, folder or f"{self.folder}/events.parquet", RAW["events"],
+        return self.to_events(runner.event_source(self.spark, folder or f"{self.folder}/events.parquet*", RAW["events"],
                                                   max_files=max_files))
 
     def to_events(self, raw: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ class Fixture:
 
     def delta_stream(self, folder: str | None = None, max_files: int | None = None) -> DataFrame:
         """The replay deltas as a stream."""
-        raw = runner.event_source(self.spark, folder or f"{self.folder}/events.parquet", RAW["events"], max_files=max_files)
+        raw = runner.event_source(self.spark, folder or f"{self.folder}/events.parquet*", RAW["events"], max_files=max_files)
         return (raw.filter(F.col("event_type").isin("view", "click"))
                 .select("event_id", (F.col("user_id") % 25).cast("int").alias("site_id"),
                         F.col("ts").cast("timestamp").alias("event_time"),

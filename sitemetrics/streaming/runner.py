@@ -15,13 +15,13 @@ from pyspark.sql.types import StructType
 from sitemetrics.session import shared_dir
 
 # Bounds a micro-batch, and with it the rows one key can bring to one task.
-MAX_BYTES_PER_TRIGGER = "1g"
+MAX_BYTES_PER_TRIGGER = 1 << 30
 
 
-def event_source(spark: SparkSession, folder: str, schema: StructType | str, glob: str = "*.parquet",
+def event_source(spark: SparkSession, folder: str, schema: StructType | str,
                  max_files: int | None = None) -> DataFrame:
-    """Stream of Parquet files in order of their modification time."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """Stream of Parquet files in order of their modification time; `folder` may be a glob."""
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     else:
