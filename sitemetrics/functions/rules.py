@@ -30,6 +30,12 @@ def capacity_flags(occupancy: Column, capacity: Column) -> Column:
     )
 
 
+def capacity_mark(occupancy: Column, capacity: Column) -> Column:
+    """The capacity rule's mark alone, for row-level replay."""
+    load = occupancy * 100
+    return F.when(capacity > 0, mark(load > capacity * BREACH_ABOVE, load < capacity * RECOVER_BELOW))
+
+
 def revenue_flags(today: Column, last_week: Column) -> Column:
     """struct(trigger, resolve, drop_pct); no positive baseline gives neither flag."""
     today, last_week = today.cast("decimal(20,2)"), last_week.cast("decimal(20,2)")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sitemetrics.functions import rules
 from sitemetrics.functions import timeutil as tu
 from sitemetrics.functions.timeutil import DEFAULT_TZ
+from sitemetrics.session import cut
 
 BLOCK = timedelta(hours=1)
 
@@ -45,17 +46,17 @@ def occupancy_timeline(deltas: DataFrame, block: timedelta = BLOCK) -> DataFrame
                     (F.col("s") + F.greatest(F.col("carry"), -F.col("m"))).alias("occupancy")))
 
 
-def transitions(marked: DataFrame) -> DataFrame:
-    """State changes of (site_id, block, event_time, event_id, mark): rows where the last mark flips.
-
-    Every site starts closed. Result carries site_id, block, event_time, event_id, mark and payload columns.
-    """
-    marks = marked.filter(F.col("mark").isNotNull())
+def mark_runs(marked: DataFrame) -> DataFrame:
+    """Rows of (site_id, block, event_time, event_id, mark, ...) where the mark differs from the one before it
+    in the block; the first mark of a block always stays. Everything later works on these few rows."""
     inside = Window.partitionBy("site_id", "block").orderBy("event_time", "event_id")
-    # Runs of equal marks collapse to their first row; a block's first mark is checked against the carry.
-    runs = (marks.withColumn("before", F.lag("mark").over(inside))
+    return (marked.filter(F.col("mark").isNotNull()).withColumn("before", F.lag("mark").over(inside))
             .filter(F.col("before").isNull() | (F.col("before") != F.col("mark"))))
-    last = (marks.groupBy("site_id", "block")
+
+
+def transitions(runs: DataFrame) -> DataFrame:
+    """State changes: runs that differ from the site's state before them. Every site starts closed."""
+    last = (runs.groupBy("site_id", "block")
             .agg(F.max_by("mark", F.struct("event_time", "event_id")).alias("last_mark")))
     chain = Window.partitionBy("site_id").orderBy("block")
     carried = last.select("site_id", "block", F.coalesce(F.lag("last_mark").over(chain), F.lit(0)).alias("carry"))
@@ -77,15 +78,12 @@ def episodes(changes: DataFrame) -> DataFrame:
             .drop("next_at", "next_block_at", "mark", "block"))
 
 
-def capacity_marks(deltas: DataFrame, capacity: DataFrame, block: timedelta = BLOCK) -> DataFrame:
-    """Occupancy timeline with percent of capacity and the rule's mark. `capacity`: site_id, capacity."""
-    flags = rules.capacity_flags(F.col("occupancy"), F.col("capacity"))
-    return (occupancy_timeline(deltas, block).join(capacity, "site_id")
-            .withColumn("f", flags).withColumn("mark", rules.mark(F.col("f.trigger"), F.col("f.resolve"))).drop("f"))
-
-
 def capacity_transitions(deltas: DataFrame, capacity: DataFrame, block: timedelta = BLOCK) -> DataFrame:
-    return transitions(capacity_marks(deltas, capacity, block))
+    """Every opening (mark 1) and closing (mark 0) of the capacity rule. `capacity`: site_id, capacity."""
+    marked = (occupancy_timeline(deltas, block).join(capacity, "site_id")
+              .withColumn("mark", rules.capacity_mark(F.col("occupancy"), F.col("capacity"))).drop("capacity"))
+    # The row-level scan runs once; its compressed result is read twice below.
+    return transitions(cut(mark_runs(marked)))
 
 
 def capacity_episodes(deltas: DataFrame, capacity: DataFrame, block: timedelta = BLOCK) -> DataFrame:
