@@ -46,9 +46,14 @@ def dismiss(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """Full-outer merge on anomaly_id: new rows are added, non-null values of a change win. Idempotent."""
-    change = changes.select("anomaly_id", F.struct(*[c for c in current.columns if c != "anomaly_id"]).alias("n"))
-    merged = [F.coalesce(F.col(f"n.{c}"), F.col(c)).alias(c) for c in current.columns if c != "anomaly_id"]
+    """Full-outer merge on anomaly_id: new rows are added, non-null values of a change win. Idempotent.
+
+    Of several changes of one id the resolved one counts.
+    """
+    fields = [c for c in current.columns if c != "anomaly_id"]
+    change = (changes.groupBy("anomaly_id")
+              .agg(F.max_by(F.struct(*fields), F.struct("resolved", "resolved_at", "detected_at")).alias("n")))
+    merged = [F.coalesce(F.col(f"n.{c}"), F.col(c)).alias(c) for c in fields]
     return current.join(change, "anomaly_id", "full").select("anomaly_id", *merged)
 
 

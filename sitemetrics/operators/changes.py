@@ -11,6 +11,7 @@ from sitemetrics.sources.tables import Tables
 
 def close_visits(visits: DataFrame, closures: DataFrame) -> DataFrame:
     """Set checked_out of the visits in `closures` (visit_id, closed_at); a repeated id keeps the last closing."""
+    visits = visits.drop("is_open")  # layout column of the stored table, recomputed when written
     last = closures.groupBy("visit_id").agg(F.max("closed_at").alias("closed_at"))
     return (visits.join(last, "visit_id", "left")
             .withColumn("checked_out", F.coalesce("closed_at", "checked_out")).select(*visits.columns))
@@ -60,7 +61,8 @@ def replace_cohort(visits: DataFrame, cohort: DataFrame, as_of: datetime, days_a
              + F.make_dt_interval(mins=at))
     fresh = cohort.select((-F.col("member_id") - 1).alias("visit_id"), "member_id", "site_id",
                           start.alias("checked_in"), (start + F.make_dt_interval(mins=stay)).alias("checked_out"))
-    return visits.join(cohort.select("member_id"), "member_id", "left_anti").select(*visits.columns).unionByName(fresh)
+    kept = visits.join(cohort.select("member_id"), "member_id", "left_anti").select(*fresh.columns)
+    return kept.unionByName(fresh)
 
 
 def windowed_delete(df: DataFrame, col: str, lo: datetime, sites: list[int]) -> DataFrame:

@@ -16,7 +16,8 @@ from sitemetrics.functions import timeutil as tu
 from sitemetrics.functions.timeutil import DEFAULT_TZ
 from sitemetrics.session import cut
 
-BLOCK = timedelta(hours=1)
+# A site's rows of one block share a task; its blocks share one only as one-row summaries.
+BLOCK = timedelta(minutes=15)
 
 
 def _block(moment: Column, size: timedelta) -> Column:
@@ -102,6 +103,8 @@ def daily_revenue(payments: DataFrame, sites: DataFrame, tz: str = DEFAULT_TZ) -
 
 def fill_days(days: DataFrame, sites: DataFrame) -> DataFrame:
     """Zero-fill (site_id, day, revenue) over the common span of days."""
+    # One row a site and day, read for the span and again for the join.
+    days = cut(days)
     span = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
     if span.lo is None:
         return days
@@ -135,13 +138,12 @@ def zero_visit_history(visits: DataFrame, sites: DataFrame, tz: str = DEFAULT_TZ
     width, back = int(step.total_seconds()) * 1_000_000, int(look_back.total_seconds()) * 1_000_000
     at = tu.micros(F.col("checked_in"))
     first, last = F.ceil(at / F.lit(width)).cast("long"), F.floor((at + back) / F.lit(width)).cast("long")
-    slots = (visits.select("site_id", first.alias("p0"), last.alias("p1")).groupBy("site_id", "p0", "p1")
-             .agg(F.count(F.lit(1)).alias("n")))
-    seen = (slots.select("site_id", F.explode(F.sequence("p0", "p1")).alias("probe"), "n")
-            .groupBy("site_id", "probe").agg(F.sum("n").alias("recent_count")))
-    span = visits.agg(F.min("checked_in").alias("lo"), F.max("checked_in").alias("hi")).select(
-        F.ceil((tu.micros(F.col("lo")) + back) / F.lit(width)).cast("long").alias("lo"),
-        F.floor(tu.micros(F.col("hi")) / F.lit(width)).cast("long").alias("hi")).first()
+    # At most two rows a site and step; read for the span and again for the probes.
+    slots = cut(visits.select("site_id", first.alias("p0"), last.alias("p1"), at.alias("at")).groupBy("site_id", "p0", "p1")
+                .agg(F.min("at").alias("from_at"), F.max("at").alias("to_at")))
+    seen = slots.select("site_id", F.explode(F.sequence("p0", "p1")).alias("probe")).distinct()
+    span = slots.agg(F.ceil((F.min("from_at") + back) / F.lit(width)).cast("long").alias("lo"),
+                     F.floor(F.max("to_at") / F.lit(width)).cast("long").alias("hi")).first()
     if span.lo is None or span.lo > span.hi:
         return visits.sparkSession.createDataFrame([], "site_id int, probe_at timestamp_ntz")
     probes = (sites.filter(F.col("status") == "active")

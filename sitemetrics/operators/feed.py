@@ -19,18 +19,21 @@ def feed_events(t: Tables) -> DataFrame:
     """Check-ins, check-outs and payments as one relation; absent fields are typed NULLs."""
     no_amount, no_plan = F.lit(None).cast("decimal(12,2)"), F.lit(None).cast("string")
 
-    def stream(df, ident, kind, member, when, action, amount=no_amount, plan=no_plan):
-        return df.select("site_id", ident.alias("id"), F.lit(kind).alias("event_type"), F.col(member).alias("member_id"),
-                         F.col(when).alias("event_time"), F.lit(action).alias("action"),
-                         amount.alias("amount"), plan.alias("plan_type"))
+    def event(ident, kind, when, action):
+        return F.struct(ident.alias("id"), F.lit(kind).alias("event_type"), F.col(when).alias("event_time"),
+                        F.lit(action).alias("action"))
 
+    # Both ends of a visit come from one scan.
     visit_id = F.col("visit_id").cast("string")
-    ins = stream(t.visits, F.concat(visit_id, F.lit("-in")), "checkin", "member_id", "checked_in", "checked_in")
-    outs = stream(t.visits.filter(F.col("checked_out").isNotNull()), F.concat(visit_id, F.lit("-out")),
-                  "checkout", "member_id", "checked_out", "checked_out")
-    paid = stream(t.payments, F.col("payment_id").cast("string"), "payment", "member_id", "paid_at", "paid",
-                  F.col("amount"), F.col("plan_type"))
-    return ins.unionByName(outs).unionByName(paid)
+    ends = F.array(event(F.concat(visit_id, F.lit("-in")), "checkin", "checked_in", "checked_in"),
+                   event(F.concat(visit_id, F.lit("-out")), "checkout", "checked_out", "checked_out"))
+    columns = ["site_id", "id", "event_type", "member_id", "event_time", "action", "amount", "plan_type"]
+    moves = (t.visits.select("site_id", "member_id", F.explode(ends).alias("e")).select("site_id", "member_id", "e.*")
+             .filter(F.col("event_time").isNotNull())
+             .withColumns({"amount": no_amount, "plan_type": no_plan}).select(*columns))
+    paid = (t.payments.withColumns({"id": F.col("payment_id").cast("string"), "event_type": F.lit("payment"),
+                                    "event_time": F.col("paid_at"), "action": F.lit("paid")}).select(*columns))
+    return moves.unionByName(paid)
 
 
 def newest(events: DataFrame, n: int = FEED_SIZE) -> DataFrame:

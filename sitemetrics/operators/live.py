@@ -24,6 +24,9 @@ def site_operating(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFram
 
 
 def open_visits(visits: DataFrame) -> DataFrame:
+    """Visits without an end. On stored tables only the partitions of open visits are read."""
+    if "is_open" in visits.columns:
+        visits = visits.filter(F.col("is_open")).drop("is_open")
     return visits.filter(F.col("checked_out").isNull())
 
 

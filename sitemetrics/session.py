@@ -18,6 +18,8 @@ def build_session(app: str = "sitemetrics", cores: int | None = None) -> SparkSe
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python call site of every Column call costs more than planning for wide reports.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

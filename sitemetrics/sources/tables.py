@@ -39,7 +39,7 @@ class Tables:
     def rewind(self, as_of: datetime) -> Tables:
         """The tables as they stood at `as_of`: later rows are gone, later closings not yet made."""
         now = tu.ts(as_of)
-        visits = (self.visits.filter(F.col("checked_in") <= now)
+        visits = (self.visits.drop("is_open").filter(F.col("checked_in") <= now)
                   .withColumn("checked_out", F.when(F.col("checked_out") <= now, F.col("checked_out"))))
         anomalies = self.anomalies
         if anomalies is not None:
@@ -71,17 +71,21 @@ def read_tables(spark: SparkSession, folder: str) -> Tables:
 
 
 def write_tables(tables: Tables, folder: str, tz: str = tu.DEFAULT_TZ) -> None:
-    """Write the bundle; the fact tables are partitioned by local date so time windows prune files."""
+    """Write the bundle. The fact tables are partitioned by local date, so time windows prune files, and visits
+    by open or closed as well, so live queries read the open ones alone."""
     for name in schemas.TABLES:
         df = getattr(tables, name)
         if df is None:
             continue
         if name in DATE_OF:
             # Range partitioning splits a busy date over several files; time order helps row-group pruning.
+            layout = ["is_open", "local_date"] if name == "visits" else ["local_date"]
+            if name == "visits":
+                df = df.withColumn("is_open", F.col("checked_out").isNull())
             (df.withColumn("local_date", tu.local_date(F.col(DATE_OF[name]), tz))
-             .repartitionByRange("local_date", DATE_OF[name])
-             .sortWithinPartitions("local_date", DATE_OF[name])
-             .write.mode("errorifexists").partitionBy("local_date").parquet(f"{folder}/{name}"))
+             .repartitionByRange(*layout, DATE_OF[name])
+             .sortWithinPartitions(*layout, DATE_OF[name])
+             .write.mode("errorifexists").partitionBy(*layout).parquet(f"{folder}/{name}"))
         else:
             df.write.mode("errorifexists").parquet(f"{folder}/{name}")
 
