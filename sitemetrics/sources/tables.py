@@ -8,12 +8,16 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitemetrics import schemas
 from sitemetrics.functions import timeutil as tu
 from sitemetrics.session import MAX_BROADCAST_ROWS
 
 DATE_OF = {"visits": "checked_in", "payments": "paid_at"}
+# Partition columns of the stored fact tables.
+LAYOUT = {"visits": [T.StructField("is_open", T.BooleanType()), T.StructField("local_date", T.DateType())],
+          "payments": [T.StructField("local_date", T.DateType())]}
 
 
 @dataclass(frozen=True)
@@ -62,7 +66,8 @@ def with_defaults(df: DataFrame, table: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return with_defaults(spark.read.schema(schemas.TABLES[table]).parquet(f"{folder}/{table}"), table)
+    schema = T.StructType(schemas.TABLES[table].fields + LAYOUT.get(table, []))
+    return with_defaults(spark.read.schema(schema).parquet(f"{folder}/{table}"), table)
 
 
 def read_tables(spark: SparkSession, folder: str) -> Tables:
@@ -79,7 +84,7 @@ def write_tables(tables: Tables, folder: str, tz: str = tu.DEFAULT_TZ) -> None:
             continue
         if name in DATE_OF:
             # Range partitioning splits a busy date over several files; time order helps row-group pruning.
-            layout = ["is_open", "local_date"] if name == "visits" else ["local_date"]
+            layout = [f.name for f in LAYOUT[name]]
             if name == "visits":
                 df = df.withColumn("is_open", F.col("checked_out").isNull())
             (df.withColumn("local_date", tu.local_date(F.col(DATE_OF[name]), tz))
