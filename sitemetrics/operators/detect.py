@@ -1,9 +1,8 @@
 """One detection cycle for all active sites: evaluate the rules, open and resolve anomalies."""
 
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemetrics.functions import rules
@@ -15,47 +14,69 @@ from sitemetrics.session import cut
 from sitemetrics.sources.tables import Tables
 
 
+def _rules(as_of: datetime, tz: str) -> dict[str, Column]:
+    """struct(trigger, resolve, message) per rule, over a row with the site and its counts and totals."""
+    c = F.col
+    opened_now = tu.is_open(as_of, c("opens_min"), c("closes_min"), tz)
+    load, sales = rules.capacity_flags(c("current_occupancy"), c("capacity")), rules.revenue_flags(c("today_total"), c("last_week_total"))
+
+    def known(value, text, *args):
+        return F.when(value.isNotNull(), F.format_string(text, c("name"), rules.one_decimal(value), *args))
+
+    def verdict(trigger, resolve, message):
+        return F.struct(trigger.alias("trigger"), resolve.alias("resolve"), message.alias("message"))
+    return {
+        "zero_checkins": verdict(rules.zero_visits_trigger(c("status"), opened_now, c("recent_count")), c("recent_count") > 0,
+                                 F.format_string(rules.ZERO_MESSAGE, "name")),
+        "capacity_breach": verdict(load["trigger"], load["resolve"], known(
+            load["pct"], rules.CAPACITY_MESSAGE, c("current_occupancy"), c("capacity"))),
+        "revenue_drop": verdict(sales["trigger"], sales["resolve"], known(sales["drop_pct"], rules.REVENUE_MESSAGE)),
+    }
+
+
+def _active(t: Tables, *per_site: DataFrame) -> DataFrame:
+    """Active sites with the given one-row-a-site measures."""
+    df = live.active_sites(t)
+    for measure in per_site:
+        df = df.join(t.site_bounded(measure), "site_id", "left")
+    return df
+
+
 def rule_zero_visits(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ, hours: int = 2) -> DataFrame:
     """Warn when an active, open site had no visit in the last hours; any recent visit resolves."""
-    sites = live.active_sites(t)
-    opened = tu.is_open(as_of, F.col("opens_min"), F.col("closes_min"), tz)
-    return (sites.join(t.site_bounded(live.recent_visit_count(t, as_of, hours)), "site_id")
-            .select("site_id", F.col("name").alias("site_name"), "recent_count",
-                    rules.zero_visits_trigger(F.col("status"), opened, F.col("recent_count")).alias("trigger"),
-                    (F.col("recent_count") > 0).alias("resolve"),
-                    F.format_string(rules.ZERO_MESSAGE, "name").alias("message")))
+    return (_active(t, live.recent_visits(t, as_of, hours)).withColumn("recent_count", F.coalesce("recent_count", F.lit(0)))
+            .withColumn("r", _rules(as_of, tz)["zero_checkins"])
+            .select("site_id", F.col("name").alias("site_name"), "recent_count", "r.*"))
 
 
-def rule_capacity(t: Tables) -> DataFrame:
+def rule_capacity(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
     """Critical above 90 % of capacity, recovered below 85 %, unchanged between."""
-    return (live.active_sites(t).join(t.site_bounded(live.live_occupancy(t)), "site_id")
-            .withColumn("f", rules.capacity_flags(F.col("current_occupancy"), F.col("capacity")))
-            .select("site_id", F.col("name").alias("site_name"), "current_occupancy", "capacity",
-                    F.col("f.trigger"), F.col("f.resolve"), F.col("f.pct"),
-                    F.when(F.col("f.pct").isNotNull(), F.format_string(
-                        rules.CAPACITY_MESSAGE, F.col("name"), rules.one_decimal(F.col("f.pct")),
-                        F.col("current_occupancy"), F.col("capacity"))).alias("message")))
+    return (_active(t, live.occupancy(t)).withColumn("current_occupancy", F.coalesce("current_occupancy", F.lit(0)))
+            .withColumn("r", _rules(as_of, tz)["capacity_breach"])
+            .select("site_id", F.col("name").alias("site_name"), "current_occupancy", "capacity", "r.*",
+                    rules.capacity_flags(F.col("current_occupancy"), F.col("capacity"))["pct"].alias("pct")))
 
 
 def rule_revenue_drop(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
     """Warn when today so far is at most 70 % of the same weekday last week, recovered from 80 %."""
-    totals = live.revenue_today_vs_last_week(t, as_of, tz)
-    return (live.active_sites(t).join(t.site_bounded(totals), "site_id")
-            .withColumn("f", rules.revenue_flags(F.col("today_total"), F.col("last_week_total")))
-            .select("site_id", F.col("name").alias("site_name"), F.col("today_total").cast("double").alias("today_total"),
-                    F.col("last_week_total").cast("double").alias("last_week_total"),
-                    F.col("f.trigger"), F.col("f.resolve"), F.col("f.drop_pct"),
-                    F.when(F.col("f.drop_pct").isNotNull(), F.format_string(
-                        rules.REVENUE_MESSAGE, F.col("name"), rules.one_decimal(F.col("f.drop_pct")))).alias("message")))
+    total, before = F.col("today_total"), F.col("last_week_total")
+    return (_active(t, live.revenue_totals(t, as_of, tz)).withColumns(live.zero_totals())
+            .withColumn("r", _rules(as_of, tz)["revenue_drop"])
+            .select("site_id", F.col("name").alias("site_name"), total.cast("double").alias("today_total"),
+                    before.cast("double").alias("last_week_total"), "r.*",
+                    rules.revenue_flags(total, before)["drop_pct"].alias("drop_pct")))
 
 
 def rule_flags(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
-    """Three rows per active site: type, severity, trigger, resolve, message."""
-    evaluated = {"zero_checkins": rule_zero_visits(t, as_of, tz), "capacity_breach": rule_capacity(t),
-                 "revenue_drop": rule_revenue_drop(t, as_of, tz)}
-    parts = [df.select("site_id", "site_name", F.lit(kind).alias("type"), F.lit(rules.SEVERITY[kind]).alias("severity"),
-                       "trigger", "resolve", "message") for kind, df in evaluated.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """Three rows per active site: type, severity, trigger, resolve, message. One join of the sites with the
+    three measures, then one row per rule."""
+    measured = (_active(t, live.recent_visits(t, as_of), live.occupancy(t), live.revenue_totals(t, as_of, tz))
+                .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("recent_count", "current_occupancy")})
+                .withColumns(live.zero_totals()))
+    rows = [F.struct(F.lit(kind).alias("type"), F.lit(rules.SEVERITY[kind]).alias("severity"), verdict.alias("v"))
+            for kind, verdict in _rules(as_of, tz).items()]
+    return (measured.select("site_id", F.col("name").alias("site_name"), F.explode(F.array(*rows)).alias("r"))
+            .select("site_id", "site_name", "r.type", "r.severity", "r.v.*"))
 
 
 def anomaly_id(site_id, kind, detected_at):

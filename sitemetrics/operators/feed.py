@@ -107,14 +107,20 @@ def encode(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.to_json(F.struct(*fields)).alias("payload"))
 
 
-def decode(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, rejected): messages that are not valid JSON objects with a known type go to `rejected`."""
+def parse(messages: DataFrame) -> DataFrame:
+    """Messages with their parsed fields and a flag `valid`: a complete JSON object with a known type."""
     parsed = messages.withColumn("e", F.from_json("payload", ENVELOPE, {"mode": "PERMISSIVE"}))
     valid = F.coalesce(F.col("e.type").isin(*EVENT_TYPES), F.lit(False))
     # A truncated object can parse partially; it counts only if the text closes the object.
     valid = valid & F.col("payload").rlike(r"\}\s*$")
-    events = parsed.filter(valid).select("e.*").withColumn("event_time", F.to_timestamp_ntz("event_time", F.lit(ISO)))
-    return events, parsed.filter(~valid).select("payload")
+    return (parsed.withColumn("valid", valid).select("payload", "valid", "e.*")
+            .withColumn("event_time", F.try_to_timestamp("event_time", F.lit(ISO)).cast("timestamp_ntz")))
+
+
+def decode(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejected messages)."""
+    parsed = parse(messages)
+    return parsed.filter("valid").select(*ENVELOPE.fieldNames()), parsed.filter(~F.col("valid")).select("payload")
 
 
 def unread_anomalies(t: Tables) -> DataFrame:

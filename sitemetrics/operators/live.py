@@ -36,12 +36,13 @@ def _per_site(t: Tables, per_site: DataFrame, **zeros) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(z)) for c, z in zeros.items()})
 
 
-def _occupancy(t: Tables) -> DataFrame:
+def occupancy(t: Tables) -> DataFrame:
+    """Open visits of the sites that have any."""
     return open_visits(t.visits).groupBy("site_id").agg(F.count(F.lit(1)).alias("current_occupancy"))
 
 
 def live_occupancy(t: Tables) -> DataFrame:
-    return _per_site(t, _occupancy(t), current_occupancy=0).select("site_id", "current_occupancy")
+    return _per_site(t, occupancy(t), current_occupancy=0).select("site_id", "current_occupancy")
 
 
 def _revenue_today(t: Tables, as_of: datetime, tz: str) -> DataFrame:
@@ -54,31 +55,41 @@ def today_revenue(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame
     return _per_site(t, _revenue_today(t, as_of, tz), today_revenue=0.0).select("site_id", "today_revenue")
 
 
-def revenue_today_vs_last_week(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
+def zero_totals() -> dict:
+    """Both totals with zero for absent sites."""
+    zero = F.lit(0).cast("decimal(22,2)")
+    return {c: F.coalesce(F.col(c), zero) for c in ("today_total", "last_week_total")}
+
+
+def revenue_totals(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
     """Today (so far) and the same weekday a week ago (whole day), in one scan of the last eight days."""
     today, tomorrow = tu.local_midnight(as_of, tz), tu.local_midnight(as_of, tz, 1)
     then, then_end = tu.local_midnight(as_of, tz, -7), tu.local_midnight(as_of, tz, -6)
     paid = F.col("paid_at")
     in_today, in_then = paid >= tu.ts(today), paid < tu.ts(then_end)
-    sums = (tu.within(t.payments, "paid_at", then, tomorrow, tz).filter(in_today | in_then)
+    return (tu.within(t.payments, "paid_at", then, tomorrow, tz).filter(in_today | in_then)
             .groupBy("site_id")
             .agg(F.sum(F.when(in_today, F.col("amount"))).alias("today_total"),
                  F.sum(F.when(in_then, F.col("amount"))).alias("last_week_total")))
-    zero = F.lit(0).cast("decimal(22,2)")
-    return (t.sites.join(t.site_bounded(sums), "site_id", "left")
-            .select("site_id", F.coalesce("today_total", zero).alias("today_total"),
-                    F.coalesce("last_week_total", zero).alias("last_week_total")))
+
+
+def revenue_today_vs_last_week(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
+    totals = t.site_bounded(revenue_totals(t, as_of, tz))
+    return t.sites.join(totals, "site_id", "left").withColumns(zero_totals()).select("site_id", *zero_totals())
+
+
+def recent_visits(t: Tables, as_of: datetime, hours: int = 2) -> DataFrame:
+    return (tu.within(t.visits, "checked_in", as_of - timedelta(hours=hours))
+            .groupBy("site_id").agg(F.count(F.lit(1)).alias("recent_count")))
 
 
 def recent_visit_count(t: Tables, as_of: datetime, hours: int = 2) -> DataFrame:
-    recent = (tu.within(t.visits, "checked_in", as_of - timedelta(hours=hours))
-              .groupBy("site_id").agg(F.count(F.lit(1)).alias("recent_count")))
-    return _per_site(t, recent, recent_count=0).select("site_id", "recent_count")
+    return _per_site(t, recent_visits(t, as_of, hours), recent_count=0).select("site_id", "recent_count")
 
 
 def site_overview(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
     """Every site with occupancy and today's revenue, by name. Facts are aggregated before the joins."""
-    both = (t.sites.join(t.site_bounded(_occupancy(t)), "site_id", "left")
+    both = (t.sites.join(t.site_bounded(occupancy(t)), "site_id", "left")
             .join(t.site_bounded(_revenue_today(t, as_of, tz)), "site_id", "left"))
     return (both.select("site_id", "name", "city", "capacity", "status",
                         F.coalesce("current_occupancy", F.lit(0)).alias("current_occupancy"),
@@ -95,7 +106,7 @@ def fleet_summary(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame
 def occupancy_status(t: Tables) -> DataFrame:
     """Occupancy with percent of capacity, band and the bar fill capped at 100."""
     percent = metrics.capacity_pct(F.col("current_occupancy"), F.col("capacity"))
-    return (_per_site(t, _occupancy(t), current_occupancy=0)
+    return (_per_site(t, occupancy(t), current_occupancy=0)
             .withColumn("capacity_pct", percent)
             .select("site_id", "current_occupancy", "capacity", "capacity_pct",
                     metrics.occupancy_band(F.col("capacity_pct")).alias("band"),

@@ -58,7 +58,7 @@ select a.anomaly_id, a.site_id, a.type, a.severity, a.message, true as resolved,
 from anomalies a join acts x on x.site_id = a.site_id and x.type = a.type and x.action = 'resolve' where not a.resolved""",
 }
 query("rule_zero_visits", "select * from zero", RULES)(lambda fx: detect.rule_zero_visits(fx.live, AS_OF))
-query("rule_capacity", "select * from capacity", RULES)(lambda fx: detect.rule_capacity(fx.live))
+query("rule_capacity", "select * from capacity", RULES)(lambda fx: detect.rule_capacity(fx.live, AS_OF))
 query("rule_revenue_drop", """
 select site_id, site_name, today_total, last_week_total, trigger, resolve, drop_pct, message from revenue
 """, RULES)(lambda fx: detect.rule_revenue_drop(fx.live, AS_OF))

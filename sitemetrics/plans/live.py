@@ -199,7 +199,7 @@ def event_decode(fx):
     """Encode everything, damage the messages whose hash starts with 0, decode; damaged ones must be rejected."""
     sent = feed.encode(feed.envelope_events(fx.all))
     damaged = F.when(F.md5("event_id").startswith("0"), F.expr("left(payload, length(payload) - 1)")).otherwise(F.col("payload"))
-    events, rejected = feed.decode(sent.select(damaged.alias("payload")))
-    good = events.select("type", "event_id", "site_id", "event_time", "member_id", F.col("amount").cast("double").alias("amount"),
-                         "plan_type", "anomaly_id", "severity", F.lit(False).alias("rejected"))
-    return good.unionByName(rejected.select(F.lit(True).alias("rejected")), allowMissingColumns=True)
+    parsed = feed.parse(sent.select(damaged.alias("payload")))
+    fields = ["type", "event_id", "site_id", "event_time", "member_id", "amount", "plan_type", "anomaly_id", "severity"]
+    return (parsed.withColumn("amount", F.col("amount").cast("double"))
+            .select(*[F.when(F.col("valid"), F.col(c)).alias(c) for c in fields], (~F.col("valid")).alias("rejected")))

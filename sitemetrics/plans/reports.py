@@ -174,7 +174,7 @@ select count(*) as current_occupancy from visits where site_id = {SITE} and chec
 query("bench_q2", f"""
 select cast(coalesce(sum(amount), 0) as double) as today_revenue from payments
 where site_id = {SITE} and paid_at >= {DAY} and paid_at < {DAY} + INTERVAL '1 day'
-""")(lambda fx: live.today_revenue(fx.live.only([SITE]), AS_OF).select("today_revenue"))
+""")(lambda fx: live.today_revenue(fx.live, AS_OF).filter(F.col("site_id") == SITE).select("today_revenue"))
 query("bench_q3", "select member_id, name, last_checkin_at from churn", _CHURN)(
     lambda fx: analytics.churn_risk(fx.ledger, LEDGER_AS_OF).select("member_id", "name", "last_checkin_at"))
 query("bench_q4", f"select * from hourly where site_id = {SITE}", _HEAT)(
