@@ -24,11 +24,11 @@ def _block(moment: Column, size: timedelta) -> Column:
     return F.floor(tu.micros(moment) / F.lit(int(size.total_seconds() * 1_000_000))).cast("long")
 
 
-def occupancy_timeline(deltas: DataFrame, block: timedelta = BLOCK) -> DataFrame:
-    """Occupancy after every delta of a site, never below zero: occ = max(0, occ + delta) in time order.
+def _scan(deltas: DataFrame, block: timedelta, start: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows with running sum s and running minimum m inside their block, occupancy before and after each block).
 
-    Input: site_id, event_time, event_id, delta. Within a block with running sum s and running minimum m of s,
-    an occupancy x at its start becomes s + max(x, -m).
+    From an occupancy x at a block's start, the occupancy inside it is s + max(x, -m). `start`: site_id,
+    occupancy before the first row (absent sites: 0).
     """
     order = (Window.partitionBy("site_id", "block").orderBy("event_time", "event_id")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -36,17 +36,34 @@ def occupancy_timeline(deltas: DataFrame, block: timedelta = BLOCK) -> DataFrame
              .withColumn("s", F.sum("delta").over(order))
              .withColumn("m", F.min("s").over(order)))
     whole = steps.groupBy("site_id", "block").agg(F.sum("delta").alias("net"), F.min("s").alias("low"))
+    if start is None:
+        whole = whole.withColumn("x", F.lit(0).cast("long"))
+    else:
+        first = start.select("site_id", F.col("occupancy").cast("long").alias("x"))
+        whole = whole.join(first, "site_id", "left").withColumn("x", F.coalesce("x", F.lit(0)))
     chain = Window.partitionBy("site_id").orderBy("block")
     upto = chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = (whole.withColumn("end", F.sum("net").over(upto))
-               .withColumn("floor", F.min(F.col("end") - F.col("net") + F.col("low")).over(upto))
-               .withColumn("after", F.col("end") - F.least(F.lit(0), F.col("floor")))
-               .select("site_id", "block", F.coalesce(F.lag("after").over(chain), F.lit(0)).alias("carry")))
-    return (steps.join(carried, ["site_id", "block"])
+    blocks = (whole.withColumn("end", F.sum("net").over(upto))
+              .withColumn("lowest", F.min(F.col("end") - F.col("net") + F.col("low")).over(upto))
+              .withColumn("after", F.col("end") + F.greatest(F.col("x"), -F.col("lowest")))
+              .select("site_id", "block", F.coalesce(F.lag("after").over(chain), F.col("x")).alias("carry"), "after"))
+    return steps, blocks
+
+
+def _filled(steps: DataFrame, blocks: DataFrame) -> DataFrame:
+    return (steps.join(blocks.drop("after"), ["site_id", "block"])
             .select("site_id", "block", "event_time", "event_id",
                     (F.col("s") + F.greatest(F.col("carry"), -F.col("m"))).alias("occupancy")))
 
 
+def occupancy_timeline(deltas: DataFrame, block: timedelta = BLOCK, start: DataFrame | None = None) -> DataFrame:
+    """Occupancy after every delta of a site, never below zero: occ = max(0, occ + delta) in time order.
+
+    Input: site_id, event_time, event_id, delta.
+    """
+    return _filled(*_scan(deltas, block, start))
+
+
 def mark_runs(marked: DataFrame) -> DataFrame:
     """Rows of (site_id, block, event_time, event_id, mark, ...) where the mark differs from the one before it
     in the block; the first mark of a block always stays. Everything later works on these few rows."""
@@ -55,12 +72,18 @@ def mark_runs(marked: DataFrame) -> DataFrame:
             .filter(F.col("before").isNull() | (F.col("before") != F.col("mark"))))
 
 
-def transitions(runs: DataFrame) -> DataFrame:
-    """State changes: runs that differ from the site's state before them. Every site starts closed."""
+def transitions(runs: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """State changes: runs that differ from the site's state before them. Sites start closed, or as `start`
+    (site_id, is_open) says."""
     last = (runs.groupBy("site_id", "block")
             .agg(F.max_by("mark", F.struct("event_time", "event_id")).alias("last_mark")))
+    if start is None:
+        last = last.withColumn("initial", F.lit(0))
+    else:
+        state = start.select("site_id", F.col("is_open").cast("int").alias("initial"))
+        last = last.join(state, "site_id", "left").withColumn("initial", F.coalesce("initial", F.lit(0)))
     chain = Window.partitionBy("site_id").orderBy("block")
-    carried = last.select("site_id", "block", F.coalesce(F.lag("last_mark").over(chain), F.lit(0)).alias("carry"))
+    carried = last.select("site_id", "block", F.coalesce(F.lag("last_mark").over(chain), F.col("initial")).alias("carry"))
     return (runs.join(carried, ["site_id", "block"])
             .filter(F.coalesce("before", "carry") != F.col("mark"))
             .drop("before", "carry"))
@@ -79,12 +102,36 @@ def episodes(changes: DataFrame) -> DataFrame:
             .drop("next_at", "next_block_at", "mark", "block"))
 
 
+def _marked(timeline: DataFrame, capacity: DataFrame) -> DataFrame:
+    return (timeline.join(capacity, "site_id")
+            .withColumn("mark", rules.capacity_mark(F.col("occupancy"), F.col("capacity"))).drop("capacity"))
+
+
 def capacity_transitions(deltas: DataFrame, capacity: DataFrame, block: timedelta = BLOCK) -> DataFrame:
     """Every opening (mark 1) and closing (mark 0) of the capacity rule. `capacity`: site_id, capacity."""
-    marked = (occupancy_timeline(deltas, block).join(capacity, "site_id")
-              .withColumn("mark", rules.capacity_mark(F.col("occupancy"), F.col("capacity"))).drop("capacity"))
     # The row-level scan runs once; its compressed result is read twice below.
-    return transitions(cut(mark_runs(marked)))
+    return transitions(cut(mark_runs(_marked(occupancy_timeline(deltas, block), capacity))))
+
+
+CAPACITY_STATE = "site_id int, occupancy bigint, is_open boolean"
+
+
+def capacity_advance(stored: DataFrame, arrived: DataFrame, capacity: DataFrame,
+                     block: timedelta = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(changes, new state) after the rows of one drain, which are newer than all earlier ones.
+
+    `stored`: site_id, occupancy, is_open. The same segmented scan as the replay, continued from the stored
+    state, so a busy site is still spread over its blocks.
+    """
+    steps, blocks = _scan(arrived, block, stored)
+    blocks = cut(blocks)
+    changes = transitions(cut(mark_runs(_marked(_filled(steps, blocks), capacity))), stored)
+    occupancy = blocks.groupBy("site_id").agg(F.max_by("after", "block").alias("now_occupancy"))
+    state = changes.groupBy("site_id").agg((F.max_by("mark", F.struct("event_time", "event_id")) == 1).alias("now_open"))
+    new = (stored.join(occupancy, "site_id", "full").join(state, "site_id", "left")
+           .select("site_id", F.coalesce("now_occupancy", "occupancy").alias("occupancy"),
+                   F.coalesce("now_open", "is_open", F.lit(False)).alias("is_open")))
+    return changes, new
 
 
 def capacity_episodes(deltas: DataFrame, capacity: DataFrame, block: timedelta = BLOCK) -> DataFrame:

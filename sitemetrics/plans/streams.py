@@ -109,6 +109,20 @@ where epoch_ms(event_time) < (select epoch_ms(max(event_time)) - 7200000 from de
         fx.delta_stream(), fx.all.site_bounded(fx.sites.select("site_id", F.lit(REPLAY_CAPACITY).alias("capacity"))))),
         "event_time"))
 
+@query("stream_capacity_fold", """
+select site_id, event_time, event_id, case state when 1 then 'open' else 'resolve' end as action, occupancy from changes
+""", TIMELINE)
+def stream_capacity_fold(fx):
+    """The same changes from the appended rows, folded in two steps with the state stored in between."""
+    rows = wall_clock(drain(fx, "deltas", fx.delta_stream()), "event_time")
+    half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    empty = fx.spark.createDataFrame([], episodes.CAPACITY_STATE)
+    first, state = episodes.capacity_advance(empty, rows.filter(F.col("event_time") < half), replay_capacity(fx))
+    second, _ = episodes.capacity_advance(state, rows.filter(F.col("event_time") >= half), replay_capacity(fx))
+    return first.unionByName(second).select("site_id", "event_time", "event_id", "occupancy", F.when(
+        F.col("mark") == 1, "open").otherwise("resolve").alias("action"))
+
+
 query("capacity_transitions", """
 select site_id, event_time, event_id, case state when 1 then 'open' else 'resolve' end as action, occupancy from changes
 """, TIMELINE)(lambda fx: episodes.capacity_transitions(fx.deltas, replay_capacity(fx)).select(

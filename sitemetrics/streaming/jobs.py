@@ -6,6 +6,7 @@ event_time TIMESTAMP, delta, amount, plan_type, anomaly fields.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def capacity_events(deltas: DataFrame, capacity: DataFrame, delay: str = DELAY)
     `deltas`: site_id, event_time TIMESTAMP, event_id bigint, delta; `capacity`: site_id, capacity (static).
     Rows wait in the site's state until the watermark passes them, so the result does not depend on how
     files were cut into micro-batches. One call sees at most one micro-batch of a site, which the source
-    bounds; history is replayed with episodes.capacity_transitions instead.
+    bounds. Backlogs and very busy sites go through episodes.capacity_advance, which splits a site by time.
     """
     rows = (deltas.join(capacity.select("site_id", "capacity"), "site_id")
             .withWatermark("event_time", delay)
@@ -151,24 +152,27 @@ def _capacity_step(key, frames, state: GroupState):
             capacity = int(frame["capacity"].iloc[-1])
     rows = pd.concat(held, ignore_index=True).sort_values(["at", "event_id"], kind="stable")
     watermark = state.getCurrentWatermarkMs()
-    ready = rows["at"] // 1000 < watermark
-    changes = []
-    for moment, event_id, delta in rows[ready].itertuples(index=False):
-        occupancy = max(0, occupancy + int(delta))
-        load = occupancy * 100
-        if capacity > 0 and not is_open and load > capacity * rules.BREACH_ABOVE:
-            is_open = True
-            changes.append((key[0], moment, event_id, "open", occupancy))
-        elif capacity > 0 and is_open and load < capacity * rules.RECOVER_BELOW:
-            is_open = False
-            changes.append((key[0], moment, event_id, "resolve", occupancy))
-    waiting = rows[~ready]
+    passed = rows["at"] // 1000 < watermark
+    ready, waiting = rows[passed], rows[~passed]
+    if len(ready):
+        total = ready["delta"].cumsum()
+        ready = ready.assign(occupancy=total + np.maximum(occupancy, -total.cummin()))
+        load = ready["occupancy"] * 100
+        # 1 opens, 0 closes, NaN keeps: the state is the last mark.
+        marks = pd.Series(np.nan, ready.index)
+        if capacity > 0:
+            marks = marks.mask(load > capacity * rules.BREACH_ABOVE, 1.0).mask(load < capacity * rules.RECOVER_BELOW, 0.0)
+        now = marks.ffill().fillna(float(is_open))
+        changed = ready[now != now.shift(fill_value=float(is_open))]
+        occupancy, is_open = int(ready["occupancy"].iloc[-1]), bool(now.iloc[-1])
+        if len(changed):
+            yield pd.DataFrame({"site_id": key[0], "event_time_us": changed["at"], "event_id": changed["event_id"],
+                                "action": np.where(now[changed.index] == 1.0, "open", "resolve"),
+                                "occupancy": changed["occupancy"]})
     state.update((occupancy, is_open, capacity, waiting["at"].tolist(), waiting["event_id"].tolist(),
                   waiting["delta"].tolist()))
     if len(waiting):
         state.setTimeoutTimestamp(max(int(waiting["at"].iloc[0]) // 1000, watermark + 1))
-    if changes:
-        yield pd.DataFrame(changes, columns=["site_id", "event_time_us", "event_id", "action", "occupancy"])
 
 
 # ----------------------------------------------------------------------------------- anomaly lists
