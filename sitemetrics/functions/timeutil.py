@@ -32,7 +32,16 @@ def local_seconds(as_of: datetime, tz: str = DEFAULT_TZ) -> int:
 
 
 def to_local(col, tz: str = DEFAULT_TZ) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), col)
+    """Local wall clock of a UTC wall clock. Relies on the session zone UTC (session.configure), and is several
+    times faster per row than convert_timezone, which looks its zones up again for every row."""
+    moment = F.col(col) if isinstance(col, str) else col
+    return F.from_utc_timestamp(moment.cast("timestamp"), tz).cast("timestamp_ntz")
+
+
+def quarter(col) -> Column:
+    """Start of the quarter of an hour. Zone offsets are multiples of it, so counts per quarter can be moved to
+    local hours and days after the first aggregation instead of row by row."""
+    return F.window(col, "15 minutes")["start"]
 
 
 def local_date(col, tz: str = DEFAULT_TZ) -> Column:
@@ -48,13 +57,13 @@ def minute_of_day(local) -> Column:
     return F.hour(local) * 60 + F.minute(local)
 
 
-def micros(col) -> Column:
-    """Microseconds since the epoch of a UTC wall clock."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
+def micros(col: Column) -> Column:
+    """Microseconds since the epoch of a UTC wall clock (session zone UTC)."""
+    return F.unix_micros(col.cast("timestamp"))
 
 
-def seconds_between(start, end) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end).cast("decimal(24,6)") / F.lit(1_000_000)
+def seconds_between(start: Column, end: Column) -> Column:
+    return (micros(end) - micros(start)).cast("decimal(24,6)") / F.lit(1_000_000)
 
 
 def is_open(as_of: datetime, opens: Column, closes: Column, tz: str = DEFAULT_TZ, mode: str = "detector") -> Column:

@@ -92,9 +92,10 @@ def churn_count_by_site(t: Tables, as_of: datetime) -> DataFrame:
 
 def hourly_stats(t: Tables, weeks: int = 13, tz: str = DEFAULT_TZ, since: datetime | None = None) -> DataFrame:
     """Average check-ins per (site, local weekday, local hour): count / weeks, rounded."""
-    local = tu.to_local(F.col("checked_in"), tz)
-    average = F.round(F.count(F.lit(1)).cast("decimal(20,0)") / F.lit(weeks)).cast("int")
+    local = tu.to_local(F.col("quarter"), tz)
+    average = F.round(F.sum("n").cast("decimal(20,0)") / F.lit(weeks)).cast("int")
     return (tu.within(t.visits, "checked_in", since, None, tz)
+            .groupBy("site_id", tu.quarter("checked_in").alias("quarter")).agg(F.count(F.lit(1)).alias("n"))
             .groupBy("site_id", tu.dow0(local).alias("day_of_week"), F.hour(local).alias("hour_of_day"))
             .agg(average.alias("checkin_count")))
 

@@ -5,6 +5,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from sitemetrics.functions import metrics
+from sitemetrics.functions import timeutil as tu
 from sitemetrics.operators import analytics, anomalies, feed, live
 from sitemetrics.plans.fixture_sql import DAY, IST, LEDGER_DAY, LEDGER_NOW, NOW
 from sitemetrics.plans.registry import query
@@ -110,7 +111,7 @@ query("visit_weight", f"""
 select visit_id, case extract(dow from checked_in + {IST}) when 0 then 0.45::double when 1 then 1.0 when 2 then 0.95
   when 3 then 0.9 when 4 then 0.95 when 5 then 0.85 else 0.7 end as weight from visits_all
 """)(lambda fx: fx.visits.select(
-    "visit_id", metrics.visit_weight(F.convert_timezone(F.lit("UTC"), F.lit("Asia/Kolkata"), "checked_in")).alias("weight")))
+    "visit_id", metrics.visit_weight(tu.to_local("checked_in")).alias("weight")))
 
 NAMES = ["Alba", "Bruno", "Chen", "Dina", "Emre", "Fay", "Goran"]
 query("name_lookup", "select member_id, case member_id * 3 % 7 " + " ".join(
