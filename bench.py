@@ -13,8 +13,8 @@ HEADLINE = [
     "bench_q1", "bench_q2", "bench_q3", "bench_q4", "bench_q5", "bench_q6",
     "site_overview", "live_snapshot", "activity_feed", "site_revenue_rank", "revenue_by_plan_ranges", "churn_risk",
     "hourly_stats", "heatmap_grid", "detect_step", "capacity_episodes", "revenue_drop_history", "zero_visit_history",
-    "validation_report", "constraint_audit", "member_day_spine", "event_envelope",
-    "stream_occupancy", "stream_daily_revenue", "stream_capacity_events", "stream_dedup",
+    "validation_report", "constraint_audit", "member_day_spine", "event_envelope", "event_decode",
+    "stream_occupancy", "stream_daily_revenue", "stream_capacity_events", "stream_capacity_fold", "stream_dedup",
 ]
 
 

@@ -135,7 +135,7 @@ def parse(messages: DataFrame) -> DataFrame:
     parsed = messages.withColumn("e", F.from_json("payload", ENVELOPE, {"mode": "PERMISSIVE"}))
     valid = F.coalesce(F.col("e.type").isin(*EVENT_TYPES), F.lit(False))
     # A truncated object can parse partially; it counts only if the text closes the object.
-    valid = valid & F.col("payload").rlike(r"\}\s*$")
+    valid = valid & F.endswith(F.rtrim("payload"), F.lit("}"))
     return (parsed.withColumn("valid", valid).select("payload", "valid", "e.*")
             .withColumn("event_time", F.try_to_timestamp("event_time", F.lit(ISO)).cast("timestamp_ntz")))
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 # A side may be broadcast only when it is known to hold at most this many (narrow) rows.
 MAX_BROADCAST_ROWS = 50_000
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+HEAP_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
 
 def build_session(app: str = "sitemetrics", cores: int | None = None) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
@@ -31,7 +34,11 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+    local = spark.sparkContext.master.startswith("local")
+    if not local and spark.conf.get(STATE_STORE, HEAP_STORE) == HEAP_STORE:
+        # Large keyed state (event ids within the delay) belongs in RocksDB, not on the heap.
+        spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         # 200 is the cluster default; each streaming state store costs files per partition on a laptop.
         spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sitemetrics.operators import anomalies, changes, detect, feed, quality, sampling
+from sitemetrics.operators import analytics, anomalies, changes, detect, feed, quality, sampling
 from sitemetrics.sources.tables import Tables
 from tests.conftest import NOW
 
@@ -126,7 +126,10 @@ def test_row_numbers_split_buckets_of_any_size(spark):
         assert [n for _, n, _ in mine] == list(range(1, len(mine) + 1)) and {t for *_, t in mine} == {len(mine)}
 
 
-def test_feed_is_exact_with_ties_and_hot_sites(make, small):
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_feed_is_exact_with_ties_and_hot_sites(make, small, monkeypatch, bound):
+    """With and without the cut by day counts."""
+    monkeypatch.setattr(feed, "MAX_BROADCAST_ROWS", bound)
     at = datetime(2024, 3, 1)
     visits = make("visits", [dict(visit_id=i, member_id=1 + i % 12, site_id=1 if i % 3 else 2,
                                   checked_in=at + timedelta(minutes=i // 5)) for i in range(400)])
@@ -139,6 +142,24 @@ def test_feed_is_exact_with_ties_and_hot_sites(make, small):
     assert got == sorted(expect)
 
 
+def test_analytics_bundle(small):
+    reports = analytics.analytics(small, NOW, "30d")
+    assert list(reports) == ["peak_hours", "revenue_by_plan", "churn_risk", "member_type"]
+    assert [(r.site_id, r.plan_type, r.total_revenue) for r in reports["revenue_by_plan"].collect()] == [(3, "quarterly", 31992.0)]
+    assert reports["member_type"].first()["count"] == 8 and reports["churn_risk"].count() == 0
+    with pytest.raises(ValueError):
+        analytics.analytics(small, NOW, "180d")
+
+
+def test_snapshot_is_nested_and_sorted(small):
+    after, _ = detect.detect_step(small, NOW)
+    t = Tables(small.sites, small.members, small.visits, small.payments, after)
+    rows = {r.site_id: r for r in feed.live_snapshot(t, NOW).collect()}
+    assert [e.id for e in rows[1].recent_events][:2] == ["1-out", "1-in"] and len(rows[1].recent_events) == 6
+    assert (rows[2].current_occupancy, rows[2].active_anomalies[0].type) == (4, "capacity_breach")
+    assert rows[4].recent_events == [] and rows[4].active_anomalies == []
+
+
 def test_decode_rejects_bad_payloads(spark):
     good = '{"type":"PAYMENT_EVENT","event_id":"1","site_id":3,"event_time":"2024-01-01T00:00:00.000001Z","amount":12.50}'
     events, rejected = feed.decode(spark.createDataFrame([(good,), ("not json",), ('{"type":"OTHER"}',), (good[:-1],), (None,)], "payload string"))
