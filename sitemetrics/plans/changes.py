@@ -131,8 +131,10 @@ from (select site_id, hour, unnest(range(case when hour < 5 or hour = 23 then 0
   else 35 end)) as copy from open_hours) q group by site_id""", _HOURS)(
     lambda fx: spines.hour_pool(fx.sites).select("site_id", F.array_join("hours", ",").alias("hours")))
 query("member_day_spine", """
-select m.member_id, m.site_id, cast(d.d as date) as day,
+select m.member_id, m.site_id, cast(cast(d.d as date) as varchar) as day,
   case extract(dow from d.d) when 0 then 0.45::double when 1 then 1.0 when 2 then 0.95 when 3 then 0.9 when 4 then 0.95
     when 5 then 0.85 else 0.7 end as weight
 from members m cross join generate_series(timestamp '2001-03-03', timestamp '2001-05-31', interval '1 day') d(d)
-where m.status = 'active'""")(lambda fx: spines.member_day_spine(fx.members, date(2001, 3, 3), date(2001, 5, 31)))
+where m.status = 'active'""")(
+    lambda fx: spines.member_day_spine(fx.members, date(2001, 3, 3), date(2001, 5, 31)).withColumn(
+        "day", F.col("day").cast("string")))

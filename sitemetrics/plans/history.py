@@ -129,8 +129,16 @@ select site_id, day, cents / 100.0::double as revenue, before / 100.0::double as
     rows between unbounded preceding and current row), 0) = 1 as is_open
 from day_marks""",
 }
-query("revenue_drop_history", "select * from history", DAILY)(
-    lambda fx: episodes.revenue_drop_history(episodes.daily_revenue(fx.live_payments, fx.sites)))
+HISTORY = "select site_id, cast(day as varchar) as day, revenue, week_before, drop_pct, is_open from history"
+
+
+def day_text(df, column="day"):
+    """Dates as text, which both engines write alike."""
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
+query("revenue_drop_history", HISTORY, DAILY)(
+    lambda fx: day_text(episodes.revenue_drop_history(episodes.daily_revenue(fx.live_payments, fx.sites))))
 
 query("zero_visit_history", f"""
 select site_id, probe_at from (

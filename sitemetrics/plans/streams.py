@@ -7,7 +7,7 @@ the SQL keeps windows with end <= newest - 2 hours.
 from pyspark.sql import functions as F
 
 from sitemetrics.operators import episodes
-from sitemetrics.plans.history import DAILY, REPLAY_CAPACITY, TIMELINE, replay_capacity
+from sitemetrics.plans.history import DAILY, HISTORY, REPLAY_CAPACITY, TIMELINE, day_text, replay_capacity
 from sitemetrics.plans.fixture_sql import IST
 from sitemetrics.plans.registry import query
 from sitemetrics.streaming import jobs, runner
@@ -51,8 +51,9 @@ def wall_clock(df, *cols):
 
 query("stream_occupancy", "select * from stream_occ", MOVES)(lambda fx: jobs.running_occupancy(moves(fx), fx.sites))
 
-query("stream_daily_revenue", "select site_id, day, cast(revenue as double) as revenue from stream_days", MOVES)(
-    lambda fx: jobs.revenue_by_day(takings(fx)).withColumn("revenue", F.col("revenue").cast("double")))
+query("stream_daily_revenue", """
+select site_id, cast(day as varchar) as day, cast(revenue as double) as revenue from stream_days""", MOVES)(
+    lambda fx: day_text(jobs.revenue_by_day(takings(fx))).withColumn("revenue", F.col("revenue").cast("double")))
 
 
 @query("stream_fleet_summary", """
@@ -65,8 +66,8 @@ def stream_fleet_summary(fx):
     return jobs.fleet_totals(jobs.fleet_state(moves(fx), revenue, fx.sites, newest))
 
 
-query("stream_revenue_drop", "select * from history", {**MOVES, **DAILY, "days": "select * from stream_days"})(
-    lambda fx: jobs.revenue_drops(takings(fx), fx.sites))
+query("stream_revenue_drop", HISTORY, {**MOVES, **DAILY, "days": "select * from stream_days"})(
+    lambda fx: day_text(jobs.revenue_drops(takings(fx), fx.sites)))
 
 
 @query("stream_feed", """
@@ -152,7 +153,9 @@ from moves m join sites s on s.site_id = m.site_id join members c on c.member_id
     lambda fx: wall_clock(drain(fx, "enriched", jobs.enriched(fx.event_stream(), fx.all)), "event_time"))
 
 query("append_events", f"""
-select event_id, kind, site_id, event_time, cast(event_time + {IST} as date) as local_date from moves where kind = 'in'
-union all select cast(payment_id as varchar), 'payment', site_id, paid_at, cast(paid_at + {IST} as date) from payments_all""",
-      MOVES)(lambda fx: wall_clock(drain(fx, "append", jobs.visits_to_append(fx.event_stream()), "local_date"), "event_time")
-             .select("event_id", "kind", "site_id", "event_time", "local_date"))
+select event_id, kind, site_id, event_time, cast(cast(event_time + {IST} as date) as varchar) as local_date
+from moves where kind = 'in'
+union all select cast(payment_id as varchar), 'payment', site_id, paid_at, cast(cast(paid_at + {IST} as date) as varchar)
+from payments_all""",
+      MOVES)(lambda fx: day_text(wall_clock(drain(fx, "append", jobs.visits_to_append(fx.event_stream()), "local_date"),
+                                            "event_time"), "local_date").select("event_id", "kind", "site_id", "event_time", "local_date"))
