@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sitemetrics import schemas
 from sitemetrics.functions import timeutil as tu
-from sitemetrics.session import MAX_BROADCAST_ROWS
+from sitemetrics.session import MAX_BROADCAST_ROWS, configure
 
 DATE_OF = {"visits": "checked_in", "payments": "paid_at"}
 # Partition columns of the stored fact tables.
@@ -72,6 +72,7 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def read_tables(spark: SparkSession, folder: str) -> Tables:
     """Typed scan of all five tables below `folder`; schemas are declared, never inferred."""
+    configure(spark)
     return Tables(*[read_table(spark, folder, t) for t in ("sites", "members", "visits", "payments", "anomalies")])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitemetrics import schemas
 from sitemetrics.functions import timeutil as tu
-from sitemetrics.operators import live
+from sitemetrics.operators import detect, feed, live
 from sitemetrics.sources import store, tables
 from tests.conftest import NOW
 
@@ -28,6 +28,8 @@ def test_round_trip_and_pruning(spark, small, tmp_path):
     assert any("is_open" in f for f in partition_filters(live.live_occupancy(back)))
     assert live.live_occupancy(back).orderBy("site_id").collect() == live.live_occupancy(small).orderBy("site_id").collect()
     assert live.site_overview(back, NOW).collect() == live.site_overview(small, NOW).collect()
+    for run in (feed.activity_feed, lambda t: detect.actions(t, NOW), lambda t: live.open_visits_enriched(t.rewind(NOW))):
+        assert sorted(map(str, run(back).collect())) == sorted(map(str, run(small).collect()))
 
 
 def test_defaults_fill_nulls(spark, make):
