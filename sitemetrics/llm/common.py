@@ -6,9 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemetrics.session import cut
-
-__all__ = ["cut", "table", "crc_of_id", "blocks", "words_of", "shingles_of", "mix64"]
+from sitemetrics.session import cut  # noqa: F401  (for the operators)
 
 # Bytes of text that are turned into arrays at a time; a single longer text is one block.
 BLOCK_BYTES = 2 << 20
@@ -70,7 +68,7 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(kind: str, n: int):
+def powers(kind: str, n: int):
     have = _powers.get(kind)
     if have is None or len(have) < n:
         size = max(n, BLOCK_BYTES + 1)
@@ -89,6 +87,11 @@ _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _CLASS[_SPACE] = 0
 
 
+def byte_values(raw):
+    """Random value of each byte, for polynomial hashes."""
+    return _BYTE[raw]
+
+
 def words_of(raw, offsets, lower: bool = True, runs: bool = False):
     """Words `[^\\x20\\x09-\\x0D]+` of the texts: (64-bit hash of each word, first word of each text and the end).
 
@@ -114,8 +117,8 @@ def words_of(raw, offsets, lower: bool = True, runs: bool = False):
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((_LOWER if lower else _BYTE)[raw] * _power("up", n), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power("down", n)[starts]
+    np.cumsum((_LOWER if lower else _BYTE)[raw] * powers("up", n), out=sums[1:])
+    value = (sums[ends] - sums[starts]) * powers("down", n)[starts]
     return mix64(value + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
 
 

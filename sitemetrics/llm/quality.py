@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sitemetrics.llm.common import blocks, crc_of_id, mix64, small_batches, text_bytes, words_of
 
 #: Bound on the labelled rows learned from; slots of the weight table as a power of two.
-ROWS, BITS, EPOCHS = 6000, 18, 3
+ROWS, BITS, EPOCHS = 6000, 18, 5
 #: Follow-the-regularised-leader: learning rate, smoothing, L1, L2.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1e-4
 KEEP = 0.3
