@@ -189,47 +189,72 @@ def components(edges: DataFrame) -> DataFrame:
         e = after
 
 
+def _between(reps, comp, side, sig, forest: bool):
+    """Survivors (x, y) between different components of one cell; with `forest` only the strongest that connect."""
+    need = least_matches_once()
+    found = []
+    for i in range(len(reps)):
+        # Sides 0 and 1 meet; a block that meets itself has side 2.
+        other = np.flatnonzero((comp != comp[i]) & (reps > reps[i]) & ((side == 2) if side[i] == 2 else (side != side[i])))
+        matches = np.zeros(len(other), np.int64)
+        for b, k in enumerate(range(0, COMPARED, BATCH)):
+            if not len(other):
+                break
+            matches = matches + (sig[other, k:k + BATCH] == sig[i, k:k + BATCH]).sum(axis=1)
+            on = matches >= need[b]
+            other, matches = other[on], matches[on]
+        found += [(int(m), i, int(j)) for j, m in zip(other, matches)]
+    if forest:
+        root = {c: c for c in comp.tolist()}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+        chosen = []
+        for m, i, j in sorted(found, reverse=True):
+            a, b = top(int(comp[i])), top(int(comp[j]))
+            if a != b:
+                root[a] = b
+                chosen.append((m, i, j))
+        found = chosen
+    return [(int(reps[i]), int(reps[j])) for _, i, j in found]
+
+
 def _cross(forest: bool):
-    """Survivors between different components of two blocks of a bucket; with `forest` only the strongest that connect."""
-    def run(key, left):
-        import pandas as pd
-        rows = left.sort_values("rep")
-        reps, comp, side = rows["rep"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, COMPARED)
-        need = least_matches_once()
-        found = []
-        for i in range(len(reps)):
-            # Sides 0 and 1 meet; a block that meets itself has side 2.
-            other = np.flatnonzero((comp != comp[i]) & (reps > reps[i]) & ((side == 2) if side[i] == 2 else (side != side[i])))
-            matches = np.zeros(len(other), np.int64)
-            for b, k in enumerate(range(0, COMPARED, BATCH)):
-                if not len(other):
-                    break
-                matches = matches + (sig[other, k:k + BATCH] == sig[i, k:k + BATCH]).sum(axis=1)
-                on = matches >= need[b]
-                other, matches = other[on], matches[on]
-            found += [(int(m), i, int(j)) for j, m in zip(other, matches)]
-        if forest:
-            root = {c: c for c in comp.tolist()}
-
-            def top(c):
-                while root[c] != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-            chosen = []
-            for m, i, j in sorted(found, reverse=True):
-                a, b = top(int(comp[i])), top(int(comp[j]))
-                if a != b:
-                    root[a] = b
-                    chosen.append((m, i, j))
-            found = chosen
-        return pd.DataFrame({"x": [reps[i] for _, i, _ in found], "y": [reps[j] for _, _, j in found], "matches": [m for m, _, _ in found]}).astype("int64")
+    """Over rows (band, lo, hi, side, rep, comp, sig) sorted by cell: a cell's rows are held, at most two blocks, and compared at its end."""
+    def run(batches):
+        import pyarrow as pa
+        held, key = [], None
+
+        def close():
+            if key is None:
+                return []
+            reps, comp, side = (np.concatenate([h[k] for h in held]) for k in range(3))
+            sig = np.frombuffer(b"".join(x for h in held for x in h[3]), np.uint16).reshape(-1, COMPARED)
+            return _between(reps, comp, side, sig, forest)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, lo, hi, side, rep, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            sig = batch.column(6).to_pylist()
+            edge = np.flatnonzero((band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            out = []
+            for a, b in zip([0, *edge], [*edge, len(band)]):
+                here = (int(band[a]), int(lo[a]), int(hi[a]))
+                if here != key:
+                    out += close()
+                    held, key = [], here
+                held.append((rep[a:b], comp[a:b], side[a:b], sig[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["x", "y"])
+        out = close()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["x", "y"])
     return run
 
 
 def _members(bands: DataFrame, sigs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, dealt to pairs of blocks: (band, cell, side, rep, comp, sig)."""
+    """Rows of the buckets whose members, the centre aside (it met them all), are in several components, dealt to pairs of blocks."""
     marked = bands.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("comp"))
     mixed = (marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
              .select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")))
@@ -270,7 +295,6 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     # Each class its strongest survivor, in both directions.
     ends = stars.select(F.col("x").alias("own"), "x", "y", "matches").union(stars.select(F.col("y").alias("own"), "x", "y", "matches"))
     first = ends.groupBy("own").agg(F.max_by(F.struct("x", "y"), F.struct("matches", (-F.col("x")).alias("a"), (-F.col("y")).alias("b"))).alias("p")).select("p.x", "p.y").distinct()
-    same_id = member.filter("row_id <> rep").select(F.col("row_id").alias("x"), F.col("rep").alias("y")).distinct()
     edges = cut(verify(cut(first), texts))
     comps = components(edges)
 
@@ -280,18 +304,24 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     edges, comps = _more(spark, edges, comps, apart(stars).join(first, ["x", "y"], "left_anti"), texts)
     tried = first.union(stars.select("x", "y"))
     for forest in (True, False):
-        met = _members(shared.select("band", "rep"), sigs, comps)
-        found = cut(met.groupBy("band", "lo", "hi").applyInPandas(_cross(forest), "x bigint, y bigint, matches bigint").select("x", "y").distinct())
+        met = _members(shared.filter("rep <> centre").select("band", "rep"), sigs, comps)
+        met = met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep").select("band", "lo", "hi", "side", "rep", "comp", "sig")
+        found = cut(met.mapInArrow(_cross(forest), "x bigint, y bigint").distinct())
         fresh = found.join(tried, ["x", "y"], "left_anti")
         before = edges
         edges, comps = _more(spark, edges, comps, fresh, texts)
         tried = tried.union(found)
         if forest and edges is before:
             break
-    every = cut(components(edges.union(same_id))) if same_id.limit(1).count() else comps
     ids = sketched.groupBy("row_id").agg(F.max("n").alias("n"))
-    known = every.select(F.col("node").alias("row_id"), "root")
-    return ids.join(known, "row_id", "left").select("row_id", "n", F.coalesce("root", "row_id").alias("component"))
+    repeated = member.groupBy("row_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
+    if repeated.limit(1).count():
+        # Ids whose rows have different sets join the classes of these.
+        comps = components(edges.union(member.join(repeated.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("x"), F.col("rep").alias("y"))))
+        member = member.groupBy("row_id").agg(F.min("rep").alias("rep"))
+    known = (member.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left")
+             .select(F.col("row_id").alias("known_id"), F.least("row_id", F.coalesce("root", "rep")).alias("root")).distinct())
+    return (ids.join(known, F.col("row_id") == F.col("known_id"), "left").select("row_id", "n", F.coalesce("root", "row_id").alias("component")))
 
 
 def _more(spark: SparkSession, edges, comps, pairs, texts):
