@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from sitemetrics.plans.all import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, con, name):
     problems, _ = differences(contract.queries()[name](spark, FOLDER), con, contract.oracle_sql()[name])
     assert problems == []
