@@ -1,17 +1,24 @@
 """Helpers shared by the training-data operators: tables, shared storage and vectorised word hashing."""
 
-import os
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemetrics.session import cut  # noqa: F401  (for the operators)
+from sitemetrics.session import cut, shared_dir  # noqa: F401  (cut: for the operators)
 
 # Bytes of text that are turned into arrays at a time; a single longer text is one block.
 BLOCK_BYTES = 2 << 20
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder: smaller than a checkpoint for many narrow rows."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -6,8 +6,8 @@ hashes: after each batch the posterior of its similarity (uniform prior) tells t
 when that falls below MISS. Survivors are verified exactly on the full sets, and links are joined to components.
 
 No bucket is expanded into pairs. (1) Each band's bucket has one centre, drawn by a digest of band and class; every member is a candidate with it, so
-a group of n copies gives n candidates a band. (2) Of its survivors each class verifies the best first, then those that still
-connect different components. (3) Buckets that still hold several components are compared inside, by components: blocks of at most
+a group of n copies gives n candidates a band. (2) Of its survivors each class verifies the best first, then the best between each two components, then all that still
+join two components. (3) Buckets that still hold several components are compared inside, by components: blocks of at most
 BLOCK members meet pairwise, the survivors' strongest forest is verified, then every survivor that still joins two components. Within a component
 no further link can change the result.
 
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemetrics.llm.common import blocks, cut, mix64, shingles_of, small_batches, text_bytes, words_of
+from sitemetrics.llm.common import blocks, cut, mix64, shingles_of, small_batches, stored, text_bytes, words_of
 
 WORDS, PERCENT = 5, 75
 #: A pair at the threshold shares none of 50 bands of 6 with a probability of 5.5e-5.
@@ -161,7 +161,7 @@ def _verified(batches):
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (x, y) whose full sets, computed anew from the texts of `docs` (rep, text), reach the threshold."""
     wanted = pairs.select(F.col("x").alias("rep")).union(pairs.select(F.col("y").alias("rep"))).distinct()
-    sets = cut(docs.join(wanted, "rep", "left_semi").select("rep", "text").mapInArrow(_set_rows, "rep bigint, members binary"))
+    sets = stored(docs.join(wanted, "rep", "left_semi").select("rep", "text").mapInArrow(_set_rows, "rep bigint, members binary"))
     return (pairs.select("x", "y").join(sets.select(F.col("rep").alias("x"), F.col("members").alias("mx")), "x")
             .join(sets.select(F.col("rep").alias("y"), F.col("members").alias("my")), "y")
             .select("x", "y", "mx", "my").mapInArrow(_verified, "x bigint, y bigint"))
@@ -272,7 +272,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(ident).cast("long").alias("row_id"), F.col(text).alias("text"))
-    sketched = cut(rows.mapInArrow(_sketch_rows, "row_id bigint, n bigint, set1 bigint, set2 bigint, bands binary, sig binary"))
+    sketched = stored(rows.mapInArrow(_sketch_rows, "row_id bigint, n bigint, set1 bigint, set2 bigint, bands binary, sig binary"))
     filled = sketched.filter("n > 0 and row_id is not null")
     # Equal sets: one representative each, the smallest id.
     reps = filled.groupBy("set1", "set2", "n").agg(F.min("row_id").alias("rep"))
@@ -284,7 +284,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     bands = one.select("rep", "bands").mapInArrow(_explode_bands, "band bigint, rep bigint")
     draw = F.xxhash64("band", "rep")
     centres = bands.groupBy("band").agg(F.min_by("rep", draw).alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    shared = cut(bands.join(centres.select("band", "centre"), "band").select("band", "rep", "centre").distinct())
+    shared = stored(bands.join(centres.select("band", "centre"), "band").select("band", "rep", "centre").distinct())
     texts = rows.filter("row_id is not null").withColumnRenamed("row_id", "rep")
 
     def prune(pairs):
@@ -299,9 +299,23 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     comps = components(edges)
 
     def apart(pairs):
+        """Pairs whose ends are in different components, with these."""
         left, right = comps.select(F.col("node").alias("x"), F.col("root").alias("rx")), comps.select(F.col("node").alias("y"), F.col("root").alias("ry"))
-        return (pairs.join(left, "x", "left").join(right, "y", "left").filter(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y").distinct())
-    edges, comps = _more(spark, edges, comps, apart(stars).join(first, ["x", "y"], "left_anti"), texts)
+        found = pairs.join(left, "x", "left").join(right, "y", "left").withColumn("rx", F.coalesce("rx", "x")).withColumn("ry", F.coalesce("ry", "y"))
+        return found.filter("rx <> ry").select("x", "y", "matches", F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"))
+    tried = first
+    for last in (False, False, True):
+        # Between two components the strongest pair is verified first: most others need no test then.
+        rest = apart(stars.join(tried, ["x", "y"], "left_anti"))
+        if not last:
+            best = F.max_by(F.struct("x", "y"), F.struct("matches", (-F.col("x")).alias("a"), (-F.col("y")).alias("b")))
+            rest = rest.groupBy("a", "b").agg(best.alias("p")).select("p.x", "p.y")
+        rest = cut(rest.select("x", "y"))
+        before = edges
+        edges, comps = _more(spark, edges, comps, rest, texts)
+        if edges is before:
+            break
+        tried = tried.union(rest)
     tried = first.union(stars.select("x", "y"))
     for forest in (True, False):
         met = _members(shared.filter("rep <> centre").select("band", "rep"), sigs, comps)

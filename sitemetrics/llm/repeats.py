@@ -21,10 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemetrics.llm.common import byte_values, cut, mix64, powers, small_batches, text_bytes
+from sitemetrics.llm.common import byte_values, mix64, powers, small_batches, stored, text_bytes
 
 LENGTH, K, HOT = 200, 32, 256
 WIDTH = LENGTH - K + 1
+#: Bits of the number of strings of a stretch (at most WIDTH), kept beside the first one.
+SPAN = 9
 #: Bytes of stretches that one suffix array covers.
 BLOCK_BYTES = 1 << 20
 #: Texts are read in pieces of this many bytes, which overlap.
@@ -44,7 +46,7 @@ def _window_min(values):
 
 
 def anchors(raw):
-    """(hash, place, first string, last string, digest of the stretch) of the anchors of a text of at least LENGTH bytes."""
+    """(hash, first string, last string, digest of the stretch) of the anchors of a text of at least LENGTH bytes."""
     parts = []
     for begin in range(0, max(1, len(raw) - LENGTH + 1), PIECE):
         piece = raw[begin: begin + PIECE + LENGTH - 1]
@@ -59,13 +61,13 @@ def anchors(raw):
         at = chosen[edge].astype(np.int64)
         size = last - edge + LENGTH
         digest = mix64((sums[edge + size] - sums[edge]) * down[edge] + mix64((size * 1024 + at - edge).astype(np.uint64)))
-        parts.append((grams[at], at + begin, edge + begin, last + begin, digest))
+        parts.append((grams[at], edge + begin, last + begin, digest))
     return [np.concatenate(x) for x in zip(*parts)]
 
 
 def _anchor_rows(batches):
     import pyarrow as pa
-    names = ["h", "digest", "row_id", "tie", "at", "lo", "hi"]
+    names = ["h", "digest", "row_id", "tie", "span"]
     for batch in batches:
         raw, offsets = text_bytes(batch.column(1))
         ids, ties = batch.column(0), batch.column(2)
@@ -76,9 +78,9 @@ def _anchor_rows(batches):
                 found.append(rows)
                 which.append(np.full(len(rows[0]), i))
         if found:
-            h, at, lo, hi, digest = [np.concatenate(x) for x in zip(*found)]
+            h, lo, hi, digest = [np.concatenate(x) for x in zip(*found)]
             take = pa.array(np.concatenate(which))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), ids.take(take), ties.take(take), pa.array(at), pa.array(lo), pa.array(hi)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), ids.take(take), ties.take(take), pa.array(lo << SPAN | (hi - lo))], names)
 
 
 def runs(data: np.ndarray, starts: np.ndarray):
@@ -188,31 +190,36 @@ def repeated(docs: DataFrame) -> DataFrame:
     docs: (row_id, text, tie); tie tells apart rows of equal id and orders them.
     """
     small_batches(docs.sparkSession)
-    all_rows = cut(docs.mapInArrow(_anchor_rows, "h bigint, digest bigint, row_id bigint, tie bigint, at bigint, lo bigint, hi bigint"))
+    all_rows = stored(docs.mapInArrow(_anchor_rows, "h bigint, digest bigint, row_id bigint, tie bigint, span bigint"))
     often = all_rows.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")
-    rows = cut(all_rows.join(often, "h").select("h", "digest", "row_id", "tie", "lo", "hi"))
-    place = F.struct(F.col("row_id").isNull().alias("a"), F.col("row_id").alias("b"), F.col("tie").alias("c"), F.col("lo").alias("d"))
-    sorts = cut(rows.groupBy("h", "digest").agg(F.count("*").alias("times"), F.min(F.struct(place.alias("p"), F.col("hi").alias("hi"))).alias("first")))
+    rows = stored(all_rows.join(often, "h").select("h", "digest", "row_id", "tie", "span"))
+    place = F.struct(F.col("row_id").isNull().alias("a"), F.col("row_id").alias("b"), F.col("tie").alias("c"), F.col("span").alias("d"))
+    sorts = stored(rows.groupBy("h", "digest").agg(F.count("*").alias("times"), F.min(place).alias("p")))
+    lo, hi = F.shiftright("span", SPAN).alias("lo"), (F.shiftright("span", SPAN) + F.col("span").bitwiseAND(F.lit((1 << SPAN) - 1))).alias("hi")
     per_anchor = sorts.groupBy("h").agg(F.count("*").alias("sorts")).filter("sorts > 1")
-    members = (rows.join(sorts.filter("times > 1").select("h", "digest", F.col("first.p").alias("p")), ["h", "digest"])
-               .select("row_id", "tie", "lo", "hi", (place != F.col("p")).alias("earlier")))
-    firsts = (sorts.join(per_anchor, "h").select(F.col("first.p.b").alias("row_id"), F.col("first.p.c").alias("tie"), "h",
-                                                 F.col("first.p.d").alias("lo"), F.col("first.hi").alias("hi"), (F.col("sorts") > HOT).alias("hot")))
-    wanted = firsts.groupBy("row_id", "tie").agg(F.collect_list(F.struct("h", "lo", "hi", "hot")).alias("wanted"))
+    members = (rows.join(sorts.filter("times > 1").select("h", "digest", "p"), ["h", "digest"])
+               .select("row_id", "tie", lo, hi, (place != F.col("p")).alias("earlier")))
+    firsts = sorts.join(per_anchor, "h").select(F.col("p.b").alias("row_id"), F.col("p.c").alias("tie"), F.col("p.d").alias("span"), "h", (F.col("sorts") > HOT).alias("hot"))
+    wanted = firsts.groupBy("row_id", "tie").agg(F.collect_list(F.struct("h", lo, hi, "hot")).alias("wanted"))
     # One row is enough where rows are equal in id and tie: the others are members of the same classes.
-    texts = docs.select(F.col("row_id").alias("r"), F.col("tie").alias("t"), "text")
-    held = (texts.join(wanted, F.col("r").eqNullSafe(F.col("row_id")) & (F.col("t") == F.col("tie"))).select("row_id", "tie", "text", "wanted"))
+    held = (_keyed(docs).join(wanted, F.col("r").eqNullSafe(F.col("row_id")) & (F.col("t") == F.col("tie"))).select("row_id", "tie", "text", "wanted"))
     cold = (held.mapInArrow(_bodies(False), "h bigint, row_id bigint, tie bigint, lo bigint, body binary").repartition("h").sortWithinPartitions("h")
             .mapInArrow(_block_rows, "row_id bigint, tie bigint, lo bigint, hi bigint, earlier boolean"))
     out = members.union(cold)
     if per_anchor.filter(F.col("sorts") > HOT).limit(1).count():
         strings = held.mapInArrow(_bodies(True), "row_id bigint, tie bigint, lo bigint, digest binary")
-        strings = cut(strings)
+        strings = stored(strings)
+        place = F.struct(F.col("row_id").isNull().alias("a"), F.col("row_id").alias("b"), F.col("tie").alias("c"), F.col("lo").alias("d"))
         best = strings.groupBy("digest").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p <> q")
         out = out.union(strings.join(best, "digest").select("row_id", "tie", "lo", F.col("lo").alias("hi"), (place != F.col("p")).alias("earlier")))
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The texts under other names; both joins with them are written alike, so that one exchange of the texts serves both."""
+    return docs.select(F.col("row_id").alias("r"), F.col("tie").alias("t"), "text")
+
+
 def _cutter(later: bool):
     """(row_id, text, runs) -> sizes, removed spans and what is left."""
     def run(batches):
@@ -240,9 +247,8 @@ def _cutter(later: bool):
 def spans(docs: DataFrame, later: bool = True, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_id, n_bytes, n_removed, spans, kept_sha256) of every row; `later` keeps each string's first occurrence, else all copies go."""
     rows = docs.select(F.col(ident).cast("long").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    found = (repeated(rows).groupBy("row_id", "tie").agg(F.collect_set(F.struct("lo", "hi", "earlier")).alias("found"))
-             .withColumnRenamed("row_id", "f").withColumnRenamed("tie", "ft"))
-    met = (rows.join(found, F.col("row_id").eqNullSafe(F.col("f")) & (F.col("tie") == F.col("ft")), "left").select("row_id", "text", "found"))
+    found = (repeated(rows).groupBy("row_id", "tie").agg(F.collect_set(F.struct("lo", "hi", "earlier")).alias("found")))
+    met = _keyed(rows).join(found, F.col("r").eqNullSafe(F.col("row_id")) & (F.col("t") == F.col("tie")), "left").select(F.col("r").alias("row_id"), "text", "found")
     return met.mapInArrow(_cutter(later), "row_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
 
 
