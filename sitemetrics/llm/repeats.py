@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sitemetrics.llm.common import byte_values, mix64, powers, small_batches, stored, text_bytes
 
-LENGTH, K, HOT = 200, 32, 256
+LENGTH, K, HOT = 200, 32, 16_000
 WIDTH = LENGTH - K + 1
 #: Bits of the number of strings of a stretch (at most WIDTH), kept beside the first one.
 SPAN = 9
