@@ -12,7 +12,7 @@ Only the summaries (at most PIVOTS rows each) reach the driver, and only tables
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of another length than the most
 frequent one (ties: the shorter) take no part; ties in score go to the smaller id; rows that repeat an id are candidates of their own, except that a
-query never meets rows of its own id; null ids take no part; fewer candidates than k give fewer rows; an empty table gives an empty result.
+query never meets rows of its own id and equal rows are one query; null ids take no part; fewer candidates than k give fewer rows; an empty table gives an empty result.
 """
 
 import numpy as np
@@ -164,7 +164,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, ident=
         drawn = rows.select("v").limit(1).collect()
     centres = np.unique(np.array([r.v for r in drawn], float), axis=0)
     data = cut(_blocked(rows, centres))
-    queries = cut(_blocked(rows.filter(is_query), centres))
+    queries = cut(_blocked(rows.filter(is_query).dropDuplicates(["id", "v"]), centres))
     cells, groups = _summary(data), _summary(queries)
     if not groups:
         return spark.createDataFrame([], schema)

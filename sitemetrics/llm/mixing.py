@@ -4,11 +4,11 @@ Each source has a target in words. Every document of a source first gets the sam
 floor(target / size of the source); the rest of the target is a Pareto sample: each document draws u in (0, 1) from its id, its rank
 is the random odds u/(1-u) divided by the inclusion odds p/(1-p), and the documents of lowest rank are taken until the size
 is reached. The size is counted in words, so the prefix that still fits is taken; the words left are filled by further rounds over the
-documents behind the cut that fit into what is left. Draws come from a digest of the id, hence reruns agree.
+documents behind the cut that fit into what is left, and by one document that goes beyond it where that comes nearer. Draws come from a digest of the id, hence reruns agree.
 
 Defined cases: null and empty texts have size 0 and take no part beyond their whole copies (taken 0); a null source is a source of its own, last
 in order; rows with equal id and text are drawn alike, ties cut by order of size; an empty table gives an empty result; further
-columns pass through, whatever their names (inner columns start with `mix_`).
+columns pass through, but for those whose names start with `mix_`, which are left out.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -97,7 +97,13 @@ def plan(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, rounds=ROUNDS
         state = cut(after.withColumn(f"mix_limit{k}", F.col("mix_left"))
                     .withColumn("mix_left", F.col("mix_left") - F.coalesce("mix_took", "mix_all", F.lit(0)))
                     .drop("mix_took", "mix_all"))
-    return state, few
+    # Where no document fits any more, one that goes beyond is taken if that comes nearer.
+    open_rows = by_source(rows.filter("mix_size > 0"), state, few).withColumn("mix_rank", rank())
+    for j in range(rounds):
+        open_rows = open_rows.filter(~taken_in(j))
+    least = (open_rows.filter((F.col("mix_p") > 0) & (F.col("mix_size") < 2 * F.col("mix_left"))).groupBy("mix_source")
+             .agg(F.min(F.struct("mix_size", "mix_rank", "mix_tie")).alias("mix_extra")))
+    return cut(by_source(state, least, few)), few
 
 
 def rank():
@@ -116,6 +122,7 @@ def taken_in(k: int):
 def mix(docs: DataFrame, text="text", ident="doc_id", source="source", seed="mix", weights=WEIGHTS, share=SHARE, most=MOST,
         rounds=ROUNDS) -> DataFrame:
     """The documents with mix_size, mix_words (of the source), mix_target (of the source) and mix_copies (0 to `most`)."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     ready = docs.select("*", F.col(source).alias("mix_source"), n_words(F.col(text)).alias("mix_size"),
                         uniform(F.col(ident), seed).alias("mix_u"), F.xxhash64(F.col(ident), F.col(text)).alias("mix_tie"))
     slim = cut(ready.select("mix_source", "mix_size", "mix_u", "mix_tie"))
@@ -126,6 +133,8 @@ def mix(docs: DataFrame, text="text", ident="doc_id", source="source", seed="mix
     for k in range(rounds):
         chosen = chosen | (passed & taken_in(k))
         passed = passed & ~taken_in(k)
+    extra = F.struct(F.col("mix_size").alias("mix_size"), F.col("mix_rank").alias("mix_rank"), F.col("mix_tie").alias("mix_tie"))
+    chosen = chosen | (passed & F.coalesce(extra == F.col("mix_extra"), F.lit(False)))
     copies = F.col("mix_whole") + F.when(chosen & (F.col("mix_p") > 0) & (F.col("mix_size") > 0), 1).otherwise(0)
     return out.select(*docs.columns, "mix_size", "mix_words", "mix_target", F.least(copies, F.lit(most)).cast("long").alias("mix_copies"))
 

@@ -10,7 +10,7 @@ check, ssn and local phone numbers) are kept from a score of KEEP on. Score: 0.5
 a context word of the kind within NEAR code points before the span or behind it, at most 1.
 
 Defined cases: a null text is empty and has no spans; offsets are code points of the whole text, end exclusive; an empty table
-gives an empty result; further columns pass through.
+gives an empty result; further columns pass through, but for those whose names start with `pii_`, which are left out.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -108,6 +108,7 @@ def _scored(kind: str, spans: Column, text: Column) -> Column:
 
 def find(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """docs with `out`: array<struct<kind,start,end,found,score>>, kind by kind, then by start."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("pii_")])
     raw = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, OTHER)
     found = (docs.select("*", raw.alias("pii_raw")).withColumn("pii_digits", F.col("pii_raw").rlike("[0-9]"))
              .select("*", *[_spans(F.col("pii_raw"), kind, F.col("pii_digits")).alias(f"pii_{kind}") for kind in BASE + FURTHER]))
