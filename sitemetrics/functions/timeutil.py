@@ -82,18 +82,25 @@ def is_open(as_of: datetime, opens: Column, closes: Column, tz: str = DEFAULT_TZ
     raise ValueError(f"unknown mode {mode!r}")
 
 
+# Local dates of one instant differ by at most a day and a bit between zones.
+ZONE_SLACK = timedelta(days=2)
+
+
 def within(df: DataFrame, col: str, lo: datetime | None = None, hi: datetime | None = None,
            tz: str = DEFAULT_TZ) -> DataFrame:
-    """Rows with lo <= col < hi. On date-partitioned tables the bounds also prune partitions."""
+    """Rows with lo <= col < hi. On date-partitioned tables the bounds also prune partitions.
+
+    The table may have been written in any zone: partitions up to two days beyond the bounds are read, so pruning drops no row.
+    """
     partitioned = "local_date" in df.columns
     if lo is not None:
         df = df.filter(F.col(col) >= ts(lo))
         if partitioned:
-            df = df.filter(F.col("local_date") >= F.lit(_local_day(lo, tz)))
+            df = df.filter(F.col("local_date") >= F.lit(_local_day(lo, tz) - ZONE_SLACK))
     if hi is not None:
         df = df.filter(F.col(col) < ts(hi))
         if partitioned:
-            df = df.filter(F.col("local_date") <= F.lit(_local_day(hi, tz)))
+            df = df.filter(F.col("local_date") <= F.lit(_local_day(hi, tz) + ZONE_SLACK))
     return df
 
 

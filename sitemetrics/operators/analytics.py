@@ -21,9 +21,13 @@ def range_days(date_range: str) -> int:
     return DATE_RANGES[date_range]
 
 
+# Turns the exclusive upper bound of a window into an inclusive one.
+INSTANT = timedelta(microseconds=1)
+
+
 def _since_local_day(t: Tables, as_of: datetime, days: int, tz: str) -> DataFrame:
-    """Payments since local midnight `days` days ago: `days` full days and the partial today."""
-    return tu.within(t.payments, "paid_at", tu.local_midnight(as_of, tz, -days), None, tz)
+    """Payments since local midnight `days` days ago up to `as_of`: `days` full days and the partial today."""
+    return tu.within(t.payments, "paid_at", tu.local_midnight(as_of, tz, -days), as_of + INSTANT, tz)
 
 
 def revenue_by_plan(t: Tables, as_of: datetime, days: int, tz: str = DEFAULT_TZ) -> DataFrame:
@@ -49,14 +53,14 @@ def new_vs_renewal(t: Tables, as_of: datetime, days: int, tz: str = DEFAULT_TZ)
 
 def revenue_30d_by_site(t: Tables, as_of: datetime, days: int = 30) -> DataFrame:
     """Rolling `days` x 24 h; sites without payments are absent."""
-    return (tu.within(t.payments, "paid_at", as_of - timedelta(days=days)).groupBy("site_id")
+    return (tu.within(t.payments, "paid_at", as_of - timedelta(days=days), as_of + INSTANT).groupBy("site_id")
             .agg(F.sum("amount").cast("double").alias("total_revenue"))
             .orderBy(F.desc("total_revenue"), "site_id"))
 
 
 def site_revenue_rank(t: Tables, as_of: datetime, days: int = 30) -> DataFrame:
     """Dense rank of all sites by rolling revenue; sites without payments rank with zero."""
-    sums = (tu.within(t.payments, "paid_at", as_of - timedelta(days=days)).groupBy("site_id")
+    sums = (tu.within(t.payments, "paid_at", as_of - timedelta(days=days), as_of + INSTANT).groupBy("site_id")
             .agg(F.sum("amount").alias("total")))
     total = F.coalesce("total", F.lit(0).cast("decimal(22,2)"))
     # One row a site reaches the unpartitioned window.

@@ -17,11 +17,11 @@ SITE = 3
 for label, days in analytics.DATE_RANGES.items():
     query(f"revenue_by_plan_{label}", f"""
 select site_id, plan_type, cast(sum(amount) as double) as total_revenue from ledger
-where paid_at >= {LEDGER_DAY} - INTERVAL '{days} days' group by site_id, plan_type
+where paid_at >= {LEDGER_DAY} - INTERVAL '{days} days' and paid_at <= {LEDGER_NOW} group by site_id, plan_type
 """)(lambda fx, days=days: analytics.revenue_by_plan(fx.ledger, LEDGER_AS_OF, days))
     query(f"new_vs_renewal_{label}", f"""
 select site_id, payment_type as member_type, count(*) as count from ledger
-where paid_at >= {LEDGER_DAY} - INTERVAL '{days} days' group by site_id, payment_type
+where paid_at >= {LEDGER_DAY} - INTERVAL '{days} days' and paid_at <= {LEDGER_NOW} group by site_id, payment_type
 """)(lambda fx, days=days: analytics.new_vs_renewal(fx.ledger, LEDGER_AS_OF, days))
 
 query("revenue_by_plan_ranges", f"""
@@ -29,18 +29,18 @@ select site_id, plan_type,
   cast(sum(case when paid_at >= {LEDGER_DAY} - INTERVAL '7 days' then amount end) as double) as revenue_7d,
   cast(sum(case when paid_at >= {LEDGER_DAY} - INTERVAL '30 days' then amount end) as double) as revenue_30d,
   cast(sum(amount) as double) as revenue_90d
-from ledger where paid_at >= {LEDGER_DAY} - INTERVAL '90 days' group by site_id, plan_type
+from ledger where paid_at >= {LEDGER_DAY} - INTERVAL '90 days' and paid_at <= {LEDGER_NOW} group by site_id, plan_type
 """)(lambda fx: analytics.revenue_by_plan_ranges(fx.ledger, LEDGER_AS_OF))
 
 query("revenue_30d_by_site", f"""
 select site_id, cast(sum(amount) as double) as total_revenue from ledger
-where paid_at >= {LEDGER_NOW} - INTERVAL '30 days' group by site_id
+where paid_at >= {LEDGER_NOW} - INTERVAL '30 days' and paid_at <= {LEDGER_NOW} group by site_id
 """)(lambda fx: analytics.revenue_30d_by_site(fx.ledger, LEDGER_AS_OF))
 
 _RANK = {"ranked": f"""
 select s.site_id, s.name as site_name, cast(coalesce(sum(p.amount), 0) as double) as total_revenue,
   cast(dense_rank() over (order by coalesce(sum(p.amount), 0) desc) as integer) as rank
-from sites s left join ledger p on p.site_id = s.site_id and p.paid_at >= {LEDGER_NOW} - INTERVAL '30 days'
+from sites s left join ledger p on p.site_id = s.site_id and p.paid_at >= {LEDGER_NOW} - INTERVAL '30 days' and p.paid_at <= {LEDGER_NOW}
 group by s.site_id, s.name"""}
 query("site_revenue_rank", "select *, rank = 1 as is_top from ranked", _RANK)(
     lambda fx: analytics.site_revenue_rank(fx.ledger, LEDGER_AS_OF))
@@ -182,7 +182,7 @@ query("bench_q4", f"select * from hourly where site_id = {SITE}", _HEAT)(
     lambda fx: analytics.hourly_stats(fx.all.only([SITE])))
 query("bench_q5", f"""
 select site_id, cast(sum(amount) as double) as total_revenue from ledger
-where paid_at >= {LEDGER_NOW} - INTERVAL '30 days' group by site_id
+where paid_at >= {LEDGER_NOW} - INTERVAL '30 days' and paid_at <= {LEDGER_NOW} group by site_id
 """)(lambda fx: analytics.revenue_30d_by_site(fx.ledger, LEDGER_AS_OF))
 query("bench_q6", "select site_id, anomaly_id, type, severity, message, detected_at from anomalies where not resolved")(
     lambda fx: feed.open_anomalies(fx.live))

@@ -1,6 +1,7 @@
 """Session settings and the shared folder for checkpoints and written snapshots."""
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: spark.checkpoint.dir, or a fresh local one where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext.getCheckpointDir()
+    if configured and not known:
+        spark.sparkContext.setCheckpointDir(configured)
+    if configured or known:
+        return configured or known
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="sitemetrics-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
