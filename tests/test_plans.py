@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as contract
+from sitemetrics.plans.all import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
-BATCH = [n for n in contract.queries() if not n.startswith("stream_") and n != "append_events"]
+BATCH = [n for n in QUERIES if not n.startswith("stream_") and n != "append_events"]
 
 
 def plan(spark, name):
