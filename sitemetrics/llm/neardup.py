@@ -19,7 +19,7 @@ an id are one document with the union of the rows' links; an empty table gives a
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemetrics.llm.common import blocks, cut, mix64, shingles_of, small_batches, stored, text_bytes, words_of
@@ -189,6 +189,18 @@ def components(edges: DataFrame) -> DataFrame:
         e = after
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (x, y): only the roots that the links connect go through the rounds, then the nodes below them follow."""
+    def root_of(end):
+        return comps.select(F.col("node").alias(end), F.col("root").alias("r" + end))
+    between = (links.select("x", "y").join(root_of("x"), "x", "left").join(root_of("y"), "y", "left")
+               .select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")))
+    now = components(between)
+    below = (comps.join(now.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left")
+             .select("node", F.coalesce("now", "root").alias("root")))
+    return cut(below.union(now.join(comps.select("node"), "node", "left_anti").select("node", "root")))
+
+
 def _between(reps, comp, side, sig, forest: bool):
     """Survivors (x, y) between different components of one cell; with `forest` only the strongest that connect."""
     need = least_matches_once()
@@ -295,8 +307,8 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     # Each class its strongest survivor, in both directions.
     ends = stars.select(F.col("x").alias("own"), "x", "y", "matches").union(stars.select(F.col("y").alias("own"), "x", "y", "matches"))
     first = ends.groupBy("own").agg(F.max_by(F.struct("x", "y"), F.struct("matches", (-F.col("x")).alias("a"), (-F.col("y")).alias("b"))).alias("p")).select("p.x", "p.y").distinct()
-    edges = cut(verify(cut(first), texts))
-    comps = components(edges)
+    first = cut(first)
+    comps = cut(components(verify(first, texts)))
 
     def apart(pairs):
         """Pairs whose ends are in different components, with these."""
@@ -311,9 +323,9 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
             best = F.max_by(F.struct("x", "y"), F.struct("matches", (-F.col("x")).alias("a"), (-F.col("y")).alias("b")))
             rest = rest.groupBy("a", "b").agg(best.alias("p")).select("p.x", "p.y")
         rest = cut(rest.select("x", "y"))
-        before = edges
-        edges, comps = _more(spark, edges, comps, rest, texts)
-        if edges is before:
+        before = comps
+        comps = _more(comps, rest, texts)
+        if comps is before:
             break
         tried = tried.union(rest)
     tried = first.union(stars.select("x", "y"))
@@ -322,29 +334,28 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
         met = met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep").select("band", "lo", "hi", "side", "rep", "comp", "sig")
         found = cut(met.mapInArrow(_cross(forest), "x bigint, y bigint").distinct())
         fresh = found.join(tried, ["x", "y"], "left_anti")
-        before = edges
-        edges, comps = _more(spark, edges, comps, fresh, texts)
+        before = comps
+        comps = _more(comps, fresh, texts)
         tried = tried.union(found)
-        if forest and edges is before:
+        if forest and comps is before:
             break
     ids = sketched.groupBy("row_id").agg(F.max("n").alias("n"))
     repeated = member.groupBy("row_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     if repeated.limit(1).count():
         # Ids whose rows have different sets join the classes of these.
-        comps = components(edges.union(member.join(repeated.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("x"), F.col("rep").alias("y"))))
+        comps = joined(comps, member.join(repeated.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("x"), F.col("rep").alias("y")))
         member = member.groupBy("row_id").agg(F.min("rep").alias("rep"))
     known = (member.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left")
              .select(F.col("row_id").alias("known_id"), F.least("row_id", F.coalesce("root", "rep")).alias("root")).distinct())
     return (ids.join(known, F.col("row_id") == F.col("known_id"), "left").select("row_id", "n", F.coalesce("root", "row_id").alias("component")))
 
 
-def _more(spark: SparkSession, edges, comps, pairs, texts):
-    """Edges and components after the pairs were verified; unchanged where there is no pair."""
+def _more(comps: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components after the pairs were verified; the same ones where there is no pair."""
     pairs = cut(pairs)
     if not pairs.limit(1).count():
-        return edges, comps
-    edges = cut(edges.union(verify(pairs, texts)))
-    return edges, components(edges)
+        return comps
+    return joined(comps, verify(pairs, texts))
 
 
 def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
