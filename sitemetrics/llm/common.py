@@ -33,6 +33,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the job that wrote them ends, not when the driver collects its garbage: many short rounds keep no disk."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def text_bytes(column):
     """(bytes, offsets) of an Arrow string column; nulls are empty. No copy where the column has no nulls."""
     import pyarrow as pa

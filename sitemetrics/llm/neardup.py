@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemetrics.llm.common import blocks, cut, mix64, shingles_of, small_batches, stored, text_bytes, words_of
+from sitemetrics.llm.common import blocks, cut, free_shuffles, mix64, shingles_of, small_batches, stored, text_bytes, words_of
 
 WORDS, PERCENT = 5, 75
 #: A pair at the threshold shares none of 50 bands of 6 with a probability of 5.5e-5.
@@ -283,6 +283,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     """(row_id, n, component): one row per id with the size of its set and the smallest id of its component."""
     spark = docs.sparkSession
     small_batches(spark)
+    free_shuffles(spark)
     rows = docs.select(F.col(ident).cast("long").alias("row_id"), F.col(text).alias("text"))
     sketched = stored(rows.mapInArrow(_sketch_rows, "row_id bigint, n bigint, set1 bigint, set2 bigint, bands binary, sig binary"))
     filled = sketched.filter("n > 0 and row_id is not null")
