@@ -37,22 +37,23 @@ select site_id, cast(sum(amount) as double) as total_revenue from ledger
 where paid_at >= {LEDGER_NOW} - INTERVAL '30 days' and paid_at <= {LEDGER_NOW} group by site_id
 """)(lambda fx: analytics.revenue_30d_by_site(fx.ledger, LEDGER_AS_OF))
 
-_RANK = {"ranked": f"""
-select s.site_id, s.name as site_name, cast(coalesce(sum(p.amount), 0) as double) as total_revenue,
-  cast(dense_rank() over (order by coalesce(sum(p.amount), 0) desc) as integer) as rank
-from sites s left join ledger p on p.site_id = s.site_id and p.paid_at >= {LEDGER_NOW} - INTERVAL '30 days' and p.paid_at <= {LEDGER_NOW}
-group by s.site_id, s.name"""}
+_RANK = {"takings": f"""
+select site_id, sum(amount) as taken from ledger where paid_at between {LEDGER_NOW} - INTERVAL '30 days' and {LEDGER_NOW} group by site_id""",
+    "totals": "select site_id, name as site_name, coalesce(taken, 0) as total from sites left join takings using (site_id)",
+    "ranked": """
+select site_id, site_name, cast(total as double) as total_revenue, cast(dense_rank() over (order by total desc) as integer) as rank from totals"""}
 query("site_revenue_rank", "select *, rank = 1 as is_top from ranked", _RANK)(
     lambda fx: analytics.site_revenue_rank(fx.ledger, LEDGER_AS_OF))
 query("site_labels", """
 select site_id, upper(replace(site_name, 'NATION_', '')) as label, total_revenue, rank = 1 as is_top from ranked
 """, _RANK)(lambda fx: analytics.site_labels(analytics.site_revenue_rank(fx.ledger, LEDGER_AS_OF), "NATION_"))
 
-_CHURN = {"churn": f"""
+_CHURN = {"absence": f"""
+select *, epoch_us({LEDGER_NOW}) - epoch_us(last_checkin_at) as gap from members where status = 'active'""",
+    "churn": """
 select member_id, site_id, name, email, phone, last_checkin_at, plan_expires_at,
-  case when last_checkin_at < {LEDGER_NOW} - INTERVAL '60 days' then 'CRITICAL' else 'HIGH' end as risk_level,
-  cast((epoch_us({LEDGER_NOW}) - epoch_us(last_checkin_at)) // 86400000000 as integer) as days_absent
-from members where status = 'active' and last_checkin_at < {LEDGER_NOW} - INTERVAL '45 days'"""}
+  if(gap > 60 * 86400000000, 'CRITICAL', 'HIGH') as risk_level, cast(gap // 86400000000 as integer) as days_absent
+from absence where gap > 45 * 86400000000"""}
 query("churn_risk", "select * from churn", _CHURN)(lambda fx: analytics.churn_risk(fx.ledger, LEDGER_AS_OF))
 query("churn_contact", "select member_id, coalesce(nullif(phone, ''), email) as contact from churn", _CHURN)(
     lambda fx: analytics.churn_contact(fx.ledger, LEDGER_AS_OF))
