@@ -283,3 +283,16 @@ def test_pipeline(spark):
         if name == "near_duplicates":
             assert total > docs.count() > 0.5 * total and docs.select("doc_id").distinct().count() == docs.count()
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
+
+
+def test_components_grow_by_links(spark):
+    """Components extended by further links are those of all links together."""
+    draw = random.Random(5)
+    links = [(draw.randrange(60), draw.randrange(60)) for _ in range(45)]
+    links = [(a, b) for a, b in links if a != b]
+    frame = lambda rows: spark.createDataFrame(rows, "x long, y long")
+    grown = neardup.joined(neardup.components(frame(links[:25])).checkpoint(), frame(links[25:]))
+    whole = neardup.components(frame(links))
+    assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect()))
+    same = neardup.joined(neardup.components(frame(links[:25])).checkpoint(), frame([]))
+    assert same.count() == neardup.components(frame(links[:25])).count()
