@@ -70,12 +70,9 @@ def recent_enough(t: Tables, n: int) -> Tables:
 
 
 def activity_feed(t: Tables, n: int = FEED_SIZE) -> DataFrame:
-    """Newest n events of each site with member names, joined after the cut.
-
-    Every event has a member (foreign key), so cutting first loses nothing.
-    """
+    """Newest n events of each site with member names, joined after the cut; the name of an unknown member is null."""
     top = t.site_bounded(newest(feed_events(recent_enough(t, n)), n), n)
-    return (top.join(t.members.select("member_id", F.col("name").alias("member_name")), "member_id")
+    return (top.join(t.members.select("member_id", F.col("name").alias("member_name")), "member_id", "left")
             .select("site_id", "id", "event_type", "member_id", "member_name", "event_time", "action", "amount",
                     "plan_type"))
 

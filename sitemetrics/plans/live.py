@@ -115,7 +115,7 @@ select site_id, cast(payment_id as varchar), 'payment', member_id, paid_at, 'pai
 select e.site_id, e.id, e.event_type, e.member_id, m.name as member_name, e.event_time, e.action,
   cast(e.amount as double) as amount, e.plan_type
 from (select *, row_number() over (partition by site_id order by event_time desc, id) as rn from feed_events) e
-join members m on m.member_id = e.member_id where rn <= 20""",
+left join members m on m.member_id = e.member_id where rn <= 20""",
 }
 query("activity_feed", "select * from feed", _FEED)(
     lambda fx: feed.activity_feed(fx.live).withColumn("amount", F.col("amount").cast("double")))
