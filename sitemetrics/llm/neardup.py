@@ -335,10 +335,10 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
         met = met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep").select("band", "lo", "hi", "side", "rep", "comp", "sig")
         found = cut(met.mapInArrow(_cross(forest), "x bigint, y bigint").distinct())
         fresh = found.join(tried, ["x", "y"], "left_anti")
-        before = comps
         comps = _more(comps, fresh, texts)
         tried = tried.union(found)
-        if forest and comps is before:
+        # A forest of tried pairs alone may hide untried survivors; only an empty one shows that no cell holds any.
+        if forest and not found.limit(1).count():
             break
     ids = sketched.groupBy("row_id").agg(F.max("n").alias("n"))
     repeated = member.groupBy("row_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")

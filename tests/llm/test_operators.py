@@ -296,3 +296,32 @@ def test_components_grow_by_links(spark):
     assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect()))
     same = neardup.joined(neardup.components(frame(links[:25])).checkpoint(), frame([]))
     assert same.count() == neardup.components(frame(links[:25])).count()
+
+
+def test_rejected_forest_does_not_hide_links(spark, monkeypatch):
+    """The strongest pair between two components was tried in another bucket and rejected; a weaker one, untried, is a link."""
+    def edited(seed, places):
+        return " ".join(f"n{seed}x{p}" if p in places else f"s{seed}w{p}" for p in range(200))
+    cross = {2, 20, 40, 60, 80, 100}   # 28 of 196 shingles: 168 / 224 is the threshold itself
+    for seed in range(1000):  # the first whose strongest pair is (1, 3)
+        texts = [" ".join(f"c{p}" for p in range(200)), edited(seed, {21, 61}), edited(seed, set()), edited(seed, cross | {41, 81}), edited(seed, cross)]
+        sigs = []
+        for t in texts:
+            raw = np.frombuffer(t.encode(), np.uint8)
+            sigs.append(neardup.signature(neardup.shingles_of(neardup.words_of(raw, np.array([0, len(raw)]))[0], 5))[:128].astype(np.uint16))
+        matches = {(i, j): int((sigs[i] == sigs[j]).sum()) for i in (1, 2) for j in (3, 4)}
+        if matches[1, 3] > max(matches[p] for p in matches if p != (1, 3)) and min(matches.values()) >= 85:
+            break
+    assert matches[1, 3] > matches[2, 4]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    drawn = spark.range(5000).select(F.col("id").alias("band"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(5)])).alias("rep"))
+    first = drawn.groupBy("band").agg(F.min_by("rep", F.xxhash64("band", "rep")).alias("centre")).filter("centre = 0 and band > 10").agg(F.min("band")).first()[0]
+    dealt = {1: [1, 3], 2: [1, 2], 3: [3, 4], first: [0, 1, 2, 3, 4]}
+
+    def buckets(batches):
+        import pyarrow as pa
+        for batch in batches:
+            rows = [(band, rep) for rep in batch.column(0).to_pylist() for band, members in dealt.items() if rep in members]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["band", "rep"])
+    monkeypatch.setattr(neardup, "_explode_bands", buckets)
+    assert {r.doc_id: r.component_id for r in neardup.op1(table).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
