@@ -22,6 +22,8 @@ from sitemetrics.llm.common import crc_of_id, mix64, small_batches
 ROWS_PER_LANG, LONGEST, CHUNK, PASSES = 400, 8, 48, 4
 VOCABULARY = "piece_bpe_32k.model"
 FLOOR, SMOOTH = 1e-8, 1e-3
+#: Binary digits by which sums that became small are lifted.
+STEP = 300
 BLOCK = 1 << 21
 
 _alpha = None
@@ -127,14 +129,54 @@ def lattice(pieces: Pieces, letters, starts, ends):
         yield n, which, numbers
 
 
-def forward(n, numbers, table):
-    """Sum over segmentations up to each letter: [word, n + 1, languages]; table has rows for `no piece` (0) and unknown letters."""
+def _lift(sums, scale, t, window):
+    """Where sums[:, t] has become small, the sums still in use are multiplied by 2^STEP, exactly, and their scale counts one more."""
+    small = sums[:, t] < 2.0 ** -STEP
+    if small.any():
+        factor = np.where(small, 2.0 ** STEP, 1.0)[:, None]
+        sums[:, window] *= factor
+        scale[:, window] += small[:, None]
+
+
+def scaled_forward(n, numbers, table):
+    """Sums over segmentations up to each letter and their scales, both [word, n + 1, languages]: a sum stands for itself times 2^(-STEP * scale).
+
+    table has rows for `no piece` (0) and unknown letters. A letter alone has at least FLOOR, so no sum underflows between two lifts.
+    """
     alpha = np.zeros((len(numbers), n + 1, table.shape[1]))
+    scale = np.zeros(alpha.shape, np.int16)
     alpha[:, 0] = 1.0
     for t in range(1, n + 1):
         for size in range(1, min(t, LONGEST) + 1):
             alpha[:, t] += alpha[:, t - size] * table[numbers[:, t, size - 1]]
-    return alpha
+        scale[:, t] = scale[:, t - 1]
+        _lift(alpha, scale, t, slice(max(0, t - LONGEST + 1), t + 1))
+    return alpha, scale
+
+
+def scaled_backward(n, numbers, p):
+    """Sums over segmentations from each letter on, of one language: (sums, scales), [word, n + 1, 1]."""
+    beta = np.zeros((len(numbers), n + 1, 1))
+    scale = np.zeros(beta.shape, np.int16)
+    beta[:, n] = 1.0
+    for t in range(n - 1, -1, -1):
+        for size in range(1, min(n - t, LONGEST) + 1):
+            beta[:, t, 0] += p[numbers[:, t + size, size - 1]] * beta[:, t + size, 0]
+        scale[:, t] = scale[:, t + 1]
+        _lift(beta, scale, t, slice(t, t + LONGEST))
+    return beta, scale
+
+
+def forward(n, numbers, table):
+    """Sums over segmentations up to each letter, [word, n + 1, languages], as plain numbers: 0 where they are below the least double."""
+    alpha, scale = scaled_forward(n, numbers, table)
+    return np.ldexp(alpha, -STEP * scale)
+
+
+def log_probability(n, numbers, table):
+    """Log of the sum over all segmentations of each word: [word, languages], always finite."""
+    alpha, scale = scaled_forward(n, numbers, table)
+    return np.log(alpha[:, n]) - scale[:, n] * (STEP * math.log(2.0))
 
 
 def learn(counts: dict[str, dict[str, int]], pieces: list[str], passes: int = PASSES):
@@ -154,17 +196,14 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], passes: int = PA
         for _ in range(passes):
             expected = np.zeros(index.n + 2)
             for n, which, numbers in shapes:
-                alpha = forward(n, numbers, p[:, None])[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[:, n] = 1.0
-                for t in range(n - 1, -1, -1):
-                    for size in range(1, min(n - t, LONGEST) + 1):
-                        beta[:, t] += p[numbers[:, t + size, size - 1]] * beta[:, t + size]
-                share = weight[which] / np.maximum(alpha[:, n], 1e-300)
+                (alpha, up), (beta, down) = scaled_forward(n, numbers, p[:, None]), scaled_backward(n, numbers, p)
+                alpha, up, beta, down = alpha[:, :, 0], up[:, :, 0], beta[:, :, 0], down[:, :, 0]
+                share = weight[which] / alpha[:, n]
                 for t in range(1, n + 1):
                     for size in range(1, min(t, LONGEST) + 1):
                         ids = numbers[:, t, size - 1]
-                        expected += np.bincount(ids, alpha[:, t - size] * p[ids] * beta[:, t] * share, index.n + 2)
+                        part = alpha[:, t - size] * p[ids] * beta[:, t] * share
+                        expected += np.bincount(ids, np.ldexp(part, STEP * (up[:, n] - up[:, t - size] - down[:, t])), index.n + 2)
             expected[index.n:] = 0.0
             p = (1 - SMOOTH) * expected / max(expected.sum(), 1e-300) + SMOOTH / max(1, index.n)
             p[index.n], p[index.n + 1] = 0.0, FLOOR
@@ -220,21 +259,22 @@ def score_texts(texts, langs, index: Pieces, table):
             size += len(texts[last] or "")
             last += 1
         letters, starts, ends, bounds = words_in(texts[first:last])
-        total = np.zeros((len(starts) + 1, len(langs)))
+        full = np.flatnonzero(bounds[1:] > bounds[:-1])
+        total = np.zeros((last - first, len(langs)))
         if len(starts):
             at, kind = distinct(letters, starts, ends)
             value = np.zeros((len(at), len(langs)))
             for n, which, numbers in lattice(index, letters, starts[at], ends[at]):
                 for a in range(0, len(which), 20000):
-                    value[which[a:a + 20000]] = np.log(forward(n, numbers[a:a + 20000], table)[:, n])
-            np.cumsum(value[kind], axis=0, out=total[1:])
+                    value[which[a:a + 20000]] = log_probability(n, numbers[a:a + 20000], table)
+            # Each text is summed by itself: what stands beside it in the block cannot change it.
+            total[full] = np.add.reduceat(value[kind], bounds[full], axis=0)
         for i in range(last - first):
             if bounds[i] == bounds[i + 1]:
                 preds.append("und")
                 scores.append(0.0)
                 continue
-            own = total[bounds[i + 1]] - total[bounds[i]]
-            own = np.round(own - own.max(), 6)
+            own = np.round(total[i] - total[i].max(), 6)
             best = int(np.argmax(own))
             preds.append(langs[best])
             scores.append(round(1.0 / math.fsum(np.exp(own - own[best])), 9))

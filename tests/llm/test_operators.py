@@ -325,3 +325,21 @@ def test_rejected_forest_does_not_hide_links(spark, monkeypatch):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["band", "rep"])
     monkeypatch.setattr(neardup, "_explode_bands", buckets)
     assert {r.doc_id: r.component_id for r in neardup.op1(table).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_long_unknown_words_stay_finite(spark):
+    """Runs of letters that no piece covers have finite log-probabilities and do not change the texts beside them."""
+    langs, pieces, table = langid.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    index = langid.Pieces(pieces)
+    unknown = next(chr(c) for c in range(0x10A0, 0x20000) if chr(c).isalpha() and chr(c).lower() == chr(c) and chr(c) not in pieces)
+    texts = [unknown * 48, "the house by the sea is old", unknown * 200 + " the house by the sea is old", ""]
+    together = langid.score_texts(texts, langs, index, table)
+    alone = [langid.score_texts([t], langs, index, table) for t in texts]
+    assert all(0 <= s <= 1 for s in together[1])
+    assert together == ([a[0][0] for a in alone], [a[1][0] for a in alone])
+    assert together[0][1] == together[0][2] != "und" and together[0][3] == "und"
+    letters, starts, ends, _ = langid.words_in([unknown * 48])
+    (n, _, numbers), = langid.lattice(index, letters, starts, ends)
+    assert langid.log_probability(n, numbers, table)[0] == pytest.approx(48 * np.log(langid.FLOOR))
+    names, learned = langid.learn({"x": {unknown * 47 + "a": 5}, "y": {"b": 1}}, ["a", "b"])
+    assert learned[0, 0] == pytest.approx(1 - langid.SMOOTH / 2)   # the count of a piece in a word of small probability is not lost
