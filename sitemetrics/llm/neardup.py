@@ -12,8 +12,9 @@ BLOCK members meet pairwise, the survivors' strongest forest is verified, then e
 no further link can change the result.
 
 Defined cases: null texts and texts without words have no set and are linked with nothing; fewer than five words make one shingle of
-the whole sequence; null ids are one more document each, linked like others but never the smallest id unless alone; rows that repeat
-an id are one document with the union of the rows' links; an empty table gives an empty result; further columns of the input are not looked at.
+the whole sequence; every row with a null id is one more document, with an output row of its own, linked like others; it is kept only where no document
+of its component has an id, and of several such rows one is; rows that repeat an id are one document with the union of the rows' links, of which the row
+with the largest set stands (of equal ones that of the smallest text digest); an empty table gives an empty result; further columns are not looked at.
 """
 
 import math
@@ -84,7 +85,7 @@ def least_matches_once():
 
 
 def _sketch_rows(batches):
-    """(doc_id, n, set1, set2, bands, sig) of each text."""
+    """(place, row_id, mark, n, set1, set2, bands, sig) of each row (place, text, row_id, mark)."""
     import pyarrow as pa
     for batch in batches:
         raw, offsets = text_bytes(batch.column(1))
@@ -105,8 +106,9 @@ def _sketch_rows(batches):
                     keys = mix64(keys * np.uint64(31) + sig[r::ROWS].astype(np.uint64) + np.uint64(1))
                 bands.append((keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tobytes())
                 sigs.append(sig[:COMPARED].astype(np.uint16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                                          pa.array(bands, pa.binary()), pa.array(sigs, pa.binary())], ["row_id", "n", "set1", "set2", "bands", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
+                                          pa.array(two, pa.int64()), pa.array(bands, pa.binary()), pa.array(sigs, pa.binary())],
+                                         ["place", "row_id", "mark", "n", "set1", "set2", "bands", "sig"])
 
 
 def _set_rows(batches):
@@ -158,10 +160,10 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["x", "y"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose full sets, computed anew from the texts of `docs` (rep, text), reach the threshold."""
+def verify(pairs: DataFrame, texts) -> DataFrame:
+    """The pairs (x, y) whose full sets reach the threshold; `texts` gives (rep, text), one row each, of the wanted (rep)."""
     wanted = pairs.select(F.col("x").alias("rep")).union(pairs.select(F.col("y").alias("rep"))).distinct()
-    sets = stored(docs.join(wanted, "rep", "left_semi").select("rep", "text").mapInArrow(_set_rows, "rep bigint, members binary"))
+    sets = stored(texts(wanted).mapInArrow(_set_rows, "rep bigint, members binary"))
     return (pairs.select("x", "y").join(sets.select(F.col("rep").alias("x"), F.col("members").alias("mx")), "x")
             .join(sets.select(F.col("rep").alias("y"), F.col("members").alias("my")), "y")
             .select("x", "y", "mx", "my").mapInArrow(_verified, "x bigint, y bigint"))
@@ -276,29 +278,42 @@ def _members(bands: DataFrame, sigs: DataFrame, comps: DataFrame) -> DataFrame:
         F.least("part", q).alias("lo"), F.greatest("part", q).alias("hi"),
         F.when(q == F.col("part"), 2).when(q > F.col("part"), 0).otherwise(1).alias("side")))
     return (rows.select("band", "rep", "comp", F.explode(meets).alias("cell")).select("band", "rep", "comp", "cell.lo", "cell.hi", "cell.side")
-            .join(sigs, "rep"))
+            .join(sigs.select("rep", "sig"), "rep"))
 
 
-def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_id, n, component): one row per id with the size of its set and the smallest id of its component."""
+def _mark(text: str):
+    """Digest that tells the texts of an id apart."""
+    return F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
+
+
+def _linked(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(row_id, mark, n, copies, place, root, component), one row per id and text, and the places of the rows without an id (place, mark, n).
+
+    The component is its smallest id, null where no member has one; a text without a set has no root."""
     spark = docs.sparkSession
     small_batches(spark)
     free_shuffles(spark)
-    rows = docs.select(F.col(ident).cast("long").alias("row_id"), F.col(text).alias("text"))
-    sketched = stored(rows.mapInArrow(_sketch_rows, "row_id bigint, n bigint, set1 bigint, set2 bigint, bands binary, sig binary"))
-    filled = sketched.filter("n > 0 and row_id is not null")
-    # Equal sets: one representative each, the smallest id.
-    reps = filled.groupBy("set1", "set2", "n").agg(F.min("row_id").alias("rep"))
-    member = cut(filled.select("row_id", "set1", "set2", "n").join(reps, ["set1", "set2", "n"]).select("row_id", "rep"))
-    one = (filled.select("row_id", "bands", "sig", "set1", "set2").join(reps.select(F.col("rep").alias("row_id"), "set1", "set2"), ["row_id", "set1", "set2"])
-           .select(F.col("row_id").alias("rep"), "bands", "sig"))
-    # An id with several different sets (repeated ids) stands for all of them; band keys keep them apart.
-    sigs = cut(one.select("rep", "sig").dropDuplicates(["rep"]))
+    rows = docs.select(F.col(ident).cast("long").alias("row_id"), F.col(text).alias("text"), _mark(text).alias("mark"))
+    # The place is a row's own key: it is told once and stored, so that repeated and null ids stay apart.
+    sketched = stored(rows.select(F.monotonically_increasing_id().alias("place"), "text", "row_id", "mark").mapInArrow(
+        _sketch_rows, "place bigint, row_id bigint, mark string, n bigint, set1 bigint, set2 bigint, bands binary, sig binary"))
+    kinds = cut(sketched.groupBy("row_id", "mark", "n", "set1", "set2").agg(F.count("*").alias("copies"), F.min("place").alias("place")))
+    filled = sketched.filter("n > 0")
+    # Equal sets: one class, its representative the row of the smallest place.
+    reps = cut(filled.groupBy("set1", "set2", "n").agg(F.min("place").alias("rep"), F.min("row_id").alias("least")))
+    member = cut(kinds.filter("n > 0").join(reps.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select("row_id", "mark", "n", "copies", "place", "rep"))
+    one = filled.withColumnRenamed("place", "rep").join(reps.select("rep"), "rep", "left_semi")
+    sigs = cut(one.select("rep", "sig", "row_id", "mark"))
     bands = one.select("rep", "bands").mapInArrow(_explode_bands, "band bigint, rep bigint")
+    several = member.filter("copies > 1").limit(1).count() > 0
+
+    def texts(wanted):
+        from_row = sigs.join(wanted, "rep").select("rep", F.col("row_id").alias("own_id"), F.col("mark").alias("own_mark"))
+        found = rows.join(from_row, F.col("row_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("rep", "text")
+        return found.groupBy("rep").agg(F.first("text").alias("text")) if several else found
     draw = F.xxhash64("band", "rep")
     centres = bands.groupBy("band").agg(F.min_by("rep", draw).alias("centre"), F.count("*").alias("size")).filter("size > 1")
     shared = stored(bands.join(centres.select("band", "centre"), "band").select("band", "rep", "centre").distinct())
-    texts = rows.filter("row_id is not null").withColumnRenamed("row_id", "rep")
 
     def prune(pairs):
         met = (pairs.join(sigs.select(F.col("rep").alias("x"), F.col("sig").alias("sx")), "x").join(sigs.select(F.col("rep").alias("y"), F.col("sig").alias("sy")), "y")
@@ -340,18 +355,39 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
         # A forest of tried pairs alone may hide untried survivors; only an empty one shows that no cell holds any.
         if forest and not found.limit(1).count():
             break
-    ids = sketched.groupBy("row_id").agg(F.max("n").alias("n"))
-    repeated = member.groupBy("row_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
+    known = member.filter("row_id is not null")
+    repeated = known.groupBy("row_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     if repeated.limit(1).count():
         # Ids whose rows have different sets join the classes of these.
-        comps = joined(comps, member.join(repeated.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("x"), F.col("rep").alias("y")))
-        member = member.groupBy("row_id").agg(F.min("rep").alias("rep"))
-    known = (member.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left")
-             .select(F.col("row_id").alias("known_id"), F.least("row_id", F.coalesce("root", "rep")).alias("root")).distinct())
-    return (ids.join(known, F.col("row_id") == F.col("known_id"), "left").select("row_id", "n", F.coalesce("root", "row_id").alias("component")))
+        comps = joined(comps, known.join(repeated, "row_id").filter("rep <> a").select(F.col("a").alias("x"), F.col("rep").alias("y")))
+    roots = reps.select("rep", "least").join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "least", F.coalesce("root", "rep").alias("root"))
+    named = roots.groupBy("root").agg(F.min("least").alias("component"))
+    linked = member.join(roots.select("rep", "root").join(named, "root"), "rep").select("row_id", "mark", "n", "copies", "place", "root", "component")
+    bare = kinds.filter("n = 0").select("row_id", "mark", "n", "copies", "place", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("component"))
+    return cut(linked.union(bare)), sketched.filter("row_id is null").select("place", "mark", "n")
+
 
+def _nameless(linked: DataFrame) -> DataFrame:
+    """Of each component without an id the text that is kept: (root, mark)."""
+    return (linked.filter("row_id is null and n > 0 and component is null").groupBy("root")
+            .agg(F.min(F.struct((-F.col("n")).alias("n"), "mark")).alias("first")).select("root", "first.mark"))
 
-def _more(comps: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+
+def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row_id, n, component, kept): one row per id, and one per row without an id, with the size of its set and the smallest id of its component."""
+    linked, nameless = _linked(docs, ident, text)
+    ids = (linked.filter("row_id is not null").groupBy("row_id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
+           .select("row_id", "n", F.coalesce("component", "row_id").alias("component")).withColumn("kept", F.col("row_id") == F.col("component")))
+    chosen = _nameless(linked).withColumn("first", F.lit(True))
+    told = (linked.filter("row_id is null and n > 0").join(chosen, ["root", "mark"], "left")
+            .select("mark", "component", F.when(F.col("first"), F.col("place")).alias("stays")))
+    none = F.lit(None).cast("long")
+    rest = nameless.filter("n > 0").join(told, "mark").select(none.alias("row_id"), "n", "component", F.coalesce(F.col("place") == F.col("stays"), F.lit(False)).alias("kept"))
+    bare = nameless.filter("n = 0").select(none.alias("row_id"), "n", none.alias("component"), F.lit(True).alias("kept"))
+    return ids.union(rest).union(bare)
+
+
+def _more(comps: DataFrame, pairs: DataFrame, texts) -> DataFrame:
     """Components after the pairs were verified; the same ones where there is no pair."""
     pairs = cut(pairs)
     if not pairs.limit(1).count():
@@ -360,11 +396,25 @@ def _more(comps: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one whose id is the component's smallest; rows without an id stay."""
-    kept = classes(docs, ident, text).filter(F.col("row_id").isNull() | (F.col("row_id") == F.col("component"))).select(F.col("row_id").alias("kept_id"))
-    return docs.join(kept, F.col(ident).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each component: that of its smallest id, or one without an id where none has one; rows without an id and a set all stay."""
+    linked, _ = _linked(docs, ident, text)
+    ids = (linked.filter("row_id is not null").groupBy("row_id").agg(F.min("component").alias("component"),
+                                                                     F.min(F.struct((-F.col("n")).alias("n"), "mark", "copies")).alias("first"))
+           .filter("component is null or component = row_id").select("row_id", "first.mark", "first.copies"))
+    rest = linked.filter("row_id is null and n > 0").join(_nameless(linked), ["root", "mark"], "left_semi").select("row_id", "mark", "copies")
+    # Rows without an id and a set are told by copies 0: each of them stays.
+    bare = linked.filter("row_id is null and n = 0").select("row_id", "mark", F.lit(0).cast("long").alias("copies"))
+    kept = cut(ids.union(rest).union(bare).select(F.col("row_id").alias("__id"), F.col("mark").alias("__mark"), F.col("copies").alias("__copies")))
+    found = docs.join(kept, F.col(ident).cast("long").eqNullSafe(F.col("__id")) & (_mark(text) == F.col("__mark")))
+    own = ["__id", "__mark", "__copies"]
+    if not kept.filter("__copies > 1").limit(1).count():
+        return found.drop(*own)
+    # Rows equal in id and text: one of them, by a digest of the row.
+    order = F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in docs.columns])
+    single = (found.filter("__copies > 1").groupBy("__id", "__mark").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+              .select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    return found.filter("__copies < 2").drop(*own).unionByName(single)
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    return classes(docs.select("doc_id", "text")).select(F.col("row_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-                                                         F.coalesce(F.col("row_id") == F.col("component"), F.lit(True)).alias("kept"))
+    return classes(docs.select("doc_id", "text")).select(F.col("row_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")

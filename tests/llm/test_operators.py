@@ -343,3 +343,41 @@ def test_long_unknown_words_stay_finite(spark):
     assert langid.log_probability(n, numbers, table)[0] == pytest.approx(48 * np.log(langid.FLOOR))
     names, learned = langid.learn({"x": {unknown * 47 + "a": 5}, "y": {"b": 1}}, ["a", "b"])
     assert learned[0, 0] == pytest.approx(1 - langid.SMOOTH / 2)   # the count of a piece in a word of small probability is not lost
+
+
+def test_null_and_repeated_ids_match_brute_force(spark):
+    """Each row is linked by its own text; one row of a component stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (7, a + " end"), (3, b), (3, c), (9, b + " end"), (4, c + " end"), (None, d), (None, d), (None, d + " end"), (5, BASE), (5, BASE),
+            (None, None), (None, None), (None, BASE + " end"), (6, None), (6, " "), (2, "one two"), (None, "three"), (2, a + " more")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else None for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, (k, _) in enumerate(rows):
+        for j in range(i):
+            linked = sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+            if linked or (k is not None and k == rows[j][0]):
+                root[top(i)] = top(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(top(i), []).append(i)
+    want, stay = [], Counter()
+    for g in groups.values():
+        ids = {rows[i][0] for i in g} - {None}
+        least = min(ids, default=None)
+        for k in ids:
+            want.append((k, max(len(sets[i] or ()) for i in g if rows[i][0] == k), least, k == least))
+        for place, i in enumerate(i for i in sorted(g, key=lambda i: -len(sets[i] or ())) if rows[i][0] is None):
+            want.append((None, len(sets[i] or ()), least, None))
+        stay[least] += 1
+    got = [tuple(r) for r in neardup.op1(table).collect()]
+    assert sorted(((k, n, m, None if k is None else kept) for k, n, m, kept in got), key=str) == sorted(want, key=str)
+    assert Counter(m for _, _, m, kept in got if kept) == stay
+    left = [tuple(r) for r in neardup.keep_first(table).collect()]
+    assert Counter(k for k, _ in left) == stay and all(r in rows for r in left)
+    assert sorted(t for k, t in left if k is None and t is not None) in ([d + " end", "three"], [d, "three"])
