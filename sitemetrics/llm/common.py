@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators: tables, shared storage and vectorised word hashing."""
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,39 @@ from sitemetrics.session import cut, shared_dir  # noqa: F401  (cut: for the ope
 BLOCK_BYTES = 2 << 20
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of the jobs inside go when their job ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared folder: smaller than a checkpoint for many narrow rows."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `stored` that no later plan reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/llm-" in path:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
