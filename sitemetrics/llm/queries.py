@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators: each applies its operator, with production parameters, to the whole table."""
 
-from sitemetrics.llm import extract, fingerprint, knn, langid, manifest, mixing, neardup, packing, pii, quality, repeats, treelm
+from sitemetrics.llm import extract, fingerprint, knn, langid, manifest, mixing, neardup, packing, phrases, pii, quality, repeats, treelm
 from sitemetrics.llm.common import table
 
 QUERIES = {
@@ -14,8 +14,9 @@ QUERIES = {
     "op8_fingerprints": lambda spark, folder: fingerprint.op8(table(spark, folder, "documents")),
     "op9_quality": lambda spark, folder: quality.op9(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op10_packing": lambda spark, folder: packing.op10(table(spark, folder, "documents")),
+    "op11_phrases": lambda spark, folder: phrases.op11(table(spark, folder, "documents")),
     "op12_merkle_manifest": lambda spark, folder: manifest.op12(table(spark, folder, "documents")),
     "op13_context_tree_scores": lambda spark, folder: treelm.op13(table(spark, folder, "documents")),
 }
 
-ORACLES = {"op7_voronoi_top_k": knn.OP7_SQL, "op12_merkle_manifest": manifest.OP12_SQL}
+ORACLES = {"op7_voronoi_top_k": knn.OP7_SQL, "op11_phrases": phrases.OP11_SQL, "op12_merkle_manifest": manifest.OP12_SQL}
