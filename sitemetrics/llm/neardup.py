@@ -6,10 +6,11 @@ hashes: after each batch the posterior of its similarity (uniform prior) tells t
 when that falls below MISS. Survivors are verified exactly on the full sets, and links are joined to components.
 
 No bucket is expanded into pairs. (1) Each band's bucket has one centre, drawn by a digest of band and class; every member is a candidate with it, so
-a group of n copies gives n candidates a band. (2) Of its survivors each class verifies the best first, then the best between each two components, then all that still
-join two components. (3) Buckets that still hold several components are compared inside, by components: blocks of at most
-BLOCK members meet pairwise, the survivors' strongest forest is verified, then every survivor that still joins two components. Within a component
-no further link can change the result.
+a group of n copies gives n candidates a band. (2) Of its survivors each class verifies the best first, then the best between each two components, twice.
+(3) Buckets that still hold several components are settled in cells. A class outside a bucket's largest component meets every class of its buckets, in
+bounded blocks: on signatures first, which leaves the classes with a survivor, then these on their full sets, where a cell gives out only links
+that join components. A pair is compared where its rows lie, so rows grow with the classes, not with the pairs, and every candidate
+between two components is settled in one round. Within a component no further link can change the result.
 
 Defined cases: null texts and texts without words have no set and are linked with nothing; fewer than five words make one shingle of
 the whole sequence; every row with a null id is one more document, with an output row of its own, linked like others; it is kept only where no document
@@ -23,13 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemetrics.llm.common import blocks, cut, free_shuffles, mix64, shingles_of, small_batches, stored, text_bytes, words_of
+from sitemetrics.llm.common import blocks, discard, mix64, shingles_of, small_batches, stored, text_bytes, words_of
 
 WORDS, PERCENT = 5, 75
 #: A pair at the threshold shares none of 50 bands of 6 with a probability of 5.5e-5.
 BANDS, ROWS = 50, 6
 BATCH, COMPARED, MISS = 16, 128, 1e-6
-BLOCK = 1024
+#: Bytes of sets and classes of a block that meets others, and of those that it meets.
+MEETING, MET, MOST = 2 << 20, 8 << 20, 512
 
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -164,16 +166,18 @@ def verify(pairs: DataFrame, texts) -> DataFrame:
     """The pairs (x, y) whose full sets reach the threshold; `texts` gives (rep, text), one row each, of the wanted (rep)."""
     wanted = pairs.select(F.col("x").alias("rep")).union(pairs.select(F.col("y").alias("rep"))).distinct()
     sets = stored(texts(wanted).mapInArrow(_set_rows, "rep bigint, members binary"))
-    return (pairs.select("x", "y").join(sets.select(F.col("rep").alias("x"), F.col("members").alias("mx")), "x")
-            .join(sets.select(F.col("rep").alias("y"), F.col("members").alias("my")), "y")
-            .select("x", "y", "mx", "my").mapInArrow(_verified, "x bigint, y bigint"))
+    links = stored(pairs.select("x", "y").join(sets.select(F.col("rep").alias("x"), F.col("members").alias("mx")), "x")
+                   .join(sets.select(F.col("rep").alias("y"), F.col("members").alias("my")), "y")
+                   .select("x", "y", "mx", "my").mapInArrow(_verified, "x bigint, y bigint"))
+    discard(sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of the edges. Rounds of large-star and small-star, each cut and counted."""
+    """(node, root): the smallest node reachable, for every node of the edges. Rounds of large-star and small-star, each stored."""
     def both(e):
         return e.select(F.col("u"), F.col("v")).union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    e = cut(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
+    e = stored(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
     while True:
         around = both(e)
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -181,13 +185,15 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
                  .filter("u <> v").distinct())
-        after = cut(small)
+        after = stored(small)
         # Settled when nothing is both above and below: every edge then leads to a root.
         if not after.select("u").join(after.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
             roots = after.groupBy("u").agg(F.min("v").alias("root"), F.count("*").alias("k"))
             if not roots.filter("k > 1").limit(1).count():
-                roots = roots.select(F.col("u").alias("node"), "root")
+                roots = stored(roots.select(F.col("u").alias("node"), "root"))
+                discard(e, after)
                 return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+        discard(e)
         e = after
 
 
@@ -200,85 +206,151 @@ def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     now = components(between)
     below = (comps.join(now.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left")
              .select("node", F.coalesce("now", "root").alias("root")))
-    return cut(below.union(now.join(comps.select("node"), "node", "left_anti").select("node", "root")))
-
-
-def _between(reps, comp, side, sig, forest: bool):
-    """Survivors (x, y) between different components of one cell; with `forest` only the strongest that connect."""
-    need = least_matches_once()
-    found = []
-    for i in range(len(reps)):
-        # Sides 0 and 1 meet; a block that meets itself has side 2.
-        other = np.flatnonzero((comp != comp[i]) & (reps > reps[i]) & ((side == 2) if side[i] == 2 else (side != side[i])))
+    return stored(below.union(now.join(comps.select("node"), "node", "left_anti").select("node", "root")))
+
+
+class _Block:
+    """Classes of a cell that meet others, and the components they lie in."""
+
+    def __init__(self, rows, exact):
+        self.reps = np.array([r[0] for r in rows], np.int64)
+        self.label = np.array([r[1] for r in rows], np.int64)
+        self.sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, COMPARED)
+        self.flagged = np.zeros(len(rows), bool)
+        self.now = {}
+        if exact:
+            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+            self.size = np.array([len(x) for x in sets])
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+            order = np.argsort(every, kind="stable")
+            self.every, self.owner = every[order], owner[order]
+
+    def component(self, c):
+        while c in self.now:
+            c = self.now[c]
+        return c
+
+    def survivors(self, rep, component, sig):
+        """Classes of other components that are not pruned."""
+        need = least_matches_once()
+        other = np.flatnonzero((self.label != component) & (self.reps != rep))
         matches = np.zeros(len(other), np.int64)
         for b, k in enumerate(range(0, COMPARED, BATCH)):
             if not len(other):
                 break
-            matches = matches + (sig[other, k:k + BATCH] == sig[i, k:k + BATCH]).sum(axis=1)
+            matches = matches + (self.sig[other, k:k + BATCH] == sig[k:k + BATCH]).sum(axis=1)
             on = matches >= need[b]
             other, matches = other[on], matches[on]
-        found += [(int(m), i, int(j)) for j, m in zip(other, matches)]
-    if forest:
-        root = {c: c for c in comp.tolist()}
-
-        def top(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-        chosen = []
-        for m, i, j in sorted(found, reverse=True):
-            a, b = top(int(comp[i])), top(int(comp[j]))
-            if a != b:
-                root[a] = b
-                chosen.append((m, i, j))
-        found = chosen
-    return [(int(reps[i]), int(reps[j])) for _, i, j in found]
-
-
-def _cross(forest: bool):
-    """Over rows (band, lo, hi, side, rep, comp, sig) sorted by cell: a cell's rows are held, at most two blocks, and compared at its end."""
+        return other
+
+    def links(self, rep, component, sig, members):
+        """Links of a class that join components; they are one component from then on."""
+        component = self.component(component)
+        other = self.survivors(rep, component, sig)
+        if not len(other):
+            return []
+        # Common shingles with all classes of the block at once.
+        first, last = np.searchsorted(self.every, members), np.searchsorted(self.every, members, "right")
+        size = last - first
+        at = np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.reps))[other]
+        out = []
+        for j in other[100 * common >= PERCENT * (len(members) + self.size[other] - common)]:
+            if self.label[j] != component:
+                old, component = component, int(self.label[j])
+                self.now[old] = component
+                self.label[self.label == old] = component
+                out.append((int(min(rep, self.reps[j])), int(max(rep, self.reps[j]))))
+        return out
+
+
+def _meet(exact: bool):
+    """Over rows (grp, part, piece, side, rep, comp, sig[, members]) sorted by cell and side: a cell's side 0 is held, its side 1 passes by.
+
+    Inexact: the rows (grp, part, piece, rep) of both sides that have a survivor. Exact: links (x, y)."""
     def run(batches):
         import pyarrow as pa
-        held, key = [], None
+        key, waiting, block, out = None, [], None, []
 
         def close():
-            if key is None:
-                return []
-            reps, comp, side = (np.concatenate([h[k] for h in held]) for k in range(3))
-            sig = np.frombuffer(b"".join(x for h in held for x in h[3]), np.uint16).reshape(-1, COMPARED)
-            return _between(reps, comp, side, sig, forest)
+            if block is not None and not exact:
+                out.extend((*key, int(r)) for r in block.reps[block.flagged])
+
+        def batch_of():
+            names = ["x", "y"] if exact else ["grp", "part", "piece", "rep"]
+            made = pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(len(names))], names)
+            out.clear()
+            return made
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            band, lo, hi, side, rep, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            sig = batch.column(6).to_pylist()
-            edge = np.flatnonzero((band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            out = []
-            for a, b in zip([0, *edge], [*edge, len(band)]):
-                here = (int(band[a]), int(lo[a]), int(hi[a]))
-                if here != key:
-                    out += close()
-                    held, key = [], here
-                held.append((rep[a:b], comp[a:b], side[a:b], sig[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["x", "y"])
-        out = close()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["x", "y"])
+            cols = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for row in zip(*cols):
+                if row[:3] != key:
+                    close()
+                    key, waiting, block = row[:3], [], None
+                if row[3] == 0:
+                    waiting.append(row[4:])
+                    continue
+                if block is None:
+                    if not waiting:
+                        continue
+                    block, waiting = _Block(waiting, exact), []
+                sig = np.frombuffer(row[6], np.uint16)
+                if exact:
+                    out.extend(block.links(row[4], row[5], sig, np.frombuffer(row[7], np.uint64)))
+                else:
+                    found = block.survivors(row[4], row[5], sig)
+                    if len(found):
+                        block.flagged[found] = True
+                        out.append((*key, row[4]))
+            yield batch_of()
+        close()
+        yield batch_of()
     return run
 
 
-def _members(bands: DataFrame, sigs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members, the centre aside (it met them all), are in several components, dealt to pairs of blocks."""
-    marked = bands.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("comp"))
-    mixed = (marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-             .select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")))
-    rows = marked.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # Part p meets every other part and itself: cell (lo, hi) holds the rows of both.
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(
-        F.least("part", q).alias("lo"), F.greatest("part", q).alias("hi"),
-        F.when(q == F.col("part"), 2).when(q > F.col("part"), 0).otherwise(1).alias("side")))
-    return (rows.select("band", "rep", "comp", F.explode(meets).alias("cell")).select("band", "rep", "comp", "cell.lo", "cell.hi", "cell.side")
-            .join(sigs.select("rep", "sig"), "rep"))
+def _cells(shared: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(grp, part, piece, side, rep, comp) of the buckets that hold several components; `sizes`: rep, n.
+
+    Side 0 are the classes outside their bucket's largest component, in blocks (grp, part); side 1 is all that shares a bucket with
+    a class of the block, each once, in pieces."""
+    marked = shared.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("comp"))
+    held = marked.groupBy("band", "comp").agg(F.count("*").alias("k"))
+    mixed = (held.groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("band", "main"))
+    marked = stored(marked.join(mixed, "band"))
+    outside = marked.filter("comp <> main")
+    home = outside.groupBy("rep").agg(F.min("main").alias("grp"), F.first("comp").alias("comp")).join(sizes, "rep")
+    bytes_ = F.sum(F.col("n") * 8)
+    parts = home.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / MOST, bytes_ / MEETING)).alias("parts"))
+    home = stored(home.join(parts, "grp").select("grp", F.pmod(F.xxhash64("rep"), "parts").alias("part"), "rep", "comp"))
+    reached = outside.select("band", "rep").join(home.select("rep", "grp", "part"), "rep").select("band", "grp", "part").distinct()
+    met = stored(reached.join(marked.select("band", "rep", "comp"), "band").select("grp", "part", "rep", "comp").distinct().join(sizes, "rep"))
+    pieces = met.groupBy("grp", "part").agg(F.ceil(bytes_ / MET).alias("pieces"))
+    passing = met.join(pieces, ["grp", "part"]).select("grp", "part", F.pmod(F.xxhash64("rep"), "pieces").alias("piece"), F.lit(1).alias("side"), "rep", "comp")
+    holding = home.join(pieces, ["grp", "part"]).select("grp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
+                                                         F.lit(0).alias("side"), "rep", "comp")
+    rows = stored(holding.unionByName(passing))
+    discard(marked, home, met)
+    return rows
+
+
+def _settled(shared: DataFrame, comps: DataFrame, sigs: DataFrame, sizes: DataFrame, texts) -> DataFrame:
+    """Links (x, y) that join all components between which a bucket holds a link."""
+    cell = ["grp", "part", "piece"]
+
+    def dealt(rows):
+        return rows.repartition(*cell).sortWithinPartitions(*cell, "side", "rep")
+    rows = _cells(shared, comps, sizes)
+    near = dealt(rows.join(sigs.select("rep", "sig"), "rep").select(*cell, "side", "rep", "comp", "sig"))
+    flagged = stored(near.mapInArrow(_meet(False), "grp bigint, part bigint, piece bigint, rep bigint").distinct())
+    if flagged.isEmpty():
+        links = flagged.select(F.col("rep").alias("x"), F.col("rep").alias("y"))
+    else:
+        sets = texts(flagged.select("rep").distinct()).mapInArrow(_set_rows, "rep bigint, members binary")
+        full = rows.join(flagged, [*cell, "rep"], "left_semi").join(sigs.select("rep", "sig"), "rep").join(sets, "rep")
+        links = dealt(full.select(*cell, "side", "rep", "comp", "sig", "members")).mapInArrow(_meet(True), "x bigint, y bigint")
+    links = stored(links.distinct())
+    discard(rows, flagged)
+    return links
 
 
 def _mark(text: str):
@@ -292,18 +364,17 @@ def _linked(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFram
     The component is its smallest id, null where no member has one; a text without a set has no root."""
     spark = docs.sparkSession
     small_batches(spark)
-    free_shuffles(spark)
     rows = docs.select(F.col(ident).cast("long").alias("row_id"), F.col(text).alias("text"), _mark(text).alias("mark"))
     # The place is a row's own key: it is told once and stored, so that repeated and null ids stay apart.
     sketched = stored(rows.select(F.monotonically_increasing_id().alias("place"), "text", "row_id", "mark").mapInArrow(
         _sketch_rows, "place bigint, row_id bigint, mark string, n bigint, set1 bigint, set2 bigint, bands binary, sig binary"))
-    kinds = cut(sketched.groupBy("row_id", "mark", "n", "set1", "set2").agg(F.count("*").alias("copies"), F.min("place").alias("place")))
+    kinds = stored(sketched.groupBy("row_id", "mark", "n", "set1", "set2").agg(F.count("*").alias("copies"), F.min("place").alias("place")))
     filled = sketched.filter("n > 0")
     # Equal sets: one class, its representative the row of the smallest place.
-    reps = cut(filled.groupBy("set1", "set2", "n").agg(F.min("place").alias("rep"), F.min("row_id").alias("least")))
-    member = cut(kinds.filter("n > 0").join(reps.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select("row_id", "mark", "n", "copies", "place", "rep"))
+    reps = stored(filled.groupBy("set1", "set2", "n").agg(F.min("place").alias("rep"), F.min("row_id").alias("least")))
+    member = stored(kinds.filter("n > 0").join(reps.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select("row_id", "mark", "n", "copies", "place", "rep"))
     one = filled.withColumnRenamed("place", "rep").join(reps.select("rep"), "rep", "left_semi")
-    sigs = cut(one.select("rep", "sig", "row_id", "mark"))
+    sigs = stored(one.select("rep", "sig", "row_id", "mark"))
     bands = one.select("rep", "bands").mapInArrow(_explode_bands, "band bigint, rep bigint")
     several = member.filter("copies > 1").limit(1).count() > 0
 
@@ -313,18 +384,24 @@ def _linked(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFram
         return found.groupBy("rep").agg(F.first("text").alias("text")) if several else found
     draw = F.xxhash64("band", "rep")
     centres = bands.groupBy("band").agg(F.min_by("rep", draw).alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    shared = stored(bands.join(centres.select("band", "centre"), "band").select("band", "rep", "centre").distinct())
+    shared = stored(bands.join(centres, "band").select("band", "rep", "centre", "size").distinct())
+    # The texts that anything is compared with are fetched once.
+    held = stored(texts(shared.select("rep").distinct()))
+
+    def held_texts(wanted):
+        return held.join(wanted, "rep")
 
     def prune(pairs):
         met = (pairs.join(sigs.select(F.col("rep").alias("x"), F.col("sig").alias("sx")), "x").join(sigs.select(F.col("rep").alias("y"), F.col("sig").alias("sy")), "y")
                .select("x", "y", "sx", "sy"))
         return met.mapInArrow(_pruned, "x bigint, y bigint, matches bigint")
-    stars = cut(prune(shared.filter("rep <> centre").select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y")).distinct()))
+    arms = shared.filter("rep <> centre").select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y"), "size")
+    stars = stored(prune(arms.select("x", "y").distinct()))
+    best = F.max_by(F.struct("x", "y"), F.struct("matches", (-F.col("x")).alias("a"), (-F.col("y")).alias("b"))).alias("p")
     # Each class its strongest survivor, in both directions.
     ends = stars.select(F.col("x").alias("own"), "x", "y", "matches").union(stars.select(F.col("y").alias("own"), "x", "y", "matches"))
-    first = ends.groupBy("own").agg(F.max_by(F.struct("x", "y"), F.struct("matches", (-F.col("x")).alias("a"), (-F.col("y")).alias("b"))).alias("p")).select("p.x", "p.y").distinct()
-    first = cut(first)
-    comps = cut(components(verify(first, texts)))
+    first = stored(ends.groupBy("own").agg(best).select("p.x", "p.y").distinct())
+    comps = components(verify(first, held_texts))
 
     def apart(pairs):
         """Pairs whose ends are in different components, with these."""
@@ -332,30 +409,22 @@ def _linked(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFram
         found = pairs.join(left, "x", "left").join(right, "y", "left").withColumn("rx", F.coalesce("rx", "x")).withColumn("ry", F.coalesce("ry", "y"))
         return found.filter("rx <> ry").select("x", "y", "matches", F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"))
     tried = first
-    for last in (False, False, True):
+    for _ in range(2):
         # Between two components the strongest pair is verified first: most others need no test then.
-        rest = apart(stars.join(tried, ["x", "y"], "left_anti"))
-        if not last:
-            best = F.max_by(F.struct("x", "y"), F.struct("matches", (-F.col("x")).alias("a"), (-F.col("y")).alias("b")))
-            rest = rest.groupBy("a", "b").agg(best.alias("p")).select("p.x", "p.y")
-        rest = cut(rest.select("x", "y"))
+        rest = stored(apart(stars.join(tried, ["x", "y"], "left_anti")).groupBy("a", "b").agg(best).select("p.x", "p.y"))
         before = comps
-        comps = _more(comps, rest, texts)
+        comps = _more(comps, rest, held_texts)
         if comps is before:
             break
         tried = tried.union(rest)
-    tried = first.union(stars.select("x", "y"))
-    for forest in (True, False):
-        met = _members(shared.filter("rep <> centre").select("band", "rep"), sigs, comps)
-        met = met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep").select("band", "lo", "hi", "side", "rep", "comp", "sig")
-        found = cut(met.mapInArrow(_cross(forest), "x bigint, y bigint").distinct())
-        fresh = found.join(tried, ["x", "y"], "left_anti")
-        comps = _more(comps, fresh, texts)
-        tried = tried.union(found)
-        # A forest of tried pairs alone may hide untried survivors; only an empty one shows that no cell holds any.
-        if forest and not found.limit(1).count():
-            break
+    # A bucket of two has no other pair than its arm.
+    twos = stars.join(arms.filter("size = 2").select("x", "y").distinct(), ["x", "y"], "left_semi").join(tried, ["x", "y"], "left_anti")
+    comps = _more(comps, apart(twos).select("x", "y"), held_texts)
+    found = _settled(shared.filter("size > 2").select("band", "rep"), comps, sigs, reps.select("rep", "n"), held_texts)
+    if not found.isEmpty():
+        comps = joined(comps, found)
     known = member.filter("row_id is not null")
+    discard(shared, held, stars, first)
     repeated = known.groupBy("row_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     if repeated.limit(1).count():
         # Ids whose rows have different sets join the classes of these.
@@ -364,7 +433,7 @@ def _linked(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFram
     named = roots.groupBy("root").agg(F.min("least").alias("component"))
     linked = member.join(roots.select("rep", "root").join(named, "root"), "rep").select("row_id", "mark", "n", "copies", "place", "root", "component")
     bare = kinds.filter("n = 0").select("row_id", "mark", "n", "copies", "place", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("component"))
-    return cut(linked.union(bare)), sketched.filter("row_id is null").select("place", "mark", "n")
+    return stored(linked.union(bare)), sketched.filter("row_id is null").select("place", "mark", "n")
 
 
 def _nameless(linked: DataFrame) -> DataFrame:
@@ -389,7 +458,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
 
 def _more(comps: DataFrame, pairs: DataFrame, texts) -> DataFrame:
     """Components after the pairs were verified; the same ones where there is no pair."""
-    pairs = cut(pairs)
+    pairs = stored(pairs)
     if not pairs.limit(1).count():
         return comps
     return joined(comps, verify(pairs, texts))
@@ -404,7 +473,7 @@ def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     rest = linked.filter("row_id is null and n > 0").join(_nameless(linked), ["root", "mark"], "left_semi").select("row_id", "mark", "copies")
     # Rows without an id and a set are told by copies 0: each of them stays.
     bare = linked.filter("row_id is null and n = 0").select("row_id", "mark", F.lit(0).cast("long").alias("copies"))
-    kept = cut(ids.union(rest).union(bare).select(F.col("row_id").alias("__id"), F.col("mark").alias("__mark"), F.col("copies").alias("__copies")))
+    kept = stored(ids.union(rest).union(bare).select(F.col("row_id").alias("__id"), F.col("mark").alias("__mark"), F.col("copies").alias("__copies")))
     found = docs.join(kept, F.col(ident).cast("long").eqNullSafe(F.col("__id")) & (_mark(text) == F.col("__mark")))
     own = ["__id", "__mark", "__copies"]
     if not kept.filter("__copies > 1").limit(1).count():
