@@ -24,20 +24,41 @@ def _block(moment: Column, size: timedelta) -> Column:
     return F.floor(tu.micros(moment) / F.lit(int(size.total_seconds() * 1_000_000))).cast("long")
 
 
-def _scan(deltas: DataFrame, block: timedelta, start: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(rows with running sum s and running minimum m inside their block, occupancy before and after each block).
+def visit_deltas(visits: DataFrame) -> DataFrame:
+    """Occupancy changes of visits: one in at the start and, where the end is known, one out."""
+    ident = F.col("visit_id").cast("string")
 
-    From an occupancy x at a block's start, the occupancy inside it is s + max(x, -m). `start`: site_id,
-    occupancy before the first row (absent sites: 0).
+    def change(name, at, delta):
+        return F.struct(F.concat(ident, F.lit(name)).alias("event_id"), F.col(at).alias("event_time"), F.lit(delta).alias("delta"))
+    ends = F.array(change("-in", "checked_in", 1), change("-out", "checked_out", -1))
+    return (visits.select("site_id", F.explode(ends).alias("e")).select("site_id", "e.*").filter(F.col("event_time").isNotNull()))
+
+
+def steps(deltas: DataFrame, block: timedelta = BLOCK) -> DataFrame:
+    """Rows with their block, the running sum s inside it and its running minimum m.
+
+    From an occupancy x at a block's start, the occupancy inside it is s + max(x, -m).
     """
     order = (Window.partitionBy("site_id", "block").orderBy("event_time", "event_id")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # The explicit null filter keeps both uses of `steps` identical, so their row shuffle is done once.
-    steps = (deltas.withColumn("block", _block(F.col("event_time"), block))
-             .filter(F.col("site_id").isNotNull() & F.col("block").isNotNull())
-             .withColumn("s", F.sum("delta").over(order))
-             .withColumn("m", F.min("s").over(order)))
-    whole = steps.groupBy("site_id", "block").agg(F.sum("delta").alias("net"), F.min("s").alias("low"))
+    return (deltas.withColumn("block", _block(F.col("event_time"), block))
+            .filter(F.col("site_id").isNotNull() & F.col("block").isNotNull())
+            .withColumn("s", F.sum("delta").over(order))
+            .withColumn("m", F.min("s").over(order)))
+
+
+def summaries(stepped: DataFrame) -> DataFrame:
+    """Blocks as functions of the occupancy x before them: x -> net + max(x, -low)."""
+    return stepped.groupBy("site_id", "block").agg(F.sum("delta").alias("net"), F.min("s").alias("low"))
+
+
+def chained(whole: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(site_id, block, net, low, carry, after): occupancy before and after each block, by a scan over one-row summaries.
+
+    Such functions compose: net adds up, and the lowest running sum decides the clamp. `start`: site_id, occupancy before the
+    first row (absent sites: 0).
+    """
     if start is None:
         whole = whole.withColumn("x", F.lit(0).cast("long"))
     else:
@@ -45,17 +66,16 @@ def _scan(deltas: DataFrame, block: timedelta, start: DataFrame | None) -> tuple
         whole = whole.join(first, "site_id", "left").withColumn("x", F.coalesce("x", F.lit(0)))
     chain = Window.partitionBy("site_id").orderBy("block")
     upto = chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = (whole.withColumn("end", F.sum("net").over(upto))
-              .withColumn("lowest", F.min(F.col("end") - F.col("net") + F.col("low")).over(upto))
-              .withColumn("after", F.col("end") + F.greatest(F.col("x"), -F.col("lowest")))
-              .select("site_id", "block", F.coalesce(F.lag("after").over(chain), F.col("x")).alias("carry"), "after"))
-    return steps, blocks
+    return (whole.withColumn("end", F.sum("net").over(upto))
+            .withColumn("lowest", F.min(F.col("end") - F.col("net") + F.col("low")).over(upto))
+            .withColumn("after", F.col("end") + F.greatest(F.col("x"), -F.col("lowest")))
+            .select("site_id", "block", "net", "low", F.coalesce(F.lag("after").over(chain), F.col("x")).alias("carry"), "after"))
 
 
-def _filled(steps: DataFrame, blocks: DataFrame) -> DataFrame:
-    return (steps.join(blocks.drop("after"), ["site_id", "block"])
+def _filled(stepped: DataFrame, blocks: DataFrame, *more: str) -> DataFrame:
+    return (stepped.join(blocks.select("site_id", "block", "carry", *more), ["site_id", "block"])
             .select("site_id", "block", "event_time", "event_id",
-                    (F.col("s") + F.greatest(F.col("carry"), -F.col("m"))).alias("occupancy")))
+                    (F.col("s") + F.greatest(F.col("carry"), -F.col("m"))).alias("occupancy"), *more))
 
 
 def occupancy_timeline(deltas: DataFrame, block: timedelta = BLOCK, start: DataFrame | None = None) -> DataFrame:
@@ -63,7 +83,8 @@ def occupancy_timeline(deltas: DataFrame, block: timedelta = BLOCK, start: DataF
 
     Input: site_id, event_time, event_id, delta.
     """
-    return _filled(*_scan(deltas, block, start))
+    stepped = steps(deltas, block)
+    return _filled(stepped, chained(summaries(stepped), start))
 
 
 def mark_runs(marked: DataFrame) -> DataFrame:
@@ -104,15 +125,18 @@ def episodes(changes: DataFrame) -> DataFrame:
             .drop("next_at", "next_block_at", "mark", "block"))
 
 
-def _marked(timeline: DataFrame, capacity: DataFrame) -> DataFrame:
-    return (timeline.join(capacity, "site_id")
-            .withColumn("mark", rules.capacity_mark(F.col("occupancy"), F.col("capacity"))).drop("capacity"))
+def marked_runs(stepped: DataFrame, blocks: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Runs of the capacity rule's marks. Capacity meets the blocks, one row each, and reaches the rows with the carry."""
+    known = blocks.join(capacity.select("site_id", F.col("capacity").cast("long").alias("capacity")), "site_id")
+    rows = _filled(stepped, known, "capacity")
+    return mark_runs(rows.withColumn("mark", rules.capacity_mark(F.col("occupancy"), F.col("capacity"))).drop("capacity"))
 
 
 def capacity_transitions(deltas: DataFrame, capacity: DataFrame, block: timedelta = BLOCK) -> DataFrame:
     """Every opening (mark 1) and closing (mark 0) of the capacity rule. `capacity`: site_id, capacity."""
+    stepped = steps(deltas, block)
     # The row-level scan runs once; its compressed result is read twice below.
-    return transitions(cut(mark_runs(_marked(occupancy_timeline(deltas, block), capacity))))
+    return transitions(cut(marked_runs(stepped, chained(summaries(stepped)), capacity)))
 
 
 CAPACITY_STATE = "site_id int, occupancy bigint, is_open boolean"
@@ -123,11 +147,11 @@ def capacity_advance(stored: DataFrame, arrived: DataFrame, capacity: DataFrame,
     """(changes, new state) after the rows of one drain, which are newer than all earlier ones.
 
     `stored`: site_id, occupancy, is_open. The same segmented scan as the replay, continued from the stored
-    state, so a busy site is still spread over its blocks.
+    state, so a busy site is still spread over its blocks. Rows of any age go through streaming.capacity.
     """
-    steps, blocks = _scan(arrived, block, stored)
-    blocks = cut(blocks)
-    changes = transitions(cut(mark_runs(_marked(_filled(steps, blocks), capacity))), stored)
+    stepped = steps(arrived, block)
+    blocks = cut(chained(summaries(stepped), stored))
+    changes = transitions(cut(marked_runs(stepped, blocks, capacity)), stored)
     occupancy = blocks.groupBy("site_id").agg(F.max_by("after", "block").alias("now_occupancy"))
     state = changes.groupBy("site_id").agg((F.max_by("mark", F.struct("event_time", "event_id")) == 1).alias("now_open"))
     new = (stored.join(occupancy, "site_id", "full").join(state, "site_id", "left")

@@ -78,9 +78,8 @@ select anomaly_id, site_id, type, severity, message, coalesce(resolved and resol
   dismissed, detected_at, case when resolved and resolved_at <= {NOW} then resolved_at end as resolved_at
 from anomalies_all where detected_at <= {NOW}""",
     "deltas": """
-select event_id, cast(user_id % 25 as integer) as site_id, ts as event_time,
-  case event_type when 'view' then 1 else -1 end as delta
-from events where event_type in ('view', 'click')""",
+select site_id, cast(visit_id as varchar) || '-in' as event_id, checked_in as event_time, 1 as delta from visits_all
+union all select site_id, cast(visit_id as varchar) || '-out', checked_out, -1 from visits_all where checked_out is not null""",
 }
 
 

@@ -7,8 +7,6 @@ from sitemetrics.plans.fixture_sql import DAY, IST, NOW
 from sitemetrics.plans.registry import query
 from sitemetrics.sources.fixtures import AS_OF
 
-REPLAY_CAPACITY = 10
-
 # Revenue in cents keeps the SQL rounding in integers.
 RULES = {
     "zero": f"""
@@ -82,9 +80,10 @@ select *, sum(delta) over (partition by site_id order by event_time, event_id ro
     "lowest": """
 select *, min(s) over (partition by site_id order by event_time, event_id rows unbounded preceding) as m from running""",
     "timeline": "select site_id, event_time, event_id, cast(s - least(0, m) as bigint) as occupancy from lowest",
-    "marks": f"""
-select *, case when occupancy * 100 > {REPLAY_CAPACITY} * 90 then 1 when occupancy * 100 < {REPLAY_CAPACITY} * 85 then 0 end as mark
-from timeline""",
+    "marks": """
+select t.*, case when s.capacity > 0 and occupancy * 100 > s.capacity * 90 then 1
+  when s.capacity > 0 and occupancy * 100 < s.capacity * 85 then 0 end as mark
+from timeline t left join sites s on s.site_id = t.site_id""",
     "states": """
 select *, coalesce(last_value(mark ignore nulls) over (partition by site_id order by event_time, event_id
   rows between unbounded preceding and current row), 0) as state from marks""",
@@ -97,14 +96,20 @@ select site_id, event_time as opened_at, occupancy as opened_occupancy, state,
 }
 
 
-def replay_capacity(fx):
-    return fx.all.site_bounded(fx.sites.select("site_id", F.lit(REPLAY_CAPACITY).alias("capacity")))
-
-
 query("occupancy_timeline", "select site_id, event_time, event_id, occupancy from timeline", TIMELINE)(
     lambda fx: episodes.occupancy_timeline(fx.deltas).drop("block"))
 query("capacity_episodes", "select site_id, opened_at, opened_occupancy, closed_at from paired where state = 1", TIMELINE)(
-    lambda fx: episodes.capacity_episodes(fx.deltas, replay_capacity(fx)))
+    lambda fx: episodes.capacity_episodes(fx.deltas, fx.capacity))
+
+CHANGES = """
+select site_id, event_time, event_id, case state when 1 then 'open' else 'resolve' end as action, occupancy from changes"""
+
+
+def action_text(changes):
+    return changes.select("site_id", "event_time", "event_id", F.when(F.col("mark") == 1, "open").otherwise("resolve").alias("action"), "occupancy")
+
+
+query("capacity_transitions", CHANGES, TIMELINE)(lambda fx: action_text(episodes.capacity_transitions(fx.deltas, fx.capacity)))
 
 # ----------------------------------------------------------------------------------- other replays
 

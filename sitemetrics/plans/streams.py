@@ -1,34 +1,27 @@
-"""Registered queries: the streaming jobs, drained over the event table.
+"""Registered queries: the streaming jobs over the event table.
 
-Window results appear once the watermark (newest event time minus the delay) has passed the window's end, so
-the SQL keeps windows with end <= newest - 2 hours.
+The table arrives in four time slices, the third of them last, so each drain meets rows older than those before. Results cover all events.
 """
 
 from pyspark.sql import functions as F
 
-from sitemetrics.operators import episodes
-from sitemetrics.plans.history import DAILY, HISTORY, REPLAY_CAPACITY, TIMELINE, day_text, replay_capacity
 from sitemetrics.plans.fixture_sql import IST
+from sitemetrics.plans.history import CHANGES, DAILY, HISTORY, TIMELINE, action_text, day_text
 from sitemetrics.plans.registry import query
-from sitemetrics.streaming import jobs, runner
+from sitemetrics.sources.store import Versions
+from sitemetrics.streaming import capacity, jobs, runner, totals
 
-QUARTER = "time_bucket(INTERVAL '15 minutes', {0}) + INTERVAL '15 minutes'"
 MOVES = {
     "moves": """
 select site_id, member_id, cast(visit_id as varchar) || '-in' as event_id, 'in' as kind, checked_in as event_time, 1 as delta
 from visits_all
 union all select site_id, member_id, cast(visit_id as varchar) || '-out', 'out', checked_out, -1
 from visits_all where checked_out is not null""",
-    "closed_moves": f"""
-select * from moves where {QUARTER.format('event_time')} <= (select max(event_time) from moves) - INTERVAL '2 hours'""",
-    "closed_payments": f"""
-select * from payments_all
-where {QUARTER.format('paid_at')} <= (select max(paid_at) from payments_all) - INTERVAL '2 hours'""",
     "stream_occ": """
 select s.site_id, cast(coalesce(sum(m.delta), 0) as bigint) as current_occupancy
-from sites s left join closed_moves m on m.site_id = s.site_id group by s.site_id""",
+from sites s left join moves m on m.site_id = s.site_id group by s.site_id""",
     "stream_days": f"""
-select site_id, cast(paid_at + {IST} as date) as day, sum(amount) as revenue from closed_payments group by 1, 2""",
+select site_id, cast(paid_at + {IST} as date) as day, sum(amount) as revenue from payments_all group by 1, 2""",
 }
 
 
@@ -37,37 +30,50 @@ def drain(fx, name, stream, partition_by=None):
     return runner.drain(stream, sink, checkpoint, partition_by)
 
 
-def moves(fx):
-    return drain(fx, "occupancy", jobs.occupancy_partials(fx.event_stream()))
+def folded(fx, name, part, make, order=(0, 1, 3, 2), advance_after=2):
+    """The fold `make(log, versions folder)` after all slices were drained one by one; it advances after `advance_after` of them."""
+    sink, checkpoint = runner.fresh_run(fx.spark, name)
+    root = sink.rsplit("/", 1)[0]
+    stream, fold = None, None
+    for i, _ in enumerate(fx.deliveries(f"{root}/inbox", order)):
+        if stream is None:
+            stream = part(fx.event_stream(f"{root}/inbox"))
+            fold = make(totals.Log(fx.spark, sink, stream.schema), f"{root}/versions")
+        runner.drain(stream, sink, checkpoint)
+        if i + 1 == advance_after:
+            fold.advance()
+    return fold
 
 
-def takings(fx):
-    return drain(fx, "revenue", jobs.revenue_partials(fx.event_stream()))
+def current_totals(fx):
+    """Net moves and revenue per site and quarter: a snapshot of two slices and the two that came after it."""
+    return folded(fx, "totals", totals.ledger, lambda log, root: totals.Fold(
+        log, Versions(fx.spark, root, totals.PARTIALS), totals.quarters, totals.summed)).read()
 
 
 def wall_clock(df, *cols):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
-query("stream_occupancy", "select * from stream_occ", MOVES)(lambda fx: jobs.running_occupancy(moves(fx), fx.sites))
+query("stream_occupancy", "select * from stream_occ", MOVES)(lambda fx: totals.occupancy(current_totals(fx), fx.sites))
 
 query("stream_daily_revenue", """
 select site_id, cast(day as varchar) as day, cast(revenue as double) as revenue from stream_days""", MOVES)(
-    lambda fx: day_text(jobs.revenue_by_day(takings(fx))).withColumn("revenue", F.col("revenue").cast("double")))
+    lambda fx: day_text(totals.revenue_by_day(current_totals(fx))).withColumn("revenue", F.col("revenue").cast("double")))
 
 
 @query("stream_fleet_summary", """
 select cast(sum(o.current_occupancy) as bigint) as total_occupancy, cast(coalesce(sum(d.revenue), 0) as double) as total_revenue
 from stream_occ o left join stream_days d on d.site_id = o.site_id and d.day = (select max(day) from stream_days)""", MOVES)
 def stream_fleet_summary(fx):
-    """Fleet totals on the newest local day with closed windows."""
-    revenue = takings(fx)
-    newest = jobs.revenue_by_day(revenue).agg(F.max("day")).first()[0]
-    return jobs.fleet_totals(jobs.fleet_state(moves(fx), revenue, fx.sites, newest))
+    """Fleet totals on the newest local day."""
+    parts = current_totals(fx)
+    newest = totals.revenue_by_day(parts).agg(F.max("day")).first()[0]
+    return totals.fleet_totals(totals.fleet_state(parts, fx.sites, newest))
 
 
 query("stream_revenue_drop", HISTORY, {**MOVES, **DAILY, "days": "select * from stream_days"})(
-    lambda fx: day_text(jobs.revenue_drops(takings(fx), fx.sites)))
+    lambda fx: day_text(totals.revenue_drops(current_totals(fx), fx.sites)))
 
 
 @query("stream_feed", """
@@ -79,8 +85,10 @@ from (select *, row_number() over (partition by site_id order by event_time desc
     select site_id, cast(payment_id as varchar), 'payment', member_id, paid_at, amount, plan_type from payments_all) e) q
 where rn <= 20""", MOVES)
 def stream_feed(fx):
-    arrived = drain(fx, "feed", jobs.feed_stream(jobs.deduplicated(fx.event_stream())))
-    return wall_clock(jobs.fold_feed(None, arrived), "event_time").withColumn("amount", F.col("amount").cast("double"))
+    """The stored newest 20 of each site, moved on after three slices; one slice is late and one comes twice."""
+    top = folded(fx, "feed", jobs.feed_stream, lambda log, root: totals.Fold(
+        log, Versions(fx.spark, root, log.schema), lambda rows: rows, totals.top_of_each_site()), (0, 1, 3, 2, 1), 3).read()
+    return wall_clock(top, "event_time").withColumn("amount", F.col("amount").cast("double"))
 
 
 @query("stream_zero_visits", f"""
@@ -90,44 +98,25 @@ where opens_min < date_diff('minute', date_trunc('day', window_end + {IST}), win
   and closes_min >= date_diff('minute', date_trunc('day', window_end + {IST}), window_end + {IST})
   and not exists (select 1 from visits_all v where v.site_id = q.site_id
     and v.checked_in >= q.window_end - INTERVAL '2 hours' and v.checked_in < q.window_end)""", {
-    "spread": """
-select distinct time_bucket(INTERVAL '30 minutes', checked_in) + k * INTERVAL '30 minutes' as window_end
-from visits_all cross join range(1, 5) r(k)""",
-    "emitted": """
-select window_end from spread where window_end <= (select max(checked_in) from visits_all) - INTERVAL '2 hours'""",
-    "windows": """
-select unnest(generate_series(min(window_end), max(window_end), INTERVAL '30 minutes')) as window_end from emitted""",
+    "panes": "select time_bucket(INTERVAL '30 minutes', checked_in) + INTERVAL '30 minutes' as pane_end from visits_all",
+    "windows": "select unnest(generate_series(min(pane_end), max(pane_end), INTERVAL '30 minutes')) as window_end from panes",
 })
 def stream_zero_visits(fx):
-    return jobs.silent_windows(drain(fx, "zero", jobs.visit_windows(fx.event_stream())), fx.sites)
-
-
-# The state machine in the stream against the window form in SQL, on the rows the watermark has released.
-query("stream_capacity_events", """
-select site_id, event_time, event_id, case state when 1 then 'open' else 'resolve' end as action, occupancy from changes
-where epoch_ms(event_time) < (select epoch_ms(max(event_time)) - 7200000 from deltas)""", TIMELINE)(
-    lambda fx: wall_clock(drain(fx, "capacity", jobs.capacity_events(
-        fx.delta_stream(), fx.all.site_bounded(fx.sites.select("site_id", F.lit(REPLAY_CAPACITY).alias("capacity"))))),
-        "event_time"))
-
-@query("stream_capacity_fold", """
-select site_id, event_time, event_id, case state when 1 then 'open' else 'resolve' end as action, occupancy from changes
-""", TIMELINE)
-def stream_capacity_fold(fx):
-    """The same changes from the appended rows, folded in two steps with the state stored in between."""
-    rows = wall_clock(drain(fx, "deltas", fx.delta_stream()), "event_time")
-    half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    empty = fx.spark.createDataFrame([], episodes.CAPACITY_STATE)
-    first, state = episodes.capacity_advance(empty, rows.filter(F.col("event_time") < half), replay_capacity(fx))
-    second, _ = episodes.capacity_advance(state, rows.filter(F.col("event_time") >= half), replay_capacity(fx))
-    return first.unionByName(second).select("site_id", "event_time", "event_id", "occupancy", F.when(
-        F.col("mark") == 1, "open").otherwise("resolve").alias("action"))
-
-
-query("capacity_transitions", """
-select site_id, event_time, event_id, case state when 1 then 'open' else 'resolve' end as action, occupancy from changes
-""", TIMELINE)(lambda fx: episodes.capacity_transitions(fx.deltas, replay_capacity(fx)).select(
-    "site_id", "event_time", "event_id", F.when(F.col("mark") == 1, "open").otherwise("resolve").alias("action"), "occupancy"))
+    fold = folded(fx, "zero", totals.ledger, lambda log, root: totals.Fold(
+        log, Versions(fx.spark, root, totals.PANES), totals.panes, totals.summed_panes))
+    return totals.silent_windows(fold.read(), fx.sites)
+
+
+def capacity_changes(fx, name, order, advance_after):
+    fold = folded(fx, name, capacity.moves, lambda log, root: capacity.CapacityFold(
+        log, Versions(fx.spark, root, capacity.STATE), fx.capacity), order, advance_after)
+    fold.advance()
+    return action_text(fold.transitions())
+
+
+query("stream_capacity_events", CHANGES, TIMELINE)(lambda fx: capacity_changes(fx, "capacity", (0, 1, 2, 3), 0))
+# The second quarter of the rows comes last, when the state of all others is stored.
+query("stream_capacity_fold", CHANGES, TIMELINE)(lambda fx: capacity_changes(fx, "late", (0, 2, 3, 1), 3))
 
 _ERRORS = {"alerts": """
 select event_id, site_id, type, ts, event_id % 20 <> 0 as resolved, ts + (event_id % 60 + 5) * INTERVAL '1 minute' as resolved_at

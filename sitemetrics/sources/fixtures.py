@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sitemetrics.functions import metrics
 from sitemetrics.functions import timeutil as tu
+from sitemetrics.operators import episodes
 from sitemetrics.sources.tables import Tables
 from sitemetrics.streaming import runner
 
@@ -117,10 +118,12 @@ class Fixture:
 
     @cached_property
     def deltas(self) -> DataFrame:
-        """Occupancy changes for replay: view = one in, click = one out."""
-        return (self.raw("events").filter(F.col("event_type").isin("view", "click"))
-                .select("event_id", (F.col("user_id") % 25).cast("int").alias("site_id"), F.col("ts").alias("event_time"),
-                        F.when(F.col("event_type") == "view", 1).otherwise(-1).alias("delta")))
+        """Occupancy changes of all visits."""
+        return episodes.visit_deltas(self.visits)
+
+    @cached_property
+    def capacity(self) -> DataFrame:
+        return self.sites.select("site_id", "capacity")
 
     @cached_property
     def live_members(self) -> DataFrame:
@@ -183,13 +186,15 @@ class Fixture:
                            F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
                 .select("site_id", "e.*"))
 
-    def delta_stream(self, folder: str | None = None, max_files: int | None = None) -> DataFrame:
-        """The replay deltas as a stream."""
-        raw = runner.event_source(self.spark, folder or f"{self.folder}/events.parquet*", RAW["events"], max_files=max_files)
-        return (raw.filter(F.col("event_type").isin("view", "click"))
-                .select("event_id", (F.col("user_id") % 25).cast("int").alias("site_id"),
-                        F.col("ts").cast("timestamp").alias("event_time"),
-                        F.when(F.col("event_type") == "view", 1).otherwise(-1).alias("delta")))
+    def deliveries(self, inbox: str, order: tuple[int, ...] = (0, 1, 3, 2), slices: int = 4):
+        """Append the event table to `inbox` in time slices, in the given order; yields after each one."""
+        events = self.raw("events")
+        lo, hi = events.agg(F.min(tu.micros(F.col("ts"))), F.max(tu.micros(F.col("ts")))).first()
+        width = (hi - lo) // slices + 1 if lo is not None else 1
+        place = F.coalesce(F.floor((tu.micros(F.col("ts")) - F.lit(lo or 0)) / F.lit(width)), F.lit(0))
+        for k in order:
+            events.filter(place == k).write.mode("append").parquet(inbox)
+            yield k
 
 
 def _plan(n):

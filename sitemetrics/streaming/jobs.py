@@ -6,16 +6,12 @@ event_time TIMESTAMP, delta, amount, plan_type, anomaly fields.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sitemetrics.functions import rules
 from sitemetrics.functions import timeutil as tu
 from sitemetrics.functions.timeutil import DEFAULT_TZ
-from sitemetrics.operators import anomalies, episodes, feed
+from sitemetrics.operators import anomalies
 from sitemetrics.sources.tables import Tables
 
 DELAY = "2 hours"
@@ -26,51 +22,6 @@ def deduplicated(events: DataFrame, delay: str = DELAY) -> DataFrame:
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-# ------------------------------------------------------------------------------ occupancy, revenue
-
-def occupancy_partials(events: DataFrame, delay: str = DELAY, width: str = "15 minutes") -> DataFrame:
-    """Net change per site and closed window; partial sums are combined before the shuffle."""
-    return (events.filter(F.col("kind").isin("in", "out")).withWatermark("event_time", delay)
-            .groupBy("site_id", F.window("event_time", width).alias("w")).agg(F.sum("delta").alias("net"))
-            .select("site_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "net"))
-
-
-def running_occupancy(partials: DataFrame, sites: DataFrame) -> DataFrame:
-    sums = partials.groupBy("site_id").agg(F.sum("net").alias("current_occupancy"))
-    return (sites.select("site_id").join(sums, "site_id", "left")
-            .select("site_id", F.coalesce("current_occupancy", F.lit(0)).alias("current_occupancy")))
-
-
-def revenue_partials(events: DataFrame, delay: str = DELAY, width: str = "15 minutes") -> DataFrame:
-    """Revenue per site and closed quarter of an hour. Zone offsets are multiples of 15 minutes, so local days
-    of any zone, with or without daylight saving, are sums of these."""
-    return (events.filter(F.col("kind") == "payment").withWatermark("event_time", delay)
-            .groupBy("site_id", F.window("event_time", width).alias("w")).agg(F.sum("amount").alias("revenue"))
-            .select("site_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "revenue"))
-
-
-def revenue_by_day(partials: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
-    day = tu.local_date(F.col("window_start").cast("timestamp_ntz"), tz)
-    return partials.groupBy("site_id", day.alias("day")).agg(F.sum("revenue").alias("revenue"))
-
-
-def fleet_state(moves: DataFrame, revenue: DataFrame, sites: DataFrame, day, tz: str = DEFAULT_TZ) -> DataFrame:
-    """Site list kept in step with the stream: occupancy and revenue of local date `day`."""
-    today = revenue_by_day(revenue, tz).filter(F.col("day") == F.lit(day)).select("site_id", "revenue")
-    return (running_occupancy(moves, sites).join(today, "site_id", "left")
-            .select("site_id", "current_occupancy",
-                    F.coalesce("revenue", F.lit(0).cast("decimal(22,2)")).alias("today_revenue")))
-
-
-def fleet_totals(state: DataFrame) -> DataFrame:
-    return state.agg(F.sum("current_occupancy").alias("total_occupancy"),
-                     F.sum("today_revenue").cast("double").alias("total_revenue"))
-
-
-def revenue_drops(partials: DataFrame, sites: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
-    return episodes.revenue_drop_history(episodes.fill_days(revenue_by_day(partials, tz), sites))
-
-
 # -------------------------------------------------------------------------------------------- feed
 
 FEED_KINDS = {"in": "checkin", "out": "checkout", "payment": "payment"}
@@ -83,98 +34,6 @@ def feed_stream(events: DataFrame) -> DataFrame:
                     "event_time", "amount", "plan_type"))
 
 
-def fold_feed(stored: DataFrame | None, arrived: DataFrame, n: int = feed.FEED_SIZE) -> DataFrame:
-    """New top n of each site from the stored top n and the rows of one drain; repeats are harmless."""
-    top = feed.newest(arrived, n)
-    if stored is None:
-        return top
-    # A drain folded twice repeats ids, but only among these few rows.
-    return feed.newest(top.unionByName(stored).dropDuplicates(["site_id", "id"]), n)
-
-
-# ------------------------------------------------------------------------------------- zero visits
-
-def visit_windows(events: DataFrame, delay: str = DELAY, look_back: str = "2 hours", step: str = "30 minutes") -> DataFrame:
-    """Visit counts per site and closed sliding window."""
-    return (events.filter(F.col("kind") == "in").withWatermark("event_time", delay)
-            .groupBy("site_id", F.window("event_time", look_back, step).alias("w")).agg(F.count(F.lit(1)).alias("visits"))
-            .select("site_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "visits"))
-
-
-def silent_windows(counts: DataFrame, sites: DataFrame, tz: str = DEFAULT_TZ, step: str = "30 minutes") -> DataFrame:
-    """Closed windows in which an active site, open at their end, had no visit.
-
-    A silent site emits no group, so absence comes from the spine of windows up to the newest emitted one.
-    """
-    span = counts.agg(F.min("window_end").alias("lo"), F.max("window_end").alias("hi")).first()
-    if span.lo is None:
-        return counts.select("site_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"))
-    lo, hi = tu.ts(span.lo), tu.ts(span.hi)
-    spine = (sites.filter(F.col("status") == "active")
-             .select("site_id", "opens_min", "closes_min",
-                     F.explode(F.sequence(lo, hi, F.expr(f"interval {step}"))).alias("window_end")))
-    minute = tu.minute_of_day(tu.to_local(F.col("window_end"), tz))
-    seen = counts.select("site_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"))
-    return (spine.filter((F.col("opens_min") < minute) & (F.col("closes_min") >= minute))
-            .join(seen, ["site_id", "window_end"], "left_anti").select("site_id", "window_end"))
-
-
-# --------------------------------------------------------------------------- capacity state machine
-
-CAPACITY_EVENTS = "site_id int, event_time_us bigint, event_id bigint, action string, occupancy bigint"
-CAPACITY_STATE = "occupancy bigint, is_open boolean, capacity bigint, at array<bigint>, ids array<bigint>, deltas array<bigint>"
-
-
-def capacity_events(deltas: DataFrame, capacity: DataFrame, delay: str = DELAY) -> DataFrame:
-    """OPEN / RESOLVE events of the capacity rule, site by site in event-time order.
-
-    `deltas`: site_id, event_time TIMESTAMP, event_id bigint, delta; `capacity`: site_id, capacity (static).
-    Rows wait in the site's state until the watermark passes them, so the result does not depend on how
-    files were cut into micro-batches. One call sees at most one micro-batch of a site, which the source
-    bounds. Backlogs and very busy sites go through episodes.capacity_advance, which splits a site by time.
-    """
-    rows = (deltas.join(capacity.select("site_id", "capacity"), "site_id")
-            .withWatermark("event_time", delay)
-            .select("site_id", "event_time", F.unix_micros("event_time").alias("at"), "event_id",
-                    F.col("delta").cast("long").alias("delta"), F.col("capacity").cast("long").alias("capacity")))
-    return (rows.groupBy("site_id")
-            .applyInPandasWithState(_capacity_step, CAPACITY_EVENTS, CAPACITY_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout)
-            .select("site_id", F.timestamp_micros("event_time_us").alias("event_time"), "event_id", "action", "occupancy"))
-
-
-def _capacity_step(key, frames, state: GroupState):
-    occupancy, is_open, capacity, at, ids, deltas = state.get if state.exists else (0, False, 0, [], [], [])
-    held = [pd.DataFrame({"at": list(at), "event_id": list(ids), "delta": list(deltas)}, dtype="int64")]
-    if not state.hasTimedOut:
-        for frame in frames:
-            held.append(frame[["at", "event_id", "delta"]])
-            capacity = int(frame["capacity"].iloc[-1])
-    rows = pd.concat(held, ignore_index=True).sort_values(["at", "event_id"], kind="stable")
-    watermark = state.getCurrentWatermarkMs()
-    passed = rows["at"] // 1000 < watermark
-    ready, waiting = rows[passed], rows[~passed]
-    if len(ready):
-        total = ready["delta"].cumsum()
-        ready = ready.assign(occupancy=total + np.maximum(occupancy, -total.cummin()))
-        load = ready["occupancy"] * 100
-        # 1 opens, 0 closes, NaN keeps: the state is the last mark.
-        marks = pd.Series(np.nan, ready.index)
-        if capacity > 0:
-            marks = marks.mask(load > capacity * rules.BREACH_ABOVE, 1.0).mask(load < capacity * rules.RECOVER_BELOW, 0.0)
-        now = marks.ffill().fillna(float(is_open))
-        changed = ready[now != now.shift(fill_value=float(is_open))]
-        occupancy, is_open = int(ready["occupancy"].iloc[-1]), bool(now.iloc[-1])
-        if len(changed):
-            yield pd.DataFrame({"site_id": key[0], "event_time_us": changed["at"], "event_id": changed["event_id"],
-                                "action": np.where(now[changed.index] == 1.0, "open", "resolve"),
-                                "occupancy": changed["occupancy"]})
-    state.update((occupancy, is_open, capacity, waiting["at"].tolist(), waiting["event_id"].tolist(),
-                  waiting["delta"].tolist()))
-    if len(waiting):
-        state.setTimeoutTimestamp(max(int(waiting["at"].iloc[0]) // 1000, watermark + 1))
-
-
 # ----------------------------------------------------------------------------------- anomaly lists
 
 def anomaly_stream(events: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitemetrics import schemas
 from sitemetrics.functions import timeutil as tu
 from sitemetrics.operators import detect, feed, live
-from sitemetrics.sources import store, tables
+from sitemetrics.sources import tables
 from tests.conftest import NOW
 
 
@@ -57,15 +57,6 @@ def test_rewind(make):
     assert late.anomalies.first().resolved and late.visits.count() == 2
 
 
-def test_versions_do_not_touch_each_other(spark, tmp_path):
-    folder = str(tmp_path / "v")
-    first = spark.range(3)
-    store.write_version(first, folder, 1)
-    one = store.read_version(spark, folder, 1, first.schema)
-    store.write_version(one.filter("id > 0"), folder, 2)
-    assert one.count() == 3 and store.read_version(spark, folder, 2, first.schema).count() == 2
-
-
 def test_sites_beyond_the_bound_are_not_broadcast(small, monkeypatch):
     expected = live.open_visits_enriched(small).orderBy("visit_id").collect()
     monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", 0)
