@@ -13,25 +13,30 @@ from sitemetrics.session import cut, shared_dir  # noqa: F401  (cut: for the ope
 BLOCK_BYTES = 2 << 20
 
 
+#: Shuffle files go when the job that wrote them ends, not when the driver collects its garbage; Arrow batches hold few rows, as texts may be long.
+WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Shuffle files of the jobs inside go when their job ends, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings of the jobs inside; the caller's come back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared folder: smaller than a checkpoint for many narrow rows."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    with shuffles_freed(df.sparkSession):
+    with settings(df.sparkSession, WHILE_STORED):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,11 +65,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the job that wrote them ends, not when the driver collects its garbage: many short rounds keep no disk."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-
-
 def text_bytes(column):
     """(bytes, offsets) of an Arrow string column; nulls are empty. No copy where the column has no nulls."""
     import pyarrow as pa

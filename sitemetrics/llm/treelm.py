@@ -7,9 +7,10 @@ texts. Counts come from all training texts; a text's score is the log-probabilit
 are lower-cased (A-Z) and stand between end marks (byte 0xFF, which UTF-8 lacks).
 
 As jobs: documents are dealt into blocks of about BLOCK bytes; each block gives its distinct grams (context and byte, at most 8 bytes
-in one integer) and words with their training counts. Counts are summed by gram; subtrees of two context bytes are independent and computed
-where their grams lie, in chunks; the 257 contexts above them are of fixed size. Every distinct gram gets its log-probability once, which
-goes back to the blocks that hold the gram; a block then scores its texts. Nothing is broadcast but the 257 upper contexts.
+in one integer) and words with their training counts, in shards by the two most recent context bytes, as packed arrays. A shard sums its arrays one
+after the other; its subtrees are independent of other shards, and the 257 contexts above them are of fixed size. Every distinct gram gets its
+log-probability once; the shard answers each block's array, and the block scores its texts. Nothing is broadcast but the 257 upper contexts; a shard
+holds its distinct grams, a block its own.
 
 Words are known by a 63-bit digest. Defined cases: null and empty texts are an end mark alone, n_tokens 1; a null id is learned from; without
 training texts every bit has probability 1/2 and the base score is 0; ties do not occur; equal rows are scored alike; an empty
@@ -22,10 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemetrics.llm.common import blocks, crc_of_id, discard, stored, text_bytes, words_of
+from sitemetrics.llm.common import blocks, crc_of_id, discard, mix64, stored, text_bytes, words_of
 
-#: Context bytes; text bytes of a block; bytes turned into arrays at a time; rows of a chunk of subtrees.
-DEPTH, BLOCK, STEP, CHUNK = 6, 64 << 20, 1 << 20, 200_000
+#: Context bytes; text bytes of a block; bytes turned into arrays at a time; grams of a chunk of subtrees; shards at most.
+DEPTH, BLOCK, STEP, CHUNK, SHARDS = 6, 16 << 20, 1 << 19, 100_000, 4096
+GRAMS, WORDS = 0, 1
 END = -1   # key of the end as a token
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -65,20 +67,52 @@ def merged(keys, counts):
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _requests(depth):
-    """(block, key, training count) of the distinct grams and words of each block."""
+def pack(values) -> bytes:
+    """Numbers as compressed planes of their bytes."""
+    import pyarrow as pa
+    width = values.dtype.itemsize
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, dtype):
+    import pyarrow as pa
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+def pack_keys(keys) -> bytes:
+    """Sorted keys as packed differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes, n: int):
+    return np.cumsum(unpack(data, n, np.uint64), dtype=np.uint64)
+
+
+def shard_of(keys, kind: int, depth: int, shards: int):
+    """Grams that share their two most recent context bytes share a shard."""
+    lead = keys >> np.uint64(8 * (depth - 1)) if kind == GRAMS else keys
+    return (mix64(lead + np.uint64(kind)) % np.uint64(shards)).astype(np.int64)
+
+
+ASKED = "block bigint, shard bigint, kind int, n bigint, keys binary, counts binary"
+
+
+def _requests(depth, shards):
+    """The distinct grams and words of each block with their training counts, one packed row a shard and kind."""
     def run(batches):
         import pyarrow as pa
-        held = {}   # block -> pending (keys, counts)
+        held = {}   # (block, kind) -> pending (keys, counts)
 
-        def squeeze(block):
-            keys, counts = zip(*held[block])
-            held[block] = [merged(np.concatenate(keys), np.concatenate(counts))]
+        def squeeze(of):
+            keys, counts = zip(*held[of])
+            held[of] = [merged(np.concatenate(keys), np.concatenate(counts))]
 
         for batch in batches:
             block = batch.column(0).to_numpy(zero_copy_only=False)
             learn = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for b in np.unique(block):
+            for b in np.unique(block).tolist():
                 for teach in (True, False):
                     rows = np.flatnonzero((block == b) & (learn == teach))
                     if not len(rows):
@@ -87,21 +121,54 @@ def _requests(depth):
                     for i, j in blocks(offsets, STEP):
                         part, at = raw[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
                         ends = np.full(j - i, END, np.int64).view(np.uint64)
-                        for keys in (grams(part, at, depth)[0], np.concatenate([tokens(part, at)[0], ends])):
+                        for kind, keys in ((GRAMS, grams(part, at, depth)[0]), (WORDS, np.concatenate([tokens(part, at)[0], ends]))):
                             found, times = np.unique(keys, return_counts=True)
-                            held.setdefault(b, []).append((found, times.astype(np.int64) if teach else np.zeros(len(found), np.int64)))
-                        if sum(len(k) for k, _ in held[b][1:]) > max(1 << 20, len(held[b][0][0])):
-                            squeeze(b)
-        for b in list(held):
-            squeeze(b)
-            keys, counts = held.pop(b)[0]
-            for i in range(0, len(keys), CHUNK):
-                k = keys[i: i + CHUNK].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b, np.int64)), pa.array(k), pa.array(counts[i: i + CHUNK])],
-                                                 ["block", "key", "n"])
+                            pending = held.setdefault((b, kind), [])
+                            pending.append((found, times.astype(np.int64) if teach else np.zeros(len(found), np.int64)))
+                            if sum(len(k) for k, _ in pending[1:]) > max(1 << 19, len(pending[0][0])):
+                                squeeze((b, kind))
+        for of in list(held):
+            squeeze(of)
+            keys, counts = held.pop(of)[0]
+            shard = shard_of(keys, of[1], depth, shards)
+            order = np.argsort(shard, kind="stable")
+            edge = np.searchsorted(shard[order], np.arange(shards + 1))
+            rows = [(of[0], s, of[1], int(b - a), pack_keys(keys[order[a:b]]), pack(counts[order[a:b]]))
+                    for s, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+            yield _rows(rows, ASKED)
     return run
 
 
+def _rows(rows, schema: str):
+    import pyarrow as pa
+    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+
+
+SUMS = "shard bigint, kind int, n bigint, keys binary, counts binary, total bigint, known bigint"
+
+
+def _sums(batches):
+    """Keys of each shard and kind with their counts over all blocks, from rows (shard, kind, n, keys, counts) sorted by shard and kind."""
+    at, held = None, []
+
+    def close():
+        keys, counts = merged(*(np.concatenate(x) for x in zip(*held)))
+        return _rows([(*at, len(keys), pack_keys(keys), pack(counts), int(counts.sum()), int((counts > 0).sum()))], SUMS)
+    for batch in batches:
+        for shard, kind, n, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if (shard, kind) != at:
+                if held:
+                    yield close()
+                at, held = (shard, kind), []
+            held.append((unpack_keys(keys, n), unpack(counts, n, np.int64)))
+            if sum(len(k) for k, _ in held[1:]) > max(1 << 19, len(held[0][0])):
+                held = [merged(*(np.concatenate(x) for x in zip(*held)))]
+    if held:
+        yield close()
+
+
 def lgamma(x):
     """log Gamma for x > 0: Stirling's series, eight steps up."""
     y = x + 8.0
@@ -178,45 +245,32 @@ class Subtrees:
         return total
 
 
-def _subtrees(batches, depth):
-    """Subtrees of whole contexts of two bytes from sorted rows (key, n), a chunk at a time."""
-    keys, counts, size = [], [], 0
-    shift = np.uint64(8 * (depth - 1))
-
-    def ready(last):
-        nonlocal keys, counts, size
-        k, n = np.concatenate(keys).view(np.uint64), np.concatenate(counts)
-        end = len(k) if last else int(np.searchsorted(k >> shift, k[-1] >> shift))
-        keys, counts, size = [k[end:].view(np.int64)], [n[end:]], len(k) - end
-        return Subtrees(k[:end], n[:end], depth, 2) if end else None
-
-    for batch in batches:
-        if batch.num_rows:
-            keys.append(batch.column(0).to_numpy())
-            counts.append(batch.column(1).to_numpy())
-            size += batch.num_rows
-        if size > CHUNK:
-            tree = ready(False)
-            if tree is not None:
-                yield tree
-    if size:
-        yield ready(True)
+def subtrees(keys, counts, depth):
+    """Subtrees of whole contexts of two bytes, about CHUNK grams at a time."""
+    lead = keys >> np.uint64(8 * (depth - 1))
+    a = 0
+    while a < len(keys):
+        b = int(np.searchsorted(lead, lead[min(a + CHUNK, len(keys)) - 1], "right"))
+        yield Subtrees(keys[a:b], counts[a:b], depth, 2)
+        a = b
 
 
 def _heads(depth):
     """Per context of two bytes: its counts of 256 bytes and the log weighted probabilities of its 255 nodes."""
     def run(batches):
         import pyarrow as pa
-        for tree in _subtrees(batches, depth):
-            key, n = tree.tables[2]
-            context = np.unique(key >> np.uint64(8))
-            count, weighted = np.zeros((len(context), 256)), np.zeros((len(context), 255))
-            count[np.searchsorted(context, key >> np.uint64(8)), (key & np.uint64(0xFF)).astype(int)] = n
-            for j, (node, value) in tree.weighted.items():
-                prefix = (node & np.uint64((1 << j) - 1)).astype(int)
-                weighted[np.searchsorted(context, node >> np.uint64(j)), (1 << j) - 1 + prefix] = value
-            yield pa.RecordBatch.from_arrays([pa.array((context >> np.uint64(8)).astype(np.int64)), pa.array([r.tobytes() for r in count], pa.binary()),
-                                              pa.array([r.tobytes() for r in weighted], pa.binary())], ["recent", "counts", "weighted"])
+        for batch in batches:
+            for size, packed, times in zip(*(c.to_pylist() for c in batch.columns)):
+                for tree in subtrees(unpack_keys(packed, size), unpack(times, size, np.int64), depth):
+                    key, n = tree.tables[2]
+                    context = np.unique(key >> np.uint64(8))
+                    count, weighted = np.zeros((len(context), 256)), np.zeros((len(context), 255))
+                    count[np.searchsorted(context, key >> np.uint64(8)), (key & np.uint64(0xFF)).astype(int)] = n
+                    for j, (node, value) in tree.weighted.items():
+                        prefix = (node & np.uint64((1 << j) - 1)).astype(int)
+                        weighted[np.searchsorted(context, node >> np.uint64(j)), (1 << j) - 1 + prefix] = value
+                    yield pa.RecordBatch.from_arrays([pa.array((context >> np.uint64(8)).astype(np.int64)), pa.array([r.tobytes() for r in count], pa.binary()),
+                                                      pa.array([r.tobytes() for r in weighted], pa.binary())], ["recent", "counts", "weighted"])
     return run
 
 
@@ -245,32 +299,53 @@ def upper_contexts(heads):
     return out
 
 
-def _values(depth, shared):
+ANSWERS = "block bigint, kind int, n bigint, keys binary, answer binary"
+
+
+def _answers(depth, shared):
+    """What each block asked for: log-probabilities of its grams, training counts of its words. Rows (shard, kind, side, block, n, keys,
+    counts) come sorted; a shard's sums (side 0) precede the blocks' rows."""
     def run(batches):
-        import pyarrow as pa
-        for tree in _subtrees(batches, depth):
-            value = tree.log_probability(shared.value).astype(np.float32).astype(float)   # half as much to shuffle
-            yield pa.RecordBatch.from_arrays([pa.array(tree.keys.view(np.int64)), pa.array(value)], ["key", "value"])
+        keys = value = None
+        for batch in batches:
+            out = []
+            for _, kind, side, block, n, packed, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if side == 0:
+                    keys, value = unpack_keys(packed, n), unpack(counts, n, np.int64)
+                    if kind == GRAMS:
+                        value = np.concatenate([t.log_probability(shared.value) for t in subtrees(keys, value, depth)]).astype(np.float32)
+                    continue
+                out.append((block, kind, n, packed, pack(value[np.searchsorted(keys, unpack_keys(packed, n))])))
+            yield _rows(out, ANSWERS)
     return run
 
 
-def _scored(depth, total, distinct, ident):
-    """Scores of one block's texts from its (key, value) rows."""
-    def run(texts, values):
+def _looked_up(asked, keys, value):
+    """Values of the asked keys: equal ones are looked up once, in order."""
+    found, back = np.unique(asked, return_inverse=True)
+    return value[np.searchsorted(keys, found)][back]
+
+
+def _scored(depth, total, distinct):
+    """Scores of one block's texts from its answers."""
+    def run(texts, answers):
         import pyarrow as pa
-        key = values.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, value = key[order], values.column("value").to_numpy()[order]
+        tables = {}
+        for kind, dtype in ((GRAMS, np.float32), (WORDS, np.int64)):
+            rows = [r for r in zip(*(answers.column(c).to_pylist() for c in ("kind", "n", "keys", "answer"))) if r[0] == kind]
+            key = np.concatenate([unpack_keys(k, n) for _, n, k, _ in rows])
+            order = np.argsort(key)
+            tables[kind] = key[order], np.concatenate([unpack(v, n, dtype) for _, n, _, v in rows])[order].astype(float)
         low = math.log10(total + 0.5 * (distinct + 1))
-        end_count = value[-1]   # END is the largest key
+        end_count = tables[WORDS][1][-1]   # END is the largest key
         raw, offsets = text_bytes(texts.column("text"))
         out = {name: [] for name in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
         for i, j in blocks(offsets, STEP):
             part, at = raw[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
             coded, first = grams(part, at, depth)
-            out["score"].append(np.add.reduceat(value[np.searchsorted(key, coded)], first[:-1]) / math.log(10))
+            out["score"].append(np.add.reduceat(_looked_up(coded, *tables[GRAMS]), first[:-1]) / math.log(10))
             words, first = tokens(part, at)
-            count = value[np.searchsorted(key, words)]
+            count = _looked_up(words, *tables[WORDS])
             upto = np.concatenate([[0], np.cumsum(count > 0)])
             out["n_known"].append(upto[first[1:]] - upto[first[:-1]] + int(end_count > 0))
             out["n_tokens"].append(np.diff(first) + 1)
@@ -297,22 +372,22 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, block: int = BLOCK) ->
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block))
     texts = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-    asked = stored(texts.select("block", ~F.col("held_out"), "text").repartition(n_blocks, "block")
-                   .mapInArrow(_requests(depth), "block bigint, key bigint, n bigint"))
-    counts = stored(asked.groupBy("key").agg(F.sum("n").alias("n")))
-    words = counts.filter("key < 0")
-    known = words.agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("distinct")).first()
-    # Subtrees of two context bytes; a subtree's grams are distinct, whatever the number of documents.
-    dealt = counts.filter("key >= 0").repartition(F.shiftright("key", 8 * (depth - 1))).sortWithinPartitions("key")
-    heads = (dealt.mapInArrow(_heads(depth), "recent bigint, counts binary, weighted binary")
+    shards = max(8, min(n_blocks, SHARDS))
+    asked = stored(texts.select("block", ~F.col("held_out"), "text").repartition(n_blocks, "block").mapInArrow(_requests(depth, shards), ASKED))
+    sums = stored(asked.select("shard", "kind", "n", "keys", "counts").repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+                  .mapInArrow(_sums, SUMS))
+    known = sums.filter(F.col("kind") == WORDS).agg(F.sum("total").alias("total"), F.sum("known").alias("known")).first()
+    heads = (sums.filter(F.col("kind") == GRAMS).select("n", "keys", "counts").mapInArrow(_heads(depth), "recent bigint, counts binary, weighted binary")
              .groupBy("recent").applyInArrow(_sum_heads, "recent bigint, counts binary, weighted binary"))
     shared = spark.sparkContext.broadcast(upper_contexts(heads.collect()))   # 256 rows at most, 4 KB each
-    values = dealt.mapInArrow(_values(depth, shared), "key bigint, value double").unionByName(words.select("key", F.col("n").cast("double").alias("value")))
-    answers = stored(asked.join(values, "key").select("block", "key", "value"))
-    discard(asked, counts)
+    first = sums.select("shard", "kind", F.lit(0).alias("side"), F.lit(None).cast("long").alias("block"), "n", "keys", "counts")
+    then = asked.select("shard", "kind", F.lit(1).alias("side"), "block", "n", "keys", F.lit(None).cast("binary").alias("counts"))
+    answers = stored(first.unionByName(then).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "side")
+                     .mapInArrow(_answers(depth, shared), ANSWERS))
+    discard(asked, sums)
     ident = docs.schema["doc_id"].dataType.simpleString()
     return (texts.groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(_scored(depth, known["total"] or 0, known["distinct"] or 0, ident),
+            .applyInArrow(_scored(depth, known["total"] or 0, known["known"] or 0),
                           f"doc_id {ident}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, "
                           "bits_per_byte double"))
 
