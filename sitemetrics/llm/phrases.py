@@ -25,8 +25,8 @@ from sitemetrics.llm.common import _LOWER, blocks, discard, mix64, powers, store
 
 #: Least count, words of a phrase, rows of a group, share a longer phrase needs to hide a part (percent), factor of the score.
 LEAST, MOST, FIRST, HIDE, SCALE = 30, 4, 2000, 80, 2_000_000
-#: One document in SAMPLE, proposals from PROPOSE occurrences, bits of a filter at most, buffered phrases of a task.
-SAMPLE, PROPOSE, FILTER_BITS, BUFFER = 8, 2, 1 << 28, 2_000_000
+#: One document in SAMPLE, proposals from PROPOSE occurrences, bits of a filter at most, buffered phrases of a task, text bytes at a time.
+SAMPLE, PROPOSE, FILTER_BITS, BUFFER, PART = 8, 2, 1 << 28, 500_000, 1 << 19
 
 _KIND = np.zeros(256, np.uint8)   # 0 in a word, 1 blank, 2 break
 _KIND[[0x20, 0x09]] = 1
@@ -163,9 +163,11 @@ def _count(rule, most, seed, shared):
                 prefix, last, key, times = (np.concatenate(a) for a in zip(*arrays))
                 _, first, back = np.unique(key, return_index=True, return_inverse=True)
                 total = np.bincount(back, times, len(first)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([group] * len(first), pa.string()), pa.array(np.full(len(first), k, np.int8)), pa.array(prefix[first].view(np.int64)),
-                     pa.array(last[first].view(np.int64)), pa.array(total)], ["grp", "words", "prefix", "last", "n"])
+                for a in range(0, len(first), 1 << 16):
+                    at = first[a: a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([group] * len(at), pa.string()), pa.array(np.full(len(at), k, np.int8)), pa.array(prefix[at].view(np.int64)),
+                         pa.array(last[at].view(np.int64)), pa.array(total[a: a + (1 << 16)])], ["grp", "words", "prefix", "last", "n"])
             held, size = {}, 0
 
         for batch in batches:
@@ -173,7 +175,7 @@ def _count(rule, most, seed, shared):
             code = group.indices.to_numpy()
             for c, name in enumerate(group.dictionary.to_pylist()):
                 raw, offsets = text_bytes(batch.column(1).take(pa.array(np.flatnonzero(code == c))))
-                for a, b in blocks(offsets):
+                for a, b in blocks(offsets, PART):
                     word, piece, _, _ = words_and_pieces(raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a], seed)
                     if not len(word):
                         continue
@@ -271,7 +273,7 @@ def _spell(seed, shared):
         wanted, seen = Filter(shared.value), {}
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, PART):
                 part = raw[offsets[a]: offsets[b]]
                 word, _, starts, ends = words_and_pieces(part, offsets[a: b + 1] - offsets[a], seed)
                 word, first = np.unique(word, return_index=True)
