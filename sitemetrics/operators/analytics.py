@@ -1,6 +1,6 @@
 """Reports over a period: revenue mix, ranking, churn, peak-hour heatmap."""
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from sitemetrics.functions import metrics
 from sitemetrics.functions import timeutil as tu
 from sitemetrics.functions.timeutil import DEFAULT_TZ
-from sitemetrics.schemas import HOURLY_STATS
-from sitemetrics.sources import store
+from sitemetrics.sources.store import Version, Versions
 from sitemetrics.sources.tables import Tables
 
 DATE_RANGES = {"7d": 7, "30d": 30, "90d": 90}
@@ -104,10 +103,32 @@ def hourly_stats(t: Tables, weeks: int = 13, tz: str = DEFAULT_TZ, since: dateti
             .agg(average.alias("checkin_count")))
 
 
-def refresh_hourly_stats(t: Tables, folder: str, version: int, weeks: int = 13, tz: str = DEFAULT_TZ) -> DataFrame:
-    """Recompute the table into a fresh version and read it back; the caller schedules and switches."""
-    store.write_version(hourly_stats(t, weeks, tz), folder, version)
-    return store.read_version(t.sites.sparkSession, folder, version, HOURLY_STATS)
+HOURLY_COUNTS = "site_id int, local_date date, hour_of_day int, visits bigint"
+
+
+def hourly_counts(visits: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
+    """Check-ins per site, local date and local hour."""
+    local = tu.to_local(F.col("quarter"), tz)
+    return (visits.groupBy("site_id", tu.quarter("checked_in").alias("quarter")).agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("site_id", F.to_date(local).alias("local_date"), F.hour(local).alias("hour_of_day")).agg(F.sum("n").alias("visits")))
+
+
+def refresh_hourly_counts(versions: Versions, visits: DataFrame, changed: list[date] | None = None, tz: str = DEFAULT_TZ) -> Version:
+    """Next version of the counts: those of the `changed` local dates are counted again, all others are kept.
+
+    `visits` should be partitioned by local date in this zone, then only the changed dates are read. None counts everything."""
+    at = versions.current()
+    if changed is None or at.folder is None:
+        return versions.write(hourly_counts(visits, tz), at)
+    some = visits.filter(F.col("local_date").isin(*changed)) if "local_date" in visits.columns else visits.filter(tu.local_date(F.col("checked_in"), tz).isin(*changed))
+    kept = versions.read(at).filter(~F.col("local_date").isin(*changed) | F.col("local_date").isNull())
+    return versions.write(kept.unionByName(hourly_counts(some, tz)), at)
+
+
+def stats_from_counts(counts: DataFrame, weeks: int = 13) -> DataFrame:
+    """The average table from the stored counts: count / weeks, rounded, per site, weekday and hour."""
+    average = F.round(F.sum("visits").cast("decimal(20,0)") / F.lit(weeks)).cast("int")
+    return (counts.groupBy("site_id", tu.dow0(F.col("local_date")).alias("day_of_week"), "hour_of_day").agg(average.alias("checkin_count")))
 
 
 def site_heatmap(stats: DataFrame) -> DataFrame:
@@ -131,11 +152,11 @@ def visit_durations(t: Tables) -> DataFrame:
     return t.visits.select("visit_id", metrics.duration_min(F.col("checked_in"), F.col("checked_out")).alias("duration_min"))
 
 
-def analytics(t: Tables, as_of: datetime, date_range: str = "7d", tz: str = DEFAULT_TZ) -> dict[str, DataFrame]:
-    """The four reports of the analytics page; an unknown range is rejected before any work."""
+def analytics(t: Tables, as_of: datetime, date_range: str = "7d", tz: str = DEFAULT_TZ, counts: Versions | None = None) -> dict[str, DataFrame]:
+    """The four reports of the analytics page; an unknown range is rejected before any work. The heatmap comes from the stored counts where given."""
     days = range_days(date_range)
     return {
-        "peak_hours": site_heatmap(hourly_stats(t, tz=tz)),
+        "peak_hours": site_heatmap(hourly_stats(t, tz=tz) if counts is None else stats_from_counts(counts.read())),
         "revenue_by_plan": revenue_by_plan(t, as_of, days, tz),
         "churn_risk": churn_risk(t, as_of),
         "member_type": new_vs_renewal(t, as_of, days, tz),

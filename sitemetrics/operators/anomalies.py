@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemetrics.functions import timeutil as tu
+from sitemetrics.sources.store import Version, Versions
 from sitemetrics.sources.tables import Tables
 
 LOG_COLUMNS = ["anomaly_id", "site_id", "site_name", "type", "severity", "message", "resolved", "dismissed",
@@ -57,6 +58,12 @@ def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
     return current.join(change, "anomaly_id", "full").select("anomaly_id", *merged)
 
 
+def upsert_into(log: Versions, changes: DataFrame) -> Version:
+    """Merge changes into the next version of a stored log. A failure leaves the old version current, and a retry changes nothing twice."""
+    at = log.current()
+    return log.write(upsert(log.read(at), changes), at)
+
+
 def merge_resolved(log: DataFrame, resolved: DataFrame) -> DataFrame:
     """Fold resolution events into a listing: mark known ids, add unknown ones as already resolved.
 

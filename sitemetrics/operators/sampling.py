@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitemetrics.session import cut
 from sitemetrics.sources.tables import Tables
 
 
@@ -34,31 +35,32 @@ def tiered_sample(t: Tables, tiers: list[tuple[int, int]], otherwise: int, seed:
             .filter(F.col("rn") <= quota).select("member_id", "site_id", "rn"))
 
 
-def row_numbers(df: DataFrame, order: list[str], bucket: Column, by: list[str] | None = None,
-                name: str = "rn", total: str | None = None) -> DataFrame:
-    """row_number() over (partition by `by` order by `order`) without one task holding a partition.
+def row_numbers(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "rn", total: str | None = None) -> DataFrame:
+    """row_number() over (partition by `by` order by `order`) without one task holding a partition; nulls come first and are kept.
 
-    `bucket` must not decrease along the order. Rows are numbered inside their bucket; the running count of
-    earlier buckets, a window over one row a bucket, is added. `total` names a column for the partition's size.
+    Rows are dealt to ranges of (by, order) whose splitters come from a sample of the keys themselves, so neither gaps nor dense stretches
+    of ids matter. A row's number is its place in its range plus the rows of its partition in earlier ranges, a running sum over
+    one row a partition and range. The order should be total. `total` names a column for the partition's size.
     """
     by = by or []
-    rows = df.withColumn("bucket", bucket)
-    sizes = rows.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("size"))
-    chain = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(chain), F.lit(0)))
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("at", F.monotonically_increasing_id())
+    rows = cut(ranged).withColumn("part", F.shiftright("at", 33))   # kept, so that the ranges are told once
+    sizes = rows.groupBy(*by, "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"))
+    everything = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(everything.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if total:
-        starts = starts.withColumn(total, F.sum("size").over(Window.partitionBy(*by)))
-    inside = Window.partitionBy(*by, "bucket").orderBy(*order)
-    return (rows.withColumn(name, F.row_number().over(inside))
-            .join(starts.drop("size"), [*by, "bucket"])
-            .withColumn(name, F.col(name) + F.col("start")).drop("start", "bucket"))
+        starts = starts.withColumn(total, F.sum("size").over(everything))
+    starts = starts.select(*[F.col(c).alias(f"at_{c}") for c in by], F.col("part").alias("of"), "first", "start", *([total] if total else []))
+    same = F.col("part") == F.col("of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"at_{c}"))
+    return (rows.join(starts, same).withColumn(name, F.col("at") - F.col("first") + F.col("start") + 1)
+            .drop("at", "part", "of", "first", "start", *[f"at_{c}" for c in by]))
 
 
-def quota_cohorts(members: DataFrame, quotas: list[tuple[float, str]], otherwise: str,
-                  bucket_width: int = 100_000) -> DataFrame:
+def quota_cohorts(members: DataFrame, quotas: list[tuple[float, str]], otherwise: str) -> DataFrame:
     """Label members by position in their site: the first whose cumulative share bound is not exceeded."""
-    numbered = row_numbers(members.select("member_id", "site_id"), ["member_id"],
-                           F.floor(F.col("member_id") / bucket_width), ["site_id"], "seq", "site_members")
+    numbered = row_numbers(members.select("member_id", "site_id"), ["member_id"], ["site_id"], "seq", "site_members")
     share = F.col("seq").cast("double") / F.col("site_members").cast("double")
     label = F.lit(otherwise)
     for bound, text in reversed(quotas):
@@ -66,10 +68,9 @@ def quota_cohorts(members: DataFrame, quotas: list[tuple[float, str]], otherwise
     return numbered.select("member_id", "site_id", "seq", label.alias("cohort"))
 
 
-def numbered_members(members: DataFrame, bucket_width: int = 100_000) -> DataFrame:
+def numbered_members(members: DataFrame) -> DataFrame:
     """Global number in (site, member) order and the contact key built from it."""
-    bucket = F.struct("site_id", F.floor(F.col("member_id") / bucket_width).alias("part"))
-    numbered = row_numbers(members.select("site_id", "member_id", "name"), ["site_id", "member_id"], bucket)
+    numbered = row_numbers(members.select("site_id", "member_id", "name"), ["site_id", "member_id"])
     return numbered.select("member_id", F.col("rn").alias("number"),
                            F.concat(F.lower("name"), F.lit("."), F.lpad(F.col("rn").cast("string"), 9, "0")).alias("contact_key"))
 

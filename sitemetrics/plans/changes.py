@@ -1,13 +1,16 @@
 """Registered queries: row changes, samples, cohorts, spines."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from sitemetrics.operators import changes, sampling, spines
 from sitemetrics.plans.fixture_sql import DAY, NOW
 from sitemetrics.plans.registry import query
+from sitemetrics.session import shared_dir
 from sitemetrics.sources.fixtures import AS_OF
+from sitemetrics.sources.visits import VisitLog
 
 # ------------------------------------------------------------------------------------- row changes
 
@@ -23,13 +26,33 @@ select m.member_id, coalesce(l.last_at, m.last_checkin_at) as last_checkin_at
 from members_live m left join last l on l.member_id = m.member_id""", _LAST)(
     lambda fx: changes.sync_last_visit(fx.live_members, fx.visits).select("member_id", "last_checkin_at"))
 
+def visit_log(fx, name):
+    """The visits of the live clock as a log: openings, then closings, the first ten days compacted in between."""
+    log = VisitLog(fx.spark, f"{shared_dir(fx.spark)}/{name}-{uuid4().hex}")
+    log.open(fx.visits)
+    ends = fx.visits.filter("checked_out is not null").select("visit_id", "checked_in", F.col("checked_out").alias("closed_at"))
+    log.close(ends.filter("visit_id % 2 = 0"))
+    log.compact([date(2024, 1, d) for d in range(1, 4)])
+    log.close(ends.filter("visit_id % 2 = 1"))
+    return log
+
+
 # Visits open for more than a day are closed 90 minutes after they began.
-query("close_visits", f"""
+@query("close_visits", f"""
 select visit_id, member_id, site_id, checked_in, case when checked_out is null and checked_in < {NOW} - INTERVAL '1 day'
   then checked_in + INTERVAL '90 minutes' else checked_out end as checked_out from visits
-""")(lambda fx: changes.close_visits(fx.live.visits, fx.live.visits.filter(
-    F.col("checked_out").isNull() & (F.col("checked_in") < F.lit(AS_OF - timedelta(days=1)).cast("timestamp_ntz")))
-    .select("visit_id", (F.col("checked_in") + F.expr("interval 90 minutes")).alias("closed_at"))))
+""")
+def close_visits(fx):
+    log = visit_log(fx, "close")
+    stale = log.read(AS_OF).filter(F.col("checked_out").isNull() & (F.col("checked_in") < F.lit(AS_OF - timedelta(days=1)).cast("timestamp_ntz")))
+    log.close(stale.select("visit_id", "checked_in", (F.col("checked_in") + F.expr("interval 90 minutes")).alias("closed_at")))
+    return log.read(AS_OF).drop("local_date")
+
+
+query("visits_as_of", """
+select visit_id, member_id, site_id, checked_in, case when checked_out <= TIMESTAMP '2024-01-15 07:30:00' then checked_out end as checked_out
+from visits_all where checked_in <= TIMESTAMP '2024-01-15 07:30:00'""")(
+    lambda fx: visit_log(fx, "rewind").read(datetime(2024, 1, 15, 7, 30)).drop("local_date"))
 
 query("reset_baseline", """
 select m.member_id, coalesce(l.last_at, m.last_checkin_at) as last_checkin_at
@@ -102,21 +125,20 @@ query("numbered_checks", """
 select 'M-' || row_number() over (order by s.name) as test_id, s.name, count(m.member_id) as members
 from sites s left join members m on m.site_id = s.site_id group by s.name""")(
     lambda fx: sampling.row_numbers(
-        fx.sites.join(fx.members.groupBy("site_id").agg(F.count(F.lit(1)).alias("members")), "site_id", "left"),
-        ["name"], F.substring("name", 1, 9)).select(
+        fx.sites.join(fx.members.groupBy("site_id").agg(F.count(F.lit(1)).alias("members")), "site_id", "left"), ["name"]).select(
         F.concat(F.lit("M-"), F.col("rn")).alias("test_id"), "name", F.coalesce("members", F.lit(0)).alias("members")))
 
 query("member_contact_keys", """
 select member_id, number, lower(name) || '.' || lpad(cast(number as varchar), 9, '0') as contact_key
 from (select member_id, name, row_number() over (order by site_id, member_id) as number from members) q""")(
-    lambda fx: sampling.numbered_members(fx.members, bucket_width=500))
+    lambda fx: sampling.numbered_members(fx.members))
 
 query("quota_cohorts", """
 select member_id, site_id, seq, case when seq::double / n <= 0.4::double then 'monthly'
   when seq::double / n <= 0.8::double then 'quarterly' else 'annual' end as cohort
 from (select member_id, site_id, row_number() over (partition by site_id order by member_id) as seq,
   count(*) over (partition by site_id) as n from members) q""")(
-    lambda fx: sampling.quota_cohorts(fx.members, [(0.4, "monthly"), (0.8, "quarterly")], "annual", bucket_width=500))
+    lambda fx: sampling.quota_cohorts(fx.members, [(0.4, "monthly"), (0.8, "quarterly")], "annual"))
 
 # ------------------------------------------------------------------------------------------ spines
 

@@ -1,7 +1,9 @@
 """Registered queries: revenue, churn, heatmap, scalar metrics, benchmark queries."""
 
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemetrics.functions import metrics
@@ -9,8 +11,12 @@ from sitemetrics.functions import timeutil as tu
 from sitemetrics.operators import analytics, anomalies, feed, live
 from sitemetrics.plans.fixture_sql import DAY, IST, LEDGER_DAY, LEDGER_NOW, NOW
 from sitemetrics.plans.registry import query
+from sitemetrics.schemas import ANOMALIES
 from sitemetrics.session import shared_dir
+from sitemetrics.sources import loads
 from sitemetrics.sources.fixtures import AS_OF, LEDGER_AS_OF
+from sitemetrics.sources.store import Versions
+from sitemetrics.sources.visits import VisitLog
 
 SITE = 3
 
@@ -73,7 +79,16 @@ query("site_heatmap", "select * from hourly", _HEAT)(lambda fx: analytics.site_h
 
 @query("hourly_stats_refresh", "select * from hourly", _HEAT)
 def hourly_stats_refresh(fx):
-    return analytics.refresh_hourly_stats(fx.all, f"{shared_dir(fx.spark)}/hourly-{uuid4().hex}", 1)
+    """The stored counts after a first refresh and one for the dates of an append, some of whose rows are late."""
+    root = f"{shared_dir(fx.spark)}/hourly-{uuid4().hex}"
+    log, counts = VisitLog(fx.spark, f"{root}/visits"), Versions(fx.spark, f"{root}/counts", analytics.HOURLY_COUNTS)
+    late = (F.col("checked_in") >= F.lit("2024-01-20").cast("timestamp_ntz")) | (F.col("visit_id") % 50 == 7)
+    log.open(fx.visits.filter(~late))
+    analytics.refresh_hourly_counts(counts, log.read())
+    log.open(fx.visits.filter(late))
+    changed = [r[0] for r in fx.visits.filter(late).select(tu.local_date(F.col("checked_in"))).distinct().collect()]   # one row a date
+    analytics.refresh_hourly_counts(counts, log.read(), changed)
+    return analytics.stats_from_counts(counts.read())
 
 
 query("heatmap_grid", """
@@ -163,9 +178,34 @@ from log l full join (select * from anomalies_all where resolved) r on r.anomaly
         anomalies.anomaly_log(fx.live, AS_OF),
         fx.anomalies.filter("resolved").select("anomaly_id", "site_id", "type", "severity", "message", "resolved_at")))
 
-query("anomaly_upsert", """
+@query("anomaly_upsert", """
 select anomaly_id, site_id, type, severity, message, resolved, dismissed, detected_at, resolved_at from anomalies_all
-""")(lambda fx: anomalies.upsert(fx.live.anomalies, fx.anomalies).select(*fx.anomalies.columns))
+""")
+def anomaly_upsert(fx):
+    """The log as of the live clock is stored, all later changes are merged into its next version, twice, and read back."""
+    log = Versions(fx.spark, f"{shared_dir(fx.spark)}/anomalies-{uuid4().hex}", ANOMALIES)
+    log.write(fx.live.anomalies, log.current())
+    for _ in range(2):
+        anomalies.upsert_into(log, fx.anomalies)
+    return log.read()
+
+
+@query("guarded_load", """
+select 'sites' as table_name, 'loaded' as first_load, 'refused' as empty_load, count(*) as rows from sites
+union all select 'members', 'loaded', 'refused', count(*) from members_live
+union all select 'visits', 'loaded', 'refused', count(*) from visits_all
+union all select 'payments', 'loaded', 'refused', count(*) from payments_all
+union all select 'anomalies', 'loaded', 'refused', count(*) from anomalies_all""")
+def guarded_load(fx):
+    """All tables are loaded, an empty load is refused, and what is then current is counted."""
+    folder = f"{shared_dir(fx.spark)}/load-{uuid4().hex}"
+    first = loads.load_all(fx.spark, folder, fx.all)
+    second = {name: outcome for name, outcome, _ in loads.load_all(fx.spark, folder, fx.all.none())}
+    back = loads.read_all(fx.spark, folder)
+    counts = [getattr(back, name).agg(F.lit(name).alias("table_name"), F.lit(outcome).alias("first_load"), F.lit(second[name]).alias("empty_load"),
+                                      F.count(F.lit(1)).alias("rows")) for name, outcome, _ in first]
+    return reduce(DataFrame.unionByName, counts)
+
 
 # ------------------------------------------------------------------------- the six benchmark queries
 

@@ -141,12 +141,6 @@ class Fixture:
         """The live period as it stood at AS_OF."""
         return self.all.rewind(AS_OF)
 
-    @cached_property
-    def timed(self) -> Tables:
-        """As `live`, with only the visits whose end is known, so that sites can be empty."""
-        known = self.visits.filter(F.col("checked_out").isNotNull())
-        return Tables(self.sites, self.live_members, known, self.live_payments, self.anomalies).rewind(AS_OF)
-
     @cached_property
     def ledger(self) -> Tables:
         return Tables(self.sites, self.members, self.visits, self.ledger_payments, self.anomalies)

@@ -60,6 +60,10 @@ class Tables:
             return None if df is None else df.filter(F.col("site_id").isin(*site_ids))
         return Tables(*[keep(df) for df in (self.sites, self.members, self.visits, self.payments, self.anomalies)])
 
+    def none(self) -> Tables:
+        """The same tables without rows."""
+        return Tables(*[None if df is None else df.filter(F.lit(False)) for df in (self.sites, self.members, self.visits, self.payments, self.anomalies)])
+
 
 def with_defaults(df: DataFrame, table: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in schemas.DEFAULTS[table].items()})
