@@ -6,7 +6,7 @@ hashes: after each batch the posterior of its similarity (uniform prior) tells t
 when that falls below MISS. Survivors are verified exactly on the full sets, and links are joined to components.
 
 No bucket is expanded into pairs. (1) Each band's bucket has one centre, drawn by a digest of band and class; every member is a candidate with it, so
-a group of n copies gives n candidates a band. (2) Of its survivors each class verifies the best first, then the best between each two components, twice.
+a group of n copies gives n candidates a band. (2) Of its survivors each class verifies the best first, then the best between each two components.
 (3) Buckets that still hold several components are settled in cells. A class outside a bucket's largest component meets every class of its buckets, in
 bounded blocks: on signatures first, which leaves the classes with a survivor, then these on their full sets, where a cell gives out only links
 that join components. A pair is compared where its rows lie, so rows grow with the classes, not with the pairs, and every candidate
@@ -32,6 +32,8 @@ BANDS, ROWS = 50, 6
 BATCH, COMPARED, MISS = 16, 128, 1e-6
 #: Bytes of sets and classes of a block that meets others, and of those that it meets.
 MEETING, MET, MOST = 2 << 20, 8 << 20, 512
+#: Bytes of text turned into arrays at a time.
+STEP = 1 << 19
 
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -92,7 +94,7 @@ def _sketch_rows(batches):
     for batch in batches:
         raw, offsets = text_bytes(batch.column(1))
         n, one, two, bands, sigs = [], [], [], [], []
-        for a, b in blocks(offsets):
+        for a, b in blocks(offsets, STEP):
             words, first = words_of(raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             for i in range(b - a):
                 s = shingles_of(words[first[i]: first[i + 1]], WORDS)
@@ -118,7 +120,7 @@ def _set_rows(batches):
     for batch in batches:
         raw, offsets = text_bytes(batch.column(1))
         out = []
-        for a, b in blocks(offsets):
+        for a, b in blocks(offsets, STEP):
             words, first = words_of(raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             out += [shingles_of(words[first[i]: first[i + 1]], WORDS).tobytes() for i in range(b - a)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "members"])
@@ -186,13 +188,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
                  .filter("u <> v").distinct())
         after = stored(small)
-        # Settled when nothing is both above and below: every edge then leads to a root.
-        if not after.select("u").join(after.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
-            roots = after.groupBy("u").agg(F.min("v").alias("root"), F.count("*").alias("k"))
-            if not roots.filter("k > 1").limit(1).count():
-                roots = stored(roots.select(F.col("u").alias("node"), "root"))
-                discard(e, after)
-                return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+        # Settled when every edge leads to a root: no node above is below as well, or has two roots.
+        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("v", F.lit(0), F.lit(1)))
+        sides = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if sides.filter("up > 1 or up > 0 and down > 0").isEmpty():
+            return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select("v", "v").distinct())
         discard(e)
         e = after
 
@@ -408,18 +408,11 @@ def _linked(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFram
         left, right = comps.select(F.col("node").alias("x"), F.col("root").alias("rx")), comps.select(F.col("node").alias("y"), F.col("root").alias("ry"))
         found = pairs.join(left, "x", "left").join(right, "y", "left").withColumn("rx", F.coalesce("rx", "x")).withColumn("ry", F.coalesce("ry", "y"))
         return found.filter("rx <> ry").select("x", "y", "matches", F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"))
-    tried = first
-    for _ in range(2):
-        # Between two components the strongest pair is verified first: most others need no test then.
-        rest = stored(apart(stars.join(tried, ["x", "y"], "left_anti")).groupBy("a", "b").agg(best).select("p.x", "p.y"))
-        before = comps
-        comps = _more(comps, rest, held_texts)
-        if comps is before:
-            break
-        tried = tried.union(rest)
-    # A bucket of two has no other pair than its arm.
-    twos = stars.join(arms.filter("size = 2").select("x", "y").distinct(), ["x", "y"], "left_semi").join(tried, ["x", "y"], "left_anti")
-    comps = _more(comps, apart(twos).select("x", "y"), held_texts)
+    # Then the strongest pair between two components, and the arms of buckets of two, which have no other pair.
+    left = apart(stars.join(first, ["x", "y"], "left_anti"))
+    twos = arms.filter("size = 2").select("x", "y").distinct()
+    rest = left.groupBy("a", "b").agg(best).select("p.x", "p.y").union(left.join(twos, ["x", "y"], "left_semi").select("x", "y")).distinct()
+    comps = _more(comps, rest, held_texts)
     found = _settled(shared.filter("size > 2").select("band", "rep"), comps, sigs, reps.select("rep", "n"), held_texts)
     if not found.isEmpty():
         comps = joined(comps, found)
