@@ -24,7 +24,8 @@ VOCABULARY = "piece_bpe_32k.model"
 FLOOR, SMOOTH = 1e-8, 1e-3
 #: Binary digits by which sums that became small are lifted.
 STEP = 300
-BLOCK = 1 << 21
+#: Letters scored at a time, and distinct words in one lattice: arrays stay at a few MB, which workers give back.
+BLOCK, WORDS_AT_ONCE = 1 << 18, 4000
 
 _alpha = None
 
@@ -265,8 +266,8 @@ def score_texts(texts, langs, index: Pieces, table):
             at, kind = distinct(letters, starts, ends)
             value = np.zeros((len(at), len(langs)))
             for n, which, numbers in lattice(index, letters, starts[at], ends[at]):
-                for a in range(0, len(which), 20000):
-                    value[which[a:a + 20000]] = log_probability(n, numbers[a:a + 20000], table)
+                for a in range(0, len(which), WORDS_AT_ONCE):
+                    value[which[a:a + WORDS_AT_ONCE]] = log_probability(n, numbers[a:a + WORDS_AT_ONCE], table)
             # Each text is summed by itself: what stands beside it in the block cannot change it.
             total[full] = np.add.reduceat(value[kind], bounds[full], axis=0)
         for i in range(last - first):
