@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitemetrics.llm import langid, mixing, neardup, packing, pii
-from sitemetrics.llm.common import cut, table
+from sitemetrics.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,5 +55,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
