@@ -10,7 +10,6 @@ from sitemetrics.functions import timeutil as tu
 from sitemetrics.functions.timeutil import DEFAULT_TZ
 from sitemetrics.operators import live
 from sitemetrics.schemas import ENVELOPE, EVENT_TYPES
-from sitemetrics.session import MAX_BROADCAST_ROWS
 from sitemetrics.sources.tables import Tables
 
 FEED_SIZE = 20
@@ -48,25 +47,46 @@ def newest(events: DataFrame, n: int = FEED_SIZE) -> DataFrame:
     return events.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).drop("rn")
 
 
-def recent_enough(t: Tables, n: int) -> Tables:
-    """Only the visits and payments that can hold a site's newest n events: back to the day that completes n.
+def activity_days(t: Tables, tz: str = DEFAULT_TZ) -> DataFrame:
+    """Events of each site and local date (a visit's date is that of its check-in): count, oldest and newest event time.
 
-    Counting events per day is a hash aggregate over three columns; it spares sorting the history. Applied when the
-    sites are few enough to broadcast their first days; it changes nothing but the work.
+    Rows of parts of the tables add up, so stored tables keep it as a small table of its own, appended with the facts."""
+    visits, payments = _dated(t, tz)
+    ends = F.greatest("checked_in", "checked_out")
+    parts = (visits.groupBy("site_id", "local_date").agg((F.count("checked_in") + F.count("checked_out")).alias("events"),
+                                                         F.min(F.least("checked_in", "checked_out")).alias("oldest"), F.max(ends).alias("newest"))
+             .unionByName(payments.groupBy("site_id", "local_date").agg(F.count("paid_at").alias("events"), F.min("paid_at").alias("oldest"),
+                                                                        F.max("paid_at").alias("newest"))))
+    return merged_days(parts)
+
+
+def merged_days(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("site_id", "local_date").agg(F.sum("events").alias("events"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+
+
+def _dated(t: Tables, tz: str) -> tuple[DataFrame, DataFrame]:
+    """Visits and payments with their local date; stored tables have it as partition column."""
+    return tuple(df if "local_date" in df.columns else df.withColumn("local_date", tu.local_date(F.col(at), tz))
+                 for df, at in ((t.visits, "checked_in"), (t.payments, "paid_at")))
+
+
+def recent_enough(t: Tables, n: int, tz: str = DEFAULT_TZ) -> Tables:
+    """Only the dates of each site that can hold its newest n events.
+
+    The dates of latest start that together have n events give a threshold, the oldest event among them: the n newest are not older. Needed are
+    the dates with an event at or after it. On stored tables these few rows prune the partitions that are read.
     """
-    if t.n_sites > MAX_BROADCAST_ROWS:
-        return t
-    times = (t.visits.select("site_id", F.explode(F.array("checked_in", "checked_out")).alias("at"))
-             .union(t.payments.select("site_id", "paid_at")).filter(F.col("at").isNotNull()))
-    days = times.groupBy("site_id", F.to_date("at").alias("day")).agg(F.count(F.lit(1)).alias("events"))
-    newer = Window.partitionBy("site_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    first = (days.withColumn("newer", F.coalesce(F.sum("events").over(newer), F.lit(0))).filter(F.col("newer") < n)
-             .groupBy("site_id").agg(F.min("day").cast("timestamp_ntz").alias("first_day")))
-
-    def since(df, *cols):
-        recent = F.greatest(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
-        return df.join(F.broadcast(first), "site_id").filter(recent >= F.col("first_day")).drop("first_day")
-    return replace(t, visits=since(t.visits, "checked_in", "checked_out"), payments=since(t.payments, "paid_at"))
+    days = merged_days(t.activity) if t.activity is not None else activity_days(t, tz)
+    later = Window.partitionBy("site_id").orderBy(F.desc("oldest")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("site_id")
+    first = F.min(F.when(F.col("later") < n, F.col("oldest"))).over(every)
+    needed = (days.filter("events > 0").withColumn("later", F.coalesce(F.sum("events").over(later), F.lit(0))).withColumn("since", first)
+              .filter(F.col("newest") >= F.col("since")).select(F.col("site_id").alias("of_site"), F.col("local_date").alias("of_date")))
+
+    def kept(df):
+        return df.join(needed, F.col("site_id").eqNullSafe(F.col("of_site")) & (F.col("local_date") == F.col("of_date")), "left_semi")
+    visits, payments = _dated(t, tz)
+    return replace(t, visits=kept(visits), payments=kept(payments))
 
 
 def activity_feed(t: Tables, n: int = FEED_SIZE) -> DataFrame:

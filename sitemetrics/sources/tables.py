@@ -20,6 +20,9 @@ LAYOUT = {"visits": [T.StructField("is_open", T.BooleanType()), T.StructField("l
           "payments": [T.StructField("local_date", T.DateType())]}
 
 
+ACTIVITY = "site_id int, local_date date, events bigint, oldest timestamp_ntz, newest timestamp_ntz"
+
+
 @dataclass(frozen=True)
 class Tables:
     sites: DataFrame
@@ -27,6 +30,8 @@ class Tables:
     visits: DataFrame
     payments: DataFrame
     anomalies: DataFrame | None = None
+    # Events per site and local date, where the tables are stored with it (feed.activity_days).
+    activity: DataFrame | None = None
 
     @cached_property
     def n_sites(self) -> int:
@@ -52,7 +57,7 @@ class Tables:
                          .withColumn("resolved", F.coalesce(done, F.lit(False)))
                          .withColumn("resolved_at", F.when(F.col("resolved"), F.col("resolved_at"))))
         return replace(self, visits=visits, payments=self.payments.filter(F.col("paid_at") <= now),
-                       anomalies=anomalies)
+                       anomalies=anomalies, activity=None)
 
     def only(self, site_ids: list[int]) -> Tables:
         """All tables restricted to some sites."""
@@ -77,13 +82,24 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def read_tables(spark: SparkSession, folder: str) -> Tables:
     """Typed scan of all five tables below `folder`; schemas are declared, never inferred."""
     configure(spark)
-    return Tables(*[read_table(spark, folder, t) for t in ("sites", "members", "visits", "payments", "anomalies")])
+    return Tables(*[read_table(spark, folder, t) for t in ("sites", "members", "visits", "payments", "anomalies")],
+                  activity=spark.read.schema(ACTIVITY).parquet(f"{folder}/activity"))
 
 
 def write_tables(tables: Tables, folder: str, tz: str = tu.DEFAULT_TZ) -> None:
     """Write the bundle. The fact tables are partitioned by local date, so time windows prune files, and visits
     by open or closed as well, so live queries read the open ones alone."""
-    for name in schemas.TABLES:
+    _write(tables, folder, tz, "errorifexists", schemas.TABLES)
+
+
+def append_facts(tables: Tables, folder: str, tz: str = tu.DEFAULT_TZ) -> None:
+    """Append further visits and payments to written tables."""
+    _write(tables, folder, tz, "append", DATE_OF)
+
+
+def _write(tables: Tables, folder: str, tz: str, mode: str, names) -> None:
+    from sitemetrics.operators.feed import activity_days
+    for name in names:
         df = getattr(tables, name)
         if df is None:
             continue
@@ -95,9 +111,10 @@ def write_tables(tables: Tables, folder: str, tz: str = tu.DEFAULT_TZ) -> None:
             (df.withColumn("local_date", tu.local_date(F.col(DATE_OF[name]), tz))
              .repartitionByRange(*layout, DATE_OF[name])
              .sortWithinPartitions(*layout, DATE_OF[name])
-             .write.mode("errorifexists").partitionBy(*layout).parquet(f"{folder}/{name}"))
+             .write.mode(mode).partitionBy(*layout).parquet(f"{folder}/{name}"))
         else:
-            df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+            df.write.mode(mode).parquet(f"{folder}/{name}")
+    activity_days(tables, tz).write.mode(mode).parquet(f"{folder}/activity")
 
 
 def is_seeded(tables: Tables) -> bool:
