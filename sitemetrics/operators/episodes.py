@@ -24,14 +24,14 @@ def _block(moment: Column, size: timedelta) -> Column:
     return F.floor(tu.micros(moment) / F.lit(int(size.total_seconds() * 1_000_000))).cast("long")
 
 
-def visit_deltas(visits: DataFrame) -> DataFrame:
-    """Occupancy changes of visits: one in at the start and, where the end is known, one out."""
+def visit_deltas(visits: DataFrame, *more: str) -> DataFrame:
+    """Occupancy changes of visits: one in at the start and, where the end is known, one out. `more`: further columns to keep."""
     ident = F.col("visit_id").cast("string")
 
     def change(name, at, delta):
         return F.struct(F.concat(ident, F.lit(name)).alias("event_id"), F.col(at).alias("event_time"), F.lit(delta).alias("delta"))
     ends = F.array(change("-in", "checked_in", 1), change("-out", "checked_out", -1))
-    return (visits.select("site_id", F.explode(ends).alias("e")).select("site_id", "e.*").filter(F.col("event_time").isNotNull()))
+    return (visits.select("site_id", *more, F.explode(ends).alias("e")).select("site_id", *more, "e.*").filter(F.col("event_time").isNotNull()))
 
 
 def steps(deltas: DataFrame, block: timedelta = BLOCK) -> DataFrame:

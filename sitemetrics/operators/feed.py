@@ -5,11 +5,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from sitemetrics.functions import metrics
 from sitemetrics.functions import timeutil as tu
 from sitemetrics.functions.timeutil import DEFAULT_TZ
-from sitemetrics.operators import live
-from sitemetrics.schemas import ENVELOPE, EVENT_TYPES
+from sitemetrics.operators import episodes, live
+from sitemetrics.schemas import ENVELOPE, EVENT_TYPES, REQUIRED
 from sitemetrics.sources.tables import Tables
 
 FEED_SIZE = 20
@@ -124,43 +126,88 @@ def live_snapshot(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ, n: int = FEE
                     F.coalesce("active_anomalies", none_a, F.array()).alias("active_anomalies")))
 
 
-def envelope_events(t: Tables) -> DataFrame:
-    """All changes as envelope rows (typed, not yet encoded)."""
-    kinds = F.create_map(*[F.lit(x) for pair in (("checkin", EVENT_TYPES[0]), ("checkout", EVENT_TYPES[1]),
-                                                 ("payment", EVENT_TYPES[2])) for x in pair])
-    moves = feed_events(t).select(kinds[F.col("event_type")].alias("type"), F.col("id").alias("event_id"), "site_id",
-                                  "event_time", "member_id", "amount", "plan_type")
+def occupancy_after(visits: DataFrame) -> DataFrame:
+    """Check-ins and check-outs (site_id, member_id, event_id, event_time, delta) with the occupancy after each."""
+    moves = episodes.visit_deltas(visits, "member_id")
+    stepped = episodes.steps(moves)
+    blocks = episodes.chained(episodes.summaries(stepped)).select("site_id", "block", "carry")
+    return (stepped.join(blocks, ["site_id", "block"])
+            .withColumn("current_occupancy", F.col("s") + F.greatest(F.col("carry"), -F.col("m"))).drop("block", "s", "m", "carry"))
+
+
+def day_totals(payments: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
+    """Payments with today_total, the site's takings of the local day up to and with each.
+
+    Running sums inside quarters of an hour, which local days are made of, plus the quarters before: one row a site and quarter."""
+    inside = Window.partitionBy("site_id", "quarter").orderBy("paid_at", "payment_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = (payments.withColumn("quarter", tu.quarter("paid_at")).filter(F.col("site_id").isNotNull())
+            .withColumn("part", F.sum("amount").over(inside)))
+    sums = rows.groupBy("site_id", "quarter").agg(F.sum("amount").alias("taken"))
+    earlier = Window.partitionBy("site_id", tu.local_date(F.col("quarter"), tz)).orderBy("quarter").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("site_id", "quarter", F.coalesce(F.sum("taken").over(earlier), F.lit(0)).alias("before"))
+    return (rows.join(before, ["site_id", "quarter"]).withColumn("today_total", (F.col("part") + F.col("before")).cast("decimal(22,2)"))
+            .drop("quarter", "part", "before"))
+
+
+def envelope_events(t: Tables, tz: str = DEFAULT_TZ) -> DataFrame:
+    """All changes as envelope rows (typed, not yet encoded); rows without a site have no envelope."""
+    names = t.members.select("member_id", F.col("name").alias("member_name"))
+    sites = t.site_bounded(t.sites.select("site_id", F.col("name").alias("site_name"), "capacity"))
+    kind = F.when(F.col("delta") > 0, EVENT_TYPES[0]).otherwise(EVENT_TYPES[1])
+    moves = occupancy_after(t.visits).select(kind.alias("type"), "event_id", "site_id", "event_time", "member_id", "current_occupancy")
+    paid = day_totals(t.payments, tz).select(F.lit(EVENT_TYPES[2]).alias("type"), F.col("payment_id").cast("string").alias("event_id"), "site_id",
+                                             F.col("paid_at").alias("event_time"), "member_id", "amount", "plan_type", "today_total")
+    people = moves.unionByName(paid, allowMissingColumns=True).join(names, "member_id", "left")
     found = t.anomalies.select(F.lit(EVENT_TYPES[3]).alias("type"), F.concat("anomaly_id", F.lit("-open")).alias("event_id"),
                                "site_id", F.col("detected_at").alias("event_time"), "anomaly_id",
                                F.col("type").alias("anomaly_type"), "severity", "message")
     solved = t.anomalies.filter("resolved").select(
         F.lit(EVENT_TYPES[4]).alias("type"), F.concat("anomaly_id", F.lit("-close")).alias("event_id"),
-        "site_id", F.col("resolved_at").alias("event_time"), "anomaly_id")
-    return (moves.unionByName(found, allowMissingColumns=True).unionByName(solved, allowMissingColumns=True)
-            .select(*ENVELOPE.fieldNames()))
+        "site_id", F.col("resolved_at").alias("event_time"), "anomaly_id", "resolved_at")
+    every = people.unionByName(found, allowMissingColumns=True).unionByName(solved, allowMissingColumns=True).join(sites, "site_id", "left")
+    percent = F.when(F.col("current_occupancy").isNotNull(), metrics.capacity_pct(F.col("current_occupancy"), F.col("capacity")))
+    return every.withColumn("capacity_pct", percent).select(*ENVELOPE.fieldNames())
 
 
 def encode(events: DataFrame) -> DataFrame:
     """One JSON message a row; absent fields are left out."""
-    fields = [F.date_format("event_time", ISO).alias("event_time") if c == "event_time" else F.col(c)
-              for c in ENVELOPE.fieldNames()]
+    fields = [F.date_format(c, ISO).alias(c) if c in ("event_time", "resolved_at") else F.col(c) for c in ENVELOPE.fieldNames()]
     return events.select("event_id", F.to_json(F.struct(*fields)).alias("payload"))
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Messages with their parsed fields and a flag `valid`: a complete JSON object with a known type."""
-    parsed = messages.withColumn("e", F.from_json("payload", ENVELOPE, {"mode": "PERMISSIVE"}))
-    valid = F.coalesce(F.col("e.type").isin(*EVENT_TYPES), F.lit(False))
-    # A truncated object can parse partially; it counts only if the text closes the object.
-    valid = valid & F.endswith(F.rtrim("payload"), F.lit("}"))
-    return (parsed.withColumn("valid", valid).select("payload", "valid", "e.*")
-            .withColumn("event_time", F.try_to_timestamp("event_time", F.lit(ISO)).cast("timestamp_ntz")))
+    """Messages with their fields, `valid`, and the reason where they are not.
+
+    malformed: not one JSON object with nothing behind it; wrong type: a field that does not fit the schema, or a time that cannot be
+    read; unknown type; missing <field>: the first absent field that the type requires. Unknown fields are ignored.
+    """
+    damaged = "_corrupt_record"
+    read = StructType([*ENVELOPE.fields, StructField(damaged, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": damaged}
+    # As the only element of an array a message is whole only if nothing follows it.
+    alone = F.from_json(F.concat(F.lit("["), "payload", F.lit("]")), "array<struct<type:string>>")
+    # Each step is used several times by the next: parsed once, times read once, then judged.
+    parsed = messages.select("payload", F.from_json("payload", read, options).alias("e"), F.coalesce(F.size(alone), F.lit(0)).alias("objects"))
+    parsed = parsed.select("payload", "objects", "e.*", F.col("e").isNull().alias("absent"),
+                           *[F.try_to_timestamp(F.col(f"e.{c}"), F.lit(ISO)).cast("timestamp_ntz").alias(f"{c}_read") for c in ("event_time", "resolved_at")])
+    times = {c: F.col(f"{c}_read") for c in ("event_time", "resolved_at")}
+    unread = [F.col(c).isNotNull() & value.isNull() for c, value in times.items()]
+    kind = F.col("type")
+    missing = F.lit(None).cast("string")
+    for name, fields in REQUIRED.items():
+        first = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in fields])
+        missing = F.when(kind == name, first).otherwise(missing)
+    reason = (F.when(F.col("absent") | (F.col("objects") != 1), "malformed")
+              .when(F.col(damaged).isNotNull() | unread[0] | unread[1], "wrong type")
+              .when(~F.coalesce(kind.isin(*EVENT_TYPES), F.lit(False)), "unknown type").otherwise(missing))
+    fields = [times.get(c, F.col(c)).alias(c) for c in ENVELOPE.fieldNames()]
+    return parsed.select("payload", reason.alias("reason"), *fields).select("payload", F.col("reason").isNull().alias("valid"), "reason", *ENVELOPE.fieldNames())
 
 
 def decode(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, rejected messages)."""
+    """(events, rejected messages with the reason). Both are stateless, also on streams, where each has a sink of its own."""
     parsed = parse(messages)
-    return parsed.filter("valid").select(*ENVELOPE.fieldNames()), parsed.filter(~F.col("valid")).select("payload")
+    return parsed.filter("valid").select(*ENVELOPE.fieldNames()), parsed.filter(~F.col("valid")).select("payload", "reason")
 
 
 def unread_anomalies(t: Tables) -> DataFrame:

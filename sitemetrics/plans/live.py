@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from sitemetrics.functions import metrics
 from sitemetrics.operators import feed, live
-from sitemetrics.plans.fixture_sql import DAY, NOW
+from sitemetrics.plans.fixture_sql import DAY, IST, NOW
+from sitemetrics.plans.history import TIMELINE
 from sitemetrics.plans.registry import query
 from sitemetrics.sources.fixtures import AS_OF
 
@@ -156,50 +157,73 @@ def live_snapshot(fx):
 # ---------------------------------------------------------------------------------------- envelope
 
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+
+def _json(*fields):
+    """A JSON object from (name, SQL value, quoted) triples; null values are left out."""
+    parts = [f"""case when {value} is null then '' else ',"{name}":' || {"'" + '"' + "' || " if quoted else ""}cast({value} as varchar){" || '" + '"' + "'" if quoted else ""} end"""
+             for name, value, quoted in fields]
+    return "'{' || substr(" + " || ".join(parts) + ", 2) || '}'"
+
+
+_FIELDS = [("type", "e.type", True), ("event_id", "e.event_id", True), ("site_id", "e.site_id", False), ("site_name", "s.name", True),
+           ("event_time", _ISO.format("e.event_time"), True), ("member_id", "e.member_id", False), ("member_name", "m.name", True),
+           ("current_occupancy", "e.occupancy", False), ("capacity_pct", "e.pct", False), ("amount", "e.amount", False),
+           ("plan_type", "e.plan_type", True), ("today_total", "e.today_total", False), ("anomaly_id", "e.anomaly_id", True),
+           ("anomaly_type", "e.anomaly_type", True), ("severity", "e.severity", True), ("message", "e.message", True),
+           ("resolved_at", _ISO.format("e.resolved_at"), True)]
 _ENVELOPE = {
-    "all_feed": """
-select site_id, cast(visit_id as varchar) || '-in' as id, 'CHECKIN_EVENT' as type, member_id, checked_in as event_time,
-  cast(null as decimal(12,2)) as amount, cast(null as varchar) as plan_type from visits_all
-union all
-select site_id, cast(visit_id as varchar) || '-out', 'CHECKOUT_EVENT', member_id, checked_out, null, null
-from visits_all where checked_out is not null
+    **TIMELINE,
+    "changes_sent": """
+select site_id, visit_id, member_id, '-in' as side, 'CHECKIN_EVENT' as type from visits_all
+union all select site_id, visit_id, member_id, '-out', 'CHECKOUT_EVENT' from visits_all where checked_out is not null""",
+    "sent": f"""
+select c.type, t.event_id, t.site_id, t.event_time, c.member_id, t.occupancy,
+  case when p.capacity > 0 then ((t.occupancy * 2000 + p.capacity) // (2 * p.capacity)) / 10.0::double else 0.0::double end as pct,
+  cast(null as decimal(12,2)) as amount, cast(null as varchar) as plan_type, cast(null as decimal(22,2)) as today_total,
+  cast(null as varchar) as anomaly_id, cast(null as varchar) as anomaly_type, cast(null as varchar) as severity, cast(null as varchar) as message,
+  cast(null as timestamp) as resolved_at
+from changes_sent c join timeline t on t.event_id = cast(c.visit_id as varchar) || c.side left join sites p on p.site_id = t.site_id
 union all
-select site_id, cast(payment_id as varchar), 'PAYMENT_EVENT', member_id, paid_at, amount, plan_type from payments_all""",
-    "messages": f"""
-select id as event_id, '{{"type":"' || type || '","event_id":"' || id || '","site_id":' || site_id || ',"event_time":"'
-  || {_ISO.format('event_time')} || '","member_id":' || member_id
-  || case when amount is null then '' else ',"amount":' || cast(amount as varchar) || ',"plan_type":"' || plan_type || '"' end
-  || '}}' as payload from all_feed
+select 'PAYMENT_EVENT', cast(payment_id as varchar), site_id, paid_at, member_id, null, null, amount, plan_type,
+  cast(sum(amount) over (partition by site_id, cast(paid_at + {IST} as date) order by paid_at, payment_id rows unbounded preceding) as decimal(22,2)),
+  null, null, null, null, null
+from payments_all
 union all
-select anomaly_id || '-open', '{{"type":"ANOMALY_DETECTED","event_id":"' || anomaly_id || '-open","site_id":' || site_id
-  || ',"event_time":"' || {_ISO.format('detected_at')} || '","anomaly_id":"' || anomaly_id || '","anomaly_type":"' || type
-  || '","severity":"' || severity || '","message":"' || message || '"}}' from anomalies_all
+select 'ANOMALY_DETECTED', anomaly_id || '-open', site_id, detected_at, null, null, null, null, null, null, anomaly_id, type, severity, message, null
+from anomalies_all
 union all
-select anomaly_id || '-close', '{{"type":"ANOMALY_RESOLVED","event_id":"' || anomaly_id || '-close","site_id":' || site_id
-  || ',"event_time":"' || {_ISO.format('resolved_at')} || '","anomaly_id":"' || anomaly_id || '"}}'
+select 'ANOMALY_RESOLVED', anomaly_id || '-close', site_id, resolved_at, null, null, null, null, null, null, anomaly_id, null, null, null, resolved_at
 from anomalies_all where resolved""",
+    "messages": f"""
+select e.event_id, {_json(*_FIELDS)} as payload
+from sent e left join sites s on s.site_id = e.site_id left join members_live m on m.member_id = e.member_id""",
 }
 query("event_envelope", "select * from messages", _ENVELOPE)(lambda fx: feed.encode(feed.envelope_events(fx.all)))
 
+_SENT_FIELDS = ["type", "event_id", "site_id", "event_time", "member_id", "current_occupancy", "amount", "plan_type", "today_total", "anomaly_id",
+                "severity", "resolved_at"]
+# Damage by the first digit of the id's digest, and what the reader must say.
+_REASONS = {"0": "malformed", "1": "malformed", "2": "wrong type", "3": "missing event_id", "4": "unknown type", "5": "missing site_id"}
 
-@query("event_decode", """
-select type, id as event_id, site_id, event_time, member_id, cast(amount as double) as amount, plan_type,
-  cast(null as varchar) as anomaly_id, cast(null as varchar) as severity, false as rejected
-from all_feed where md5(id) not like '0%'
-union all
-select 'ANOMALY_DETECTED', anomaly_id || '-open', site_id, detected_at, null, null, null, anomaly_id, severity, false
-from anomalies_all where md5(anomaly_id || '-open') not like '0%'
-union all
-select 'ANOMALY_RESOLVED', anomaly_id || '-close', site_id, resolved_at, null, null, null, anomaly_id, null, false
-from anomalies_all where resolved and md5(anomaly_id || '-close') not like '0%'
+
+@query("event_decode", f"""
+select type, event_id, site_id, event_time, member_id, occupancy as current_occupancy, cast(amount as double) as amount, plan_type,
+  cast(today_total as double) as today_total, anomaly_id, severity, resolved_at, cast(null as varchar) as reason
+from sent where substr(md5(event_id), 1, 1) not in ({', '.join(f"'{d}'" for d in _REASONS)})
 union all
-select null, null, null, null, null, null, null, null, null, true from messages where md5(event_id) like '0%'
+select null, null, null, null, null, null, null, null, null, null, null, null,
+  case substr(md5(event_id), 1, 1) {' '.join(f"when '{d}' then '{r}'" for d, r in _REASONS.items())} end
+from sent where substr(md5(event_id), 1, 1) in ({', '.join(f"'{d}'" for d in _REASONS)})
 """, _ENVELOPE)
 def event_decode(fx):
-    """Encode everything, damage the messages whose hash starts with 0, decode; damaged ones must be rejected."""
+    """Encode everything, damage six sixteenths of the messages in six ways, decode; damaged ones must be rejected for the right reason."""
     sent = feed.encode(feed.envelope_events(fx.all))
-    damaged = F.when(F.md5("event_id").startswith("0"), F.expr("left(payload, length(payload) - 1)")).otherwise(F.col("payload"))
+    payload, digit = F.col("payload"), F.substring(F.md5(F.col("event_id").cast("binary")), 1, 1)
+    damaged = (F.when(digit == "0", F.expr("left(payload, length(payload) - 1)")).when(digit == "1", F.concat(payload, F.lit(" {}")))
+               .when(digit == "2", F.regexp_replace(payload, r'"site_id":(\d+)', '"site_id":"no $1"'))
+               .when(digit == "3", F.regexp_replace(payload, '"event_id":', '"event":')).when(digit == "4", F.regexp_replace(payload, '"type":"', '"type":"OLD_'))
+               .when(digit == "5", F.regexp_replace(payload, r'"site_id":\d+,', "")).otherwise(payload))
     parsed = feed.parse(sent.select(damaged.alias("payload")))
-    fields = ["type", "event_id", "site_id", "event_time", "member_id", "amount", "plan_type", "anomaly_id", "severity"]
-    return (parsed.withColumn("amount", F.col("amount").cast("double"))
-            .select(*[F.when(F.col("valid"), F.col(c)).alias(c) for c in fields], (~F.col("valid")).alias("rejected")))
+    doubles = {c: F.col(c).cast("double") for c in ("amount", "today_total")}
+    return parsed.select(*[F.when(F.col("valid"), doubles.get(c, F.col(c))).alias(c) for c in _SENT_FIELDS], "reason")

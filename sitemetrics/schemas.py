@@ -73,14 +73,20 @@ ENVELOPE = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("event_id", T.StringType()),
     T.StructField("site_id", T.IntegerType()),
+    T.StructField("site_name", T.StringType()),
     T.StructField("event_time", T.StringType()),
     T.StructField("member_id", T.LongType()),
+    T.StructField("member_name", T.StringType()),
+    T.StructField("current_occupancy", T.LongType()),
+    T.StructField("capacity_pct", T.DoubleType()),
     T.StructField("amount", T.DecimalType(12, 2)),
     T.StructField("plan_type", T.StringType()),
+    T.StructField("today_total", T.DecimalType(22, 2)),
     T.StructField("anomaly_id", T.StringType()),
     T.StructField("anomaly_type", T.StringType()),
     T.StructField("severity", T.StringType()),
     T.StructField("message", T.StringType()),
+    T.StructField("resolved_at", T.StringType()),
 ])
 
 # --- fixed values: enum domains, column defaults, plan lengths and prices ---------------------
@@ -92,6 +98,14 @@ PAYMENT_TYPES = ["new", "renewal"]
 ANOMALY_TYPES = ["zero_checkins", "capacity_breach", "revenue_drop"]
 SEVERITIES = ["warning", "critical"]
 EVENT_TYPES = ["CHECKIN_EVENT", "CHECKOUT_EVENT", "PAYMENT_EVENT", "ANOMALY_DETECTED", "ANOMALY_RESOLVED"]
+# Fields that a message of each type must carry.
+REQUIRED = {
+    "CHECKIN_EVENT": ["event_id", "site_id", "event_time", "member_id", "current_occupancy"],
+    "CHECKOUT_EVENT": ["event_id", "site_id", "event_time", "member_id", "current_occupancy"],
+    "PAYMENT_EVENT": ["event_id", "site_id", "event_time", "member_id", "amount", "plan_type", "today_total"],
+    "ANOMALY_DETECTED": ["event_id", "site_id", "event_time", "anomaly_id", "anomaly_type", "severity", "message"],
+    "ANOMALY_RESOLVED": ["event_id", "site_id", "event_time", "anomaly_id", "resolved_at"],
+}
 PLAN_DAYS = {"monthly": 30, "quarterly": 90, "annual": 365}
 PLAN_PRICE = {"monthly": 1499, "quarterly": 3999, "annual": 11999}
 DEFAULT_PRICE = 1499

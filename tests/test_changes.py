@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sitemetrics.operators import analytics, anomalies, changes, detect, feed, quality, sampling
 from sitemetrics.sources.tables import Tables
+from sitemetrics.streaming import runner
 from tests.conftest import NOW
 
 
@@ -120,7 +121,7 @@ def test_payment_drift_tolerance(make, small):
 
 def test_row_numbers_split_buckets_of_any_size(spark):
     rows = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
-    got = sampling.row_numbers(rows, ["id"], F.floor(F.col("id") / 7), ["g"], "n", "total").collect()
+    got = sampling.row_numbers(rows, ["id"], ["g"], "n", "total").collect()
     for g in range(3):
         mine = sorted((r.id, r.n, r.total) for r in got if r.g == g)
         assert [n for _, n, _ in mine] == list(range(1, len(mine) + 1)) and {t for *_, t in mine} == {len(mine)}
@@ -161,8 +162,35 @@ def test_snapshot_is_nested_and_sorted(small):
 
 
 def test_decode_rejects_bad_payloads(spark):
-    good = '{"type":"PAYMENT_EVENT","event_id":"1","site_id":3,"event_time":"2024-01-01T00:00:00.000001Z","amount":12.50}'
-    events, rejected = feed.decode(spark.createDataFrame([(good,), ("not json",), ('{"type":"OTHER"}',), (good[:-1],), (None,)], "payload string"))
+    good = ('{"type":"PAYMENT_EVENT","event_id":"1","site_id":3,"event_time":"2024-01-01T00:00:00.000001Z","member_id":4,"amount":12.50,'
+            '"plan_type":"monthly","today_total":12.50}')
+    bad = {"not json": "malformed", good[:-1]: "malformed", good + " x": "malformed", good + good: "malformed", good + "," + good: "malformed",
+           good + "}": "malformed", "[1]": "malformed", "": "malformed", "null": "wrong type", good.replace(":3,", ':"x",'): "wrong type",
+           good.replace("2024-01-01T", "yesterday "): "wrong type", good.replace(":3,", ":3.5,"): "wrong type", '{"type":"OTHER"}': "unknown type",
+           "{}": "unknown type", good.replace('"member_id":4,', ""): "missing member_id", good.replace('"event_id":"1",', ""): "missing event_id",
+           good.replace('"member_id":4', '"member_id":null'): "missing member_id", '{"type":"CHECKIN_EVENT"}': "missing event_id"}
+    events, rejected = feed.decode(spark.createDataFrame([(p,) for p in [good, good.replace("{", '{"more":[1],', 1), None, *bad]], "payload string"))
     row = events.first()
-    assert (row.event_id, row.amount, row.event_time) == ("1", Decimal("12.50"), datetime(2024, 1, 1, 0, 0, 0, 1))
-    assert events.count() == 1 and rejected.count() == 4
+    assert (row.event_id, row.amount, row.event_time, row.today_total) == ("1", Decimal("12.50"), datetime(2024, 1, 1, 0, 0, 0, 1), Decimal("12.50"))
+    assert events.count() == 2
+    assert {r.payload: r.reason for r in rejected.collect()} == {**bad, None: "malformed"}
+
+
+def test_envelope_carries_running_values(small):
+    rows = feed.envelope_events(small).collect()
+    assert {r.type for r in rows} == {"CHECKIN_EVENT", "CHECKOUT_EVENT", "PAYMENT_EVENT"}
+    assert sorted(r.current_occupancy for r in rows if r.site_id == 2 and r.type == "CHECKIN_EVENT") == [1, 2, 3, 4]
+    assert max(r.capacity_pct for r in rows if r.site_id == 2 and r.capacity_pct is not None) == 100.0
+    assert sorted(r.today_total for r in rows if r.site_id == 3 and r.plan_type == "quarterly")[-1] == 8 * Decimal("3999.00")
+    assert {r.site_name for r in rows if r.site_id == 1} == {"Alpha zero"}
+
+
+def test_accepted_and_rejected_messages_have_sinks_of_their_own(spark, small, tmp_path):
+    sent = feed.encode(feed.envelope_events(small)).select("payload")
+    spoiled = sent.unionByName(spark.createDataFrame([("no",), ('{"type":"PAYMENT_EVENT"}',)], "payload string"))
+    spoiled.write.parquet(str(tmp_path / "in"))
+    messages = runner.event_source(spark, str(tmp_path / "in"), "payload string")
+    events, rejected = feed.decode(messages)
+    good = runner.drain(events, str(tmp_path / "good"), str(tmp_path / "c1"))
+    bad = runner.drain(rejected, str(tmp_path / "bad"), str(tmp_path / "c2"))
+    assert good.count() == sent.count() and {r.reason for r in bad.collect()} == {"malformed", "missing event_id"}
