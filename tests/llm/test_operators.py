@@ -152,7 +152,7 @@ def test_personal_data(spark, docs, none):
 
 @pytest.mark.parametrize("hot", [16_000, 1])
 def test_repeats(spark, docs, none, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "CLASSES", hot)
     table = docs.filter("doc_id is null or doc_id not in (5)").select("doc_id", "text")
     table = table.unionByName(spark.read.parquet(f"{SMALL}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text").filter("length(text) < 3000"))
     rows = [(r.doc_id, (r.text or "").encode()) for r in table.collect()]
