@@ -1,20 +1,22 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
 Each source has a target in words. Every document of a source first gets the same number of certain whole copies,
-floor(target / size of the source); the rest of the target is a Pareto sample: each document draws u in (0, 1) from its id, its rank
+floor(target / size of the source); the rest of the target is a Pareto sample: each document draws u in (0, 1) from its id, its text and, where rows are equal in both, its number among them; its rank
 is the random odds u/(1-u) divided by the inclusion odds p/(1-p), and the documents of lowest rank are taken until the size
 is reached. The size is counted in words, so the prefix that still fits is taken; the words left are filled by further rounds over the
-documents behind the cut that fit into what is left, and by one document that goes beyond it where that comes nearer. Draws come from a digest of the id, hence reruns agree.
+documents behind the cut that fit into what is left, and by one document that goes beyond it where that comes nearer. Draws come from a digest, hence reruns agree.
 
 Defined cases: null and empty texts have size 0 and take no part beyond their whole copies (taken 0); a null source is a source of its own, last
-in order; rows with equal id and text are drawn alike, ties cut by order of size; an empty table gives an empty result; further
+in order; rows with equal id, text and source are numbered and drawn one by one, so a mass of them comes
+as near to its target as others; null ids are told apart by their texts; an empty table gives an empty result; further
 columns pass through, but for those whose names start with `mix_`, which are left out.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitemetrics.llm.common import cut
+from sitemetrics.llm.common import cut, stored
+from sitemetrics.llm.manifest import numbered
 from sitemetrics.session import MAX_BROADCAST_ROWS
 
 #: Weights of the sources in code point order, repeating; share of all words; copies at most; rounds that fill the size.
@@ -123,8 +125,16 @@ def mix(docs: DataFrame, text="text", ident="doc_id", source="source", seed="mix
         rounds=ROUNDS) -> DataFrame:
     """The documents with mix_size, mix_words (of the source), mix_target (of the source) and mix_copies (0 to `most`)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
-    ready = docs.select("*", F.col(source).alias("mix_source"), n_words(F.col(text)).alias("mix_size"),
-                        uniform(F.col(ident), seed).alias("mix_u"), F.xxhash64(F.col(ident), F.col(text)).alias("mix_tie"))
+    own = F.md5(F.to_json(F.struct(F.col(ident).cast("string").alias("i"), F.md5(F.col(text).cast("binary")).alias("t"), F.col(source).cast("string").alias("s"))))
+    keyed = docs.withColumn("mix_own", own)
+    again = stored(keyed.groupBy("mix_own").agg(F.count("*").alias("mix_n")).filter("mix_n > 1").select("mix_own"))
+    numbered_rows = keyed.withColumn("mix_no", F.lit(0).cast("long"))
+    if not again.isEmpty():
+        rest = numbered(keyed.join(again, "mix_own", "left_semi"), "mix_own", [], "mix_no", "mix_n").drop("mix_n")
+        numbered_rows = numbered_rows.join(again, "mix_own", "left_anti").unionByName(rest)
+    drawn = F.concat_ws(":", "mix_own", "mix_no")
+    ready = numbered_rows.select(*docs.columns, F.col(source).alias("mix_source"), n_words(F.col(text)).alias("mix_size"),
+                                 uniform(drawn, seed).alias("mix_u"), F.xxhash64("mix_own", "mix_no").alias("mix_tie"))
     slim = cut(ready.select("mix_source", "mix_size", "mix_u", "mix_tie"))
     state, few = plan(slim, weights, share, most, rounds)
     out = by_source(ready, state, few).withColumn("mix_rank", rank())
