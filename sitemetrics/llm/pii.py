@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
 FURTHER = ("iban", "ssn", "local")
+CHECKSUM = ("card", "iban")
 KEEP, NEAR = 0.7, 40
 MARK, OTHER = "\u0001", "\u0002"
 
@@ -86,7 +87,7 @@ def _spans(text: Column, kind: str, digits: Column) -> Column:
         keep = (state["i"] % 2 == 1) & _valid(kind, part)
         span = F.struct(state["at"].alias("start"), end.alias("end"), part.alias("found"),
                         state["before"].alias("near"))
-        return F.struct(end.alias("at"), (state["i"] + 1).alias("i"), F.right(part, F.lit(NEAR)).alias("before"),
+        return F.struct(end.alias("at"), (state["i"] + 1).alias("i"), F.right(F.concat(state["before"], part), F.lit(NEAR)).alias("before"),
                         F.when(keep, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
     found = F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda s: s["spans"])).otherwise(empty)
     possible = F.lit(True) if kind == "email" else digits
@@ -99,7 +100,7 @@ def _scored(kind: str, spans: Column, text: Column) -> Column:
     """Spans with kind and score; those of the further kinds that score too low are left out."""
     def score(s):
         around = F.concat(s["near"], F.lit(" "), F.substr(text, s["end"] + 1, F.lit(NEAR)))
-        base = 0.85 if kind in ("email", "ip", "card", "phone", "iban") else 0.5
+        base = 0.85 if kind in CHECKSUM else 0.5
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"),
                         F.least(F.lit(1.0), F.lit(base) + F.when(around.rlike(_CONTEXT[kind]), 0.25).otherwise(0.0)).alias("score"))
     out = F.transform(spans, score)
