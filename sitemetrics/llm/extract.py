@@ -32,8 +32,10 @@ SAMPLE, FORMS, TREES, DEPTH, RATE, BINS = 240, 3, 60, 4, 0.3, 32
 
 # Element names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template title head textarea select option svg iframe object canvas audio video math datalist".split())
+HIDDEN = set("script style noscript template title head textarea select option svg iframe object canvas audio video datalist".split())
 RAW = ("script", "style", "textarea", "title", "iframe", "noscript")
+#: Without an end tag these take the rest of the page; of the others only the start tag is skipped then.
+TO_THE_END = ("script", "style", "textarea", "title")
 BLOCK = set("""address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
 h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split())
 TAGS = {"content": "article main", "title": "h1", "heading": "h2 h3 h4 h5 h6", "paragraph": "p pre blockquote", "list": "ul ol dl menu dir", "item": "li dd dt",
@@ -73,11 +75,27 @@ class Node:
         self.stamp = attrs[attrs.index(STAMP) + len(STAMP)] if STAMP in attrs else ""   # label that training gave
 
 
+def _end_of(page: str, name: str, at: int) -> int | None:
+    """Where the hidden element that starts before `at` ends, elements of its name inside it included; None where it does not."""
+    if name == "option":   # ends at the next one, or with its list
+        end = _OPTION_END.search(page, at)
+        return end and (end.end() if end[0].lower().startswith("</option") else end.start())
+    depth = 1
+    for tag in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if tag[1] else int(not tag[0].endswith("/>"))
+        if not depth:
+            return tag.end()
+    return None
+
+
+_OPTION_END = re.compile(r"</option\s*>|<(?=option[\s>])|<(?=/?(?:select|optgroup|datalist)[\s>])", re.I)
+
+
 def parse(page: str) -> list[Node]:
     """Block nodes in page order, parents first. Text is kept in `parts` as (place in the page, text)."""
     root = Node("html", None)
     nodes, node, at, link, place = [root], root, 0, 0, 0
-    length = len(page)
+    length, endless = len(page), set()
 
     def text(raw):
         nonlocal place
@@ -115,18 +133,23 @@ def parse(page: str) -> list[Node]:
                     place += 1
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}", re.I).search(page, at)
-            if end is None:
+            end = None if name in endless else re.compile(rf"</{name}", re.I).search(page, at)
+            if end is not None:
+                stop = page.find(">", end.end())
+                at = length if stop < 0 else stop + 1
+            elif name in TO_THE_END:
                 break
-            stop = page.find(">", end.end())
-            at = length if stop < 0 else stop + 1
+            endless |= {name} if end is None else set()
             continue
         if name == "a":
             link += not attrs.rstrip().endswith("/")
         elif name in HIDDEN and name not in ("head",) and not attrs.rstrip().endswith("/"):
-            # Content of the other hidden elements: up to their end.
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else (at if name == "option" else length)
+            # Content of the other hidden elements: up to their end. A search that finds none is not made again.
+            end = None if name in endless else _end_of(page, name, at)
+            if end is None:
+                endless.add(name)
+            else:
+                at = end
         elif name == "br":
             text("\n")
         elif name in BLOCK and name not in ("html", "body"):

@@ -65,3 +65,21 @@ def test_context_reaches_over_an_earlier_match(spark):
     df = spark.createDataFrame([(1, "ssn: 123-45-6789, 987-65-4321"), (2, "123-45-6789 and 987-65-4321"), (3, "e-mail a@b.org")], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.op4(df).collect()}
     assert got[1].spans == "ssn:5:16,ssn:18:29" and got[2].spans == "" and got[3].top_score == 0.75
+
+
+@pytest.mark.parametrize("spoiled", ["<svg>", "<select>", "<iframe src='x'>", "<noscript>", "<object>", "<svg><svg><b>drawn</b></svg><i>drawn</i></svg>",
+                                     "<select><option>drawn<option>drawn</select>", "<option>drawn</option>", "<video><video>drawn</video></video>"])
+def test_pages_with_hidden_elements_keep_the_text(spoiled):
+    from sitemetrics.llm import extract
+    page = f"<html><body><article><p>First paragraph.</p>{spoiled}<p>Second one.</p><p>So <math><mi>x</mi></math> is.</p></article></body></html>"
+    text = " ".join(raw for node in extract.parse(page) for _, raw in node.parts)
+    assert "First paragraph." in text and "Second one." in text and "x" in text and "drawn" not in text
+
+
+def test_unclosed_options_take_linear_time():
+    import time
+
+    from sitemetrics.llm import extract
+    begin = time.perf_counter()
+    nodes = extract.parse("<p>" + "<svg><option>a " * 20_000 + "</p>end")
+    assert time.perf_counter() - begin < 3 and any("end" in raw for n in nodes for _, raw in n.parts)
