@@ -78,8 +78,9 @@ def revenue_today_vs_last_week(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ)
     return t.sites.join(totals, "site_id", "left").withColumns(zero_totals()).select("site_id", *zero_totals())
 
 
-def recent_visits(t: Tables, as_of: datetime, hours: int = 2) -> DataFrame:
-    return (tu.within(t.visits, "checked_in", as_of - timedelta(hours=hours))
+def recent_visits(t: Tables, as_of: datetime, hours: int = 2, tz: str = DEFAULT_TZ) -> DataFrame:
+    """Check-ins of the last `hours` up to and with `as_of`; later rows of the table do not count."""
+    return (tu.within(t.visits, "checked_in", as_of - timedelta(hours=hours), as_of + timedelta(microseconds=1), tz)
             .groupBy("site_id").agg(F.count(F.lit(1)).alias("recent_count")))
 
 

@@ -1,5 +1,7 @@
 """Registered queries: scans, live state, feed, envelope."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from sitemetrics.functions import metrics
@@ -7,16 +9,38 @@ from sitemetrics.operators import feed, live
 from sitemetrics.plans.fixture_sql import DAY, IST, NOW
 from sitemetrics.plans.history import TIMELINE
 from sitemetrics.plans.registry import query
+from sitemetrics.schemas import TABLES
+from sitemetrics.session import shared_dir
+from sitemetrics.sources import tables
 from sitemetrics.sources.fixtures import AS_OF
 
 # ------------------------------------------------------------------------------------------- scans
 
-query("scan_sites", "select * from sites")(lambda fx: fx.sites)
-query("scan_members", "select * from members")(lambda fx: fx.members)
-query("scan_visits", "select * from visits_all")(lambda fx: fx.visits)
+_BEGIN = "2024-01-01 00:00:00"
+
+
+def scan(fx, name, df, **more):
+    """The table written as the library stores it, with all its columns, and read back by its declared schema."""
+    folder = f"{shared_dir(fx.spark)}/scan-{uuid4().hex}"
+    tables.write_table(df.withColumns(more), folder, name)
+    return tables.read_table(fx.spark, folder, name).select(*TABLES[name].fieldNames())
+
+
+def _at(text):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+query("scan_sites", f"select *, name || ', ' || city as address, TIMESTAMP '{_BEGIN}' as created_at, cast(null as timestamp) as updated_at from sites")(
+    lambda fx: scan(fx, "sites", fx.sites, address=F.concat_ws(", ", "name", "city"), created_at=_at(_BEGIN)))
+query("scan_members", "select *, joined_at as created_at from members")(lambda fx: scan(fx, "members", fx.members, created_at=F.col("joined_at")))
+query("scan_visits", "select * from visits_all")(lambda fx: scan(fx, "visits", fx.visits))
 query("scan_payments", """
 select payment_id, member_id, site_id, cast(amount as double) as amount, plan_type, payment_type, paid_at from ledger
 """)(lambda fx: fx.ledger_payments.withColumn("amount", F.col("amount").cast("double")))
+query("scan_live_payments", """
+select payment_id, member_id, site_id, cast(amount as double) as amount, plan_type, payment_type, paid_at, 'no ' || payment_id as notes from payments_all
+""")(lambda fx: scan(fx, "payments", fx.live_payments, notes=F.concat(F.lit("no "), F.col("payment_id"))).withColumn("amount", F.col("amount").cast("double")))
+query("scan_anomalies", "select * from anomalies_all")(lambda fx: scan(fx, "anomalies", fx.anomalies))
 
 # --------------------------------------------------------------------------------------- selection
 

@@ -15,6 +15,9 @@ SITES = T.StructType([
     T.StructField("capacity", T.IntegerType()),
     T.StructField("opens_min", T.IntegerType()),
     T.StructField("closes_min", T.IntegerType()),
+    T.StructField("address", T.StringType()),
+    T.StructField("created_at", _ts),
+    T.StructField("updated_at", _ts),
 ])
 
 MEMBERS = T.StructType([
@@ -29,6 +32,7 @@ MEMBERS = T.StructType([
     T.StructField("joined_at", _ts),
     T.StructField("plan_expires_at", _ts),
     T.StructField("last_checkin_at", _ts),
+    T.StructField("created_at", _ts),
 ])
 
 VISITS = T.StructType([
@@ -47,6 +51,7 @@ PAYMENTS = T.StructType([
     T.StructField("plan_type", T.StringType()),
     T.StructField("payment_type", T.StringType()),
     T.StructField("paid_at", _ts),
+    T.StructField("notes", T.StringType()),
 ])
 
 ANOMALIES = T.StructType([

@@ -101,22 +101,24 @@ def _write(tables: Tables, folder: str, tz: str, mode: str, names) -> None:
     from sitemetrics.operators.feed import activity_days
     for name in names:
         df = getattr(tables, name)
-        if df is None:
-            continue
-        if name in DATE_OF:
-            # Range partitioning splits a busy date over several files; time order helps row-group pruning.
-            layout = [f.name for f in LAYOUT[name]]
-            if name == "visits":
-                df = df.withColumn("is_open", F.col("checked_out").isNull())
-            (df.withColumn("local_date", tu.local_date(F.col(DATE_OF[name]), tz))
-             .repartitionByRange(*layout, DATE_OF[name])
-             .sortWithinPartitions(*layout, DATE_OF[name])
-             .write.mode(mode).partitionBy(*layout).parquet(f"{folder}/{name}"))
-        else:
-            df.write.mode(mode).parquet(f"{folder}/{name}")
+        if df is not None:
+            write_table(df, folder, name, tz, mode)
     activity_days(tables, tz).write.mode(mode).parquet(f"{folder}/activity")
 
 
+def write_table(df: DataFrame, folder: str, name: str, tz: str = tu.DEFAULT_TZ, mode: str = "errorifexists") -> None:
+    """Write one table; columns beyond the schema stay in its files."""
+    if name not in DATE_OF:
+        df.write.mode(mode).parquet(f"{folder}/{name}")
+        return
+    # Range partitioning splits a busy date over several files; time order helps row-group pruning.
+    layout = [f.name for f in LAYOUT[name]]
+    if name == "visits":
+        df = df.withColumn("is_open", F.col("checked_out").isNull())
+    (df.withColumn("local_date", tu.local_date(F.col(DATE_OF[name]), tz)).repartitionByRange(*layout, DATE_OF[name])
+     .sortWithinPartitions(*layout, DATE_OF[name]).write.mode(mode).partitionBy(*layout).parquet(f"{folder}/{name}"))
+
+
 def is_seeded(tables: Tables) -> bool:
     """Emptiness guard before a first load."""
     return not tables.sites.isEmpty()
