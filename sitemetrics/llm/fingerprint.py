@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
 A text's items are the 63-bit digests of its distinct paragraphs (pieces between line breaks, trimmed, empty ones left out). Long
-paragraphs are cut at sentence ends into pieces of LONG code points or more, of half as many in texts of at most SHORT code points; texts of at most TINY
+paragraphs are cut at sentence ends into pieces of LONG code points or more, of half as many in texts of at most SHORT code points, and where no
+sentence ends within LONG more, behind a word of certain ending, or there; texts of at most TINY
 have words for items. A sketch of 3*m cells has three parts; an item falls into one cell of each part, by
 three stretches of its bits. A cell holds the number of its items and the exclusive-or of their digests and of their check values. Two
 sketches are subtracted cell by cell; a cell that holds one item (count 1 or -1 and a fitting check) gives that item away, which is then
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LONG, SHORT, TINY = 200, 1500, 200
+#: Last letters of words behind which a passage without sentence marks may be cut: the same words are cut alike wherever they stand.
+ENDING = "aoAO"
 BASE, SIZES, GROUP, ROUNDS = 4, (8, 24), 12, 24
 _CELLS = "array<struct<n:int,k:bigint,c:bigint>>"
 
@@ -34,9 +37,9 @@ def items(text: Column) -> Column:
         lines = F.filter(F.transform(F.split(t, "[\r\n]+"), F.trim), lambda x: x != "")
 
         def pieces(least):
-            # At least so many code points, up to the end of the sentence.
-            return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > 2 * least, F.regexp_extract_all(x, F.lit(f".{{1,{least}}}[^.!?]*[.!?]*\\x20*"), F.lit(0)))
-                                         .otherwise(F.array(x))))
+            # At least so many code points, up to the end of the sentence; where none comes, up to a word of certain ending, or so many more.
+            piece = f".{{1,{least}}}(?:[^.!?]{{0,{LONG}}}[.!?]++\\x20*|[^.!?]{{0,{LONG}}}?[{ENDING}]\\x20|[^.!?]{{0,{LONG}}})"
+            return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > 2 * least, F.regexp_extract_all(x, F.lit(piece), F.lit(0))).otherwise(F.array(x))))
         words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: x != "")
         return F.when(F.length(t) > SHORT, pieces(LONG)).when(F.length(t) > TINY, pieces(LONG // 2)).otherwise(words)
     return F.array_sort(F.array_distinct(F.transform(parts(text), lambda x: F.abs(F.xxhash64(x) % F.lit((1 << 63) - 25)))))

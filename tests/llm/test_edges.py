@@ -83,3 +83,13 @@ def test_unclosed_options_take_linear_time():
     begin = time.perf_counter()
     nodes = extract.parse("<p>" + "<svg><option>a " * 20_000 + "</p>end")
     assert time.perf_counter() - begin < 3 and any("end" in raw for n in nodes for _, raw in n.parts)
+
+
+def test_fingerprints_of_text_without_sentences(spark):
+    from sitemetrics.llm import fingerprint
+    rng = np.random.default_rng(8)
+    words = " ".join("".join(rng.choice(list("abcdefgho"), rng.integers(2, 8))) for _ in range(3000))
+    rows = [(3, words), (2, "語" * 9000 + "".join(chr(0x4E00 + int(i)) for i in rng.integers(0, 5000, 9000))), (1, "word " * 2000)]
+    got = {r.doc_id: r for r in fingerprint.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for key in (2, 3):
+        assert got[key].near_edited > 0.5 > got[key].near_next
