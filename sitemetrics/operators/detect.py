@@ -113,6 +113,12 @@ def resolved(t: Tables, acts: DataFrame, as_of: datetime) -> DataFrame:
             .withColumn("resolved", F.lit(True)).withColumn("resolved_at", tu.ts(as_of)))
 
 
+def detect_changes(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> DataFrame:
+    """Only the rows of the log that one cycle adds or closes, to be appended or merged (anomalies.upsert_into); of the log itself the open rows are read."""
+    acts = cut(actions(t, as_of, tz))
+    return opened(acts, as_of).unionByName(resolved(t, acts, as_of).select(*t.anomalies.columns))
+
+
 def detect_step(t: Tables, as_of: datetime, tz: str = DEFAULT_TZ) -> tuple[DataFrame, DataFrame]:
     """(anomalies after the cycle, change events). The rules are evaluated once; three rows a site are kept."""
     acts = cut(actions(t, as_of, tz))

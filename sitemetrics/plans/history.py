@@ -64,6 +64,7 @@ query("detect_actions", "select site_id, type, severity, trigger, resolve, actio
     lambda fx: detect.actions(fx.live, AS_OF).select("site_id", "type", "severity", "trigger", "resolve", "action"))
 query("anomalies_detected", "select * from opened", RULES)(lambda fx: detect.opened(detect.actions(fx.live, AS_OF), AS_OF))
 query("anomalies_resolved", "select * from closed", RULES)(lambda fx: detect.resolved(fx.live, detect.actions(fx.live, AS_OF), AS_OF))
+query("detect_changes", "select * from opened union all select * from closed", RULES)(lambda fx: detect.detect_changes(fx.live, AS_OF))
 query("detect_step", """
 select * from anomalies where anomaly_id not in (select anomaly_id from closed)
 union all select * from closed union all select * from opened""", RULES)(lambda fx: detect.detect_step(fx.live, AS_OF)[0])

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitemetrics.operators import analytics, anomalies, changes, detect, feed, quality, sampling
+from sitemetrics.schemas import ANOMALIES
+from sitemetrics.sources.store import Versions
 from sitemetrics.sources.tables import Tables
 from sitemetrics.streaming import runner
 from tests.conftest import NOW
@@ -143,6 +145,19 @@ def test_feed_is_exact_with_ties_and_hot_sites(make, small, monkeypatch, bound):
     assert got == sorted(expect)
 
 
+def test_changes_of_a_cycle_merge_to_the_whole_log(spark, small, tmp_path):
+    log = Versions(spark, str(tmp_path / "log"), ANOMALIES)
+    t = small
+    log.write(t.anomalies, log.current())
+    for minutes, visits in ((0, t.visits), (30, t.visits.withColumn("checked_out", F.col("checked_in")))):
+        now = NOW + timedelta(minutes=minutes)
+        t = Tables(t.sites, t.members, visits, t.payments, log.read())
+        whole = detect.detect_step(t, now)[0]
+        anomalies.upsert_into(log, detect.detect_changes(t, now))
+        assert sorted(map(str, log.read().select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+    assert log.read().filter("resolved").count() == 1 and log.current().number == 3
+
+
 def test_analytics_bundle(small):
     reports = analytics.analytics(small, NOW, "30d")
     assert list(reports) == ["peak_hours", "revenue_by_plan", "churn_risk", "member_type"]
