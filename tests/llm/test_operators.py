@@ -277,7 +277,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, total = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.cut(stage(spark, docs, SMALL))
+        docs = corpus_pipeline.stored(stage(spark, docs, SMALL))
         if name != "packing":
             assert docs.columns == columns
         if name == "near_duplicates":
