@@ -15,6 +15,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sitemetrics.llm.common import crc_of_id, mix64, small_batches
 
@@ -25,7 +26,7 @@ FLOOR, SMOOTH = 1e-8, 1e-3
 #: Binary digits by which sums that became small are lifted.
 STEP = 300
 #: Letters scored at a time, and distinct words in one lattice: arrays stay at a few MB, which workers give back.
-BLOCK, WORDS_AT_ONCE = 1 << 18, 4000
+BLOCK, WORDS_AT_ONCE = 1 << 20, 4000
 
 _alpha = None
 
@@ -283,28 +284,31 @@ def score_texts(texts, langs, index: Pieces, table):
     return preds, scores
 
 
-def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def predict(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with lang_pred and score.
+
+    Whole rows go through the Arrow step batch by batch, so that none wait on the heap for their result."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.drop("lang_pred", "score")
+    keep = [c for c in docs.columns if keep is None or c in keep]
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    from pyspark.sql.pandas.functions import arrow_udf
+        return docs.select(*keep).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     shared = spark.sparkContext.broadcast(model)
-    ready = {}
+    passed = docs.select(F.col(text).alias("__text"), *keep)
 
-    @arrow_udf("struct<lang:string,score:double>")
-    def scored(column):
+    def run(batches):
         import pyarrow as pa
         langs, pieces, table = shared.value
-        if "index" not in ready:
-            ready["index"] = Pieces(pieces)
-        preds, scores = score_texts(column.to_pylist(), langs, ready["index"], table)
-        return pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
-    found = docs.withColumn("lang_found", scored(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("lang_found.lang"), "score": F.col("lang_found.score")}).drop("lang_found")
+        index = Pieces(pieces)
+        for batch in batches:
+            preds, scores = score_texts(batch.column(0).to_pylist(), langs, index, table)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
+                                             [*batch.schema.names[1:], "lang_pred", "score"])
+    schema = StructType([docs.schema[c] for c in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return passed.mapInArrow(run, schema)
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    found = predict(docs.select("doc_id", "text"), fit(docs))
+    found = predict(docs.select("doc_id", "text"), fit(docs), keep=["doc_id"])
     return found.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score")
