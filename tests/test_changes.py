@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sitemetrics.operators import analytics, anomalies, changes, detect, feed, quality, sampling
 from sitemetrics.schemas import ANOMALIES
+from sitemetrics.sources import tables
 from sitemetrics.sources.store import Versions
 from sitemetrics.sources.tables import Tables
 from sitemetrics.streaming import runner
@@ -131,8 +132,8 @@ def test_row_numbers_split_buckets_of_any_size(spark):
 
 @pytest.mark.parametrize("bound", [50_000, 0])
 def test_feed_is_exact_with_ties_and_hot_sites(make, small, monkeypatch, bound):
-    """With and without the cut by day counts."""
-    monkeypatch.setattr(feed, "MAX_BROADCAST_ROWS", bound)
+    """With and without broadcasts."""
+    monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", bound)
     at = datetime(2024, 3, 1)
     visits = make("visits", [dict(visit_id=i, member_id=1 + i % 12, site_id=1 if i % 3 else 2,
                                   checked_in=at + timedelta(minutes=i // 5)) for i in range(400)])
